@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The white space of the word patterns, as a regular expression class of what is not white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,3 +63,8 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
+
+
+def extended(df: DataFrame, ddl: str) -> StructType:
+    """df's schema with further columns."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

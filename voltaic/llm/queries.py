@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, pages
 
 _QUERIES = {
+    "op4_language_id": ("language_id", documents),
     "op5_cube_mixing": ("cube_mixing", documents),
+    "op6_bpe_replay": ("bpe", documents),
     "op8_histogram_sort": ("histogram_sort", documents),
+    "op9_simhash_anchors": ("simhash", documents),
+    "op10_mpeg_audio": ("mpeg_audio", documents),
 }
 
 
