@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, pages
 
 _QUERIES = {
+    "op1_spotsigs": ("spotsigs", documents),
     "op4_language_id": ("language_id", documents),
     "op5_cube_mixing": ("cube_mixing", documents),
     "op6_bpe_replay": ("bpe", documents),
