@@ -11,9 +11,11 @@ from .common import documents, pages
 
 _QUERIES = {
     "op1_spotsigs": ("spotsigs", documents),
+    "op2_wrapper_extraction": ("wrapper_extraction", pages),
     "op4_language_id": ("language_id", documents),
     "op5_cube_mixing": ("cube_mixing", documents),
     "op6_bpe_replay": ("bpe", documents),
+    "op7_warc_fixity": ("warc_fixity", pages),
     "op8_histogram_sort": ("histogram_sort", documents),
     "op9_simhash_anchors": ("simhash", documents),
     "op10_mpeg_audio": ("mpeg_audio", documents),
@@ -29,4 +31,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express on whole tables; the others are tested against brute force in tests/llm."""
+    return {"op7_warc_fixity": import_module(".warc_fixity", __package__).ORACLE}
