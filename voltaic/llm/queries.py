@@ -12,6 +12,7 @@ from .common import documents, pages
 _QUERIES = {
     "op1_spotsigs": ("spotsigs", documents),
     "op2_wrapper_extraction": ("wrapper_extraction", pages),
+    "op3_suffix_dedup": ("suffix_dedup", documents),
     "op4_language_id": ("language_id", documents),
     "op5_cube_mixing": ("cube_mixing", documents),
     "op6_bpe_replay": ("bpe", documents),
