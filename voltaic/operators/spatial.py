@@ -51,9 +51,10 @@ def nearest_point(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     band = F.floor(F.col("lat") / high)
 
     def columns(b):
-        edge = F.least(F.lit(89.0), F.greatest(F.abs(b * high), F.abs((b + 1) * high)))
-        # Across the radius longitudes differ by asin(sin(r) / cos(lat)) at most.
-        wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(high))) / F.cos(F.radians(edge)))))
+        edge = F.least(F.lit(90.0), F.greatest(F.abs(b * high), F.abs((b + 1) * high)))
+        # Across the radius longitudes differ by asin(sin(r) / cos(lat)) at most; near a pole by anything.
+        reach = F.sin(F.radians(F.lit(high))) / F.cos(F.radians(edge))
+        wide = F.when((edge >= 90) | (reach >= 1), 360.0).otherwise(F.degrees(F.asin(reach)))
         return F.greatest(F.lit(1), F.floor(F.lit(360.0) / wide)).cast("long")
 
     def column(lon, b):

@@ -183,7 +183,7 @@ def point_in_polygon(spark, d):
 
 def sibling_quarantine(spark, d):
     nodes = _places(supplier(spark, d), "s_suppkey", "k", 1.0).select(F.concat(F.lit("STN"), (F.col("k") % 40).cast("string"), F.lit("-LT.T"), F.col("k").cast("string")).alias("Location"), F.col("lon").alias("Longitude"), F.col("lat").alias("Latitude"))
-    out = spatial.quarantine(nodes, ("STN1-LT.T1",), 250.0)
+    out = spatial.quarantine(nodes, ("STN1-LT.T1",), 400.0)
     return out.select("Location", F.floor(F.col("km") * 1000).alias("metres"))
 
 
@@ -288,7 +288,7 @@ SELECT c, s, CAST(floor(km * 1000) AS BIGINT) AS metres FROM x WHERE km <= 60.0
     "point_in_polygon": f"""WITH p AS (SELECT p_partkey, p_partkey % 601 / 10.0 AS x, p_partkey * 7 % 301 / 10.0 AS y FROM part)
 SELECT p_partkey, zone FROM p JOIN {_boxes()} ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND NOT (x > x0 + {HOLE[0]} AND x < x0 + {HOLE[2]} AND y > y0 + {HOLE[1]} AND y < y0 + {HOLE[3]})""",
     "sibling_quarantine": f"""WITH a AS (SELECT 'STN' || (s_suppkey % 40) || '-LT.T' || s_suppkey AS name, 'STN' || (s_suppkey % 40) AS stem, {_at('s_suppkey')} FROM supplier), g AS (SELECT a.name, min({_great_circle('a', 'b')}) AS km FROM a JOIN a b ON a.stem = b.stem AND a.name <> b.name GROUP BY 1)
-SELECT a.name AS "Location", CAST(floor(km * 1000) AS BIGINT) AS metres FROM a LEFT JOIN g ON a.name = g.name WHERE km > 250.0 OR a.name = 'STN1-LT.T1'""",
+SELECT a.name AS "Location", CAST(floor(km * 1000) AS BIGINT) AS metres FROM a LEFT JOIN g ON a.name = g.name WHERE km > 400.0 OR a.name = 'STN1-LT.T1'""",
     "percentile_clip": "SELECT quantile_cont(l_extendedprice, 0.02) AS lo, quantile_cont(l_extendedprice, 0.98) AS hi FROM lineitem",
     "spearman": """WITH per AS (SELECT l_suppkey, count(*) AS n_lines FROM lineitem GROUP BY 1), b AS (SELECT s_acctbal AS x, n_lines AS y FROM supplier JOIN per ON s_suppkey = l_suppkey),
 r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM b)
