@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def exact_sum(x: Column, scale: int = 4) -> Column:
     """A sum that doesn't depend on the order of its terms: in decimals of this scale, then a double."""
@@ -38,7 +40,7 @@ def ranked(df: DataFrame, value: str, rank: str) -> DataFrame:
 
     The window over all rows holds one row per range of distinct values, not one per row.
     """
-    counts = df.groupBy(value).agg(F.count("*").alias("n_")).repartitionByRange(F.col(value)).withColumn("part_", F.spark_partition_id())
+    counts = checkpointed(df.groupBy(value).agg(F.count("*").alias("n_")).repartitionByRange(F.col(value)).withColumn("part_", F.spark_partition_id()))
     inside = F.sum("n_").over(Window.partitionBy("part_").orderBy(value))
     parts = counts.groupBy("part_").agg(F.sum("n_").alias("all_"))
     ahead = parts.select("part_", (F.sum("all_").over(Window.orderBy("part_")) - F.col("all_")).alias("before_"))

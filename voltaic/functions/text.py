@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Type endings of station names, in the order in which they are tried, and the least that must remain.
 STATION_ENDINGS = ("CTS", "MTS", "JCT", "CSS", "SS", "TS", "GS", "DS", "SW")
 LEAST_BASE = 5
+#: Unit names of generators, voltage classes and plant endings of station names.
+GENERATOR = r"^(?:(?:ST|CT|GT|S|C)?G\d+[A-Z]*|G\d+_[A-Z0-9]+)$"
+VOLTAGE, PLANT = "-(LT|115|230|500)$", r"(GS|BESS\d*|STRGE)$"
 
 
 def number(text: Column) -> Column:
@@ -51,7 +54,7 @@ def node_type(node: Column) -> Column:
         .when(~F.contains(name, F.lit(".")), "load")
         .when(F.contains(unit, F.lit("_DRA")), "dra")
         .when(F.contains(unit, F.lit("BATT")) | F.contains(unit, F.lit("STRG")) | F.contains(station, F.lit("STRGE")), "battery")
-        .when(F.rlike(unit, F.lit(r"^(?:(?:ST|CT|GT|S|C)?G\d+[A-Z]*|G\d+_[A-Z0-9]+)$")), "generator")
+        .when(F.rlike(unit, F.lit(GENERATOR)), "generator")
         .when(F.startswith(unit, F.lit("AG")) | F.startswith(unit, F.lit("APG")), "aggregate")
         .otherwise("load")
     )
@@ -60,7 +63,7 @@ def node_type(node: Column) -> Column:
 def name_stem(node: Column) -> Column:
     """What sibling nodes share: the station without its voltage class and plant or storage ending."""
     station = F.regexp_replace(F.substring_index(F.upper(node), ".", 1), ":LMP$", "")
-    return F.regexp_replace(F.regexp_replace(station, "-(LT|115|230|500)$", ""), r"(GS|BESS\d*|STRGE)$", "")
+    return F.regexp_replace(F.regexp_replace(station, VOLTAGE, ""), PLANT, "")
 
 
 def column_name(label: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import exact_sum
 from ..functions.text import column_name, number
 
+#: The published kinds of facilities, the ratio beyond which sources disagree.
 FUELS = ("Solar", "Wind", "Water", "Biomass", "Fossil Fuel", "Exporting Storage", "Non-Exporting Storage", "Other")
 RATIO = 0.20
 COMPANY = "Current_Company_Name"

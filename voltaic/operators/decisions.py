@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The kinds of decisions, their statuses, the form of a licence number.
 KINDS = ("exclude_no_rrr", "merge_into", "relicensed_as", "unresolved_lookup")
 STATUSES = ("final", "provisional")
 LICENCE = r"^ED-\d{4}-\d{4}$"

@@ -33,10 +33,10 @@ def window_means(daily: DataFrame, zonal_daily: DataFrame | None = None, days: i
     last = daily.agg(F.max("date").alias("last_"))
     own = daily.crossJoin(F.broadcast(last)).where(F.col("date") > F.date_sub("last_", days)).drop("last_")  # one row
     parts = {m: F.col(f"sum_{m}") if f"sum_{m}" in daily.columns else F.col(f"mean_{m}") * F.col("n_hours") for m in ("lmp_minus_ozp", "loss", "congestion")}
-    aggs = [(exact_sum(p) / F.sum("n_hours")).alias(n) for n, p in zip(("mean_premium", "mean_loss", "mean_congestion"), parts.values())]
+    aggs = [(exact_sum(p, 8) / F.sum("n_hours")).alias(n) for n, p in zip(("mean_premium", "mean_loss", "mean_congestion"), parts.values())]
     if zonal_daily is not None:
         own = own.join(zonal_daily.select("date", F.col("price").alias("zonal_")), "date", "left")
         priced = F.col("zonal_").isNotNull()
-        aggs += [(exact_sum(F.when(priced, parts["lmp_minus_ozp"] + F.col("zonal_") * F.col("n_hours"))) / F.sum("n_hours")).alias("mean_lmp"), F.sum(F.when(priced, F.col("n_hours")).otherwise(0)).alias("known_hours")]
+        aggs += [(exact_sum(F.when(priced, parts["lmp_minus_ozp"] + F.col("zonal_") * F.col("n_hours")), 8) / F.sum("n_hours")).alias("mean_lmp"), F.sum(F.when(priced, F.col("n_hours")).otherwise(0)).alias("known_hours")]
     out = own.groupBy("node_id").agg(F.count_distinct("date").alias("n_days"), F.sum("n_hours").alias("hours"), *aggs)
     return out.withColumn("kept", F.col("n_days") >= least_days)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import spatial
 
+#: Limits of the rules, and the text of an approval.
 NEAREST_KM = 30.0
 HETERO_STD, HETERO_SPAN_KM = 1.0, 100.0
 CHANGE = 0.5

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC everywhere (local clocks are computed, never ambient); AQE joins, skew splits and coalescing at run time.
 SETTINGS = {
@@ -17,3 +19,14 @@ SETTINGS = {
 
 def session(name: str = "voltaic", **settings: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=SETTINGS | settings).getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the folder of spark.checkpoint.dir; a temporary folder only where that is unset.
+
+    For what must be the same wherever it is read again, such as the number of the partition that a row lies in.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voltaic-"))
+    return df.checkpoint()
