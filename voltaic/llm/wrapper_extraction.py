@@ -76,7 +76,7 @@ def _marks(tag: str, attrs: str, in_article: bool) -> tuple[str, bool, int]:
     aside = tag in ASIDE_TAGS or tag == "header" and not in_article or role in ASIDE_ROLES or hidden
     # A body, article or main whose class speaks of, say, its sidebar is still what it is.
     if not aside and words & ASIDE_WORDS and tag not in ("body", "html", "main") and not (tag == "article" and not words & {"comment", "comments", "reply"}):
-        aside = not (in_article and tag in ("header", "h1", "h2", "h3", "p") and words & {"header", "banner", "head"} == words & ASIDE_WORDS)
+        aside = not (in_article and words & {"header", "head"} == words & ASIDE_WORDS)  # an article's own head is part of it
     main = 0 if aside else 3 if tag == "article" or role == "article" else 2 if tag == "main" or role == "main" else 1 if words & MAIN_WORDS and tag in ("div", "section", "td") else 0
     return f"{tag}.{'.'.join(sorted(words))}" if words else tag, aside, main
 
