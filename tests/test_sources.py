@@ -176,3 +176,12 @@ def test_markdown_and_gate():
     doc = report.page("T", "x")
     shut = report.gated(doc, False)
     assert shut != doc and report.gated(shut, False) == shut and report.gated(shut, True) == doc
+
+
+def test_status_panel(spark):
+    values = spark.sql("select timestamp'2026-01-01' + make_dt_interval(0, id) as timestamp_utc, 40.0 as energy_price, 10.0 as tou_wedge from range(72) where id not between 24 and 47")
+    assigned = spark.createDataFrame([("A", "Z"), ("B", None)], "node_id string, zone string")
+    signal = spark.createDataFrame([("in_polygon", "approved", False), ("none", "rejected", True)], "method string, owner_status string, heterogeneous boolean")
+    got = report.status(values, assigned, signal, spark.createDataFrame([(True,), (False,)], "reported boolean"))
+    assert got["window"]["hours"] == 48 and got["zoned_share"] == 0.5 and got["methods"] == {"in_polygon": 1, "none": 1}
+    assert [str(d) for d in got["gaps"]["day"]] == ["2026-01-02"] and got["history"]["days"] == 2 and got["reported"] == got["heterogeneous"] == 1

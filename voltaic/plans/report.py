@@ -109,3 +109,19 @@ def gated(doc: str, approved: bool) -> str:
 
 def short_time(instant) -> str:
     return instant.strftime("%Y-%m-%d %H:%M") if instant else "unknown"
+
+
+def status(values: DataFrame, assigned: DataFrame, signal: DataFrame, adoption: DataFrame) -> dict:
+    """The status panel's facts, each from one aggregate: window and coverage, partial and missing days, zoned share, counts by method and status."""
+    from ..functions.stats import coverage_gaps, history_length
+    from ..operators.value import summary
+
+    window = summary(values).first().asDict()
+    gaps = _columns(coverage_gaps(values, "timestamp_utc"), "day")
+    nodes = assigned.agg(F.count("*").alias("nodes"), F.count("zone").alias("zoned")).first()
+    counts = lambda df, c: {r[0]: r[1] for r in df.groupBy(c).count().orderBy(c).collect()}
+    return {
+        "window": window, "history": history_length(window["hours"], window["window_start"].date()) if window["hours"] else None, "gaps": gaps,
+        "zoned_share": nodes["zoned"] / nodes["nodes"] if nodes["nodes"] else None, "methods": counts(signal, "method"), "statuses": counts(signal, "owner_status"),
+        "reported": adoption.agg(F.count_if("reported")).first()[0], "heterogeneous": signal.agg(F.count_if("heterogeneous")).first()[0],
+    }
