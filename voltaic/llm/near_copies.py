@@ -1,7 +1,13 @@
-"""Choosing one document of each group of near copies: SimHash candidates, confirmed by the overlap of their shingles."""
+"""Choosing one document of each group of near copies: an exact join of texts by the overlap of their shingles.
+
+The shingles of all texts have one order, those of rarely met cells first. Of two texts that overlap enough, the first
+shingle in that order that both have stands near the front of both, so texts meet at the shingles of their fronts
+(prefix filter) and no pair is missed. Every pair that meets and isn't joined already is judged by its whole sets.
+"""
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,66 +16,231 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import durable
+from .common import durable, parallelism, segments, utf8
 from .components import stars
 
-#: Words of a shingle, least likeness of near copies, most differing bits of candidates, hashes of a sketch.
-WORDS, LIKENESS, BITS, SKETCH = 5, 0.8, 11, 128
-#: Partners that each fingerprint names in the first round, and how that grows from round to round.
-DIRECT, GROWTH = 16, 8
+#: Words of a shingle, least likeness of near copies. Nothing is cut to SKETCH hashes; overlap's callers may pass so many.
+WORDS, LIKENESS, SKETCH = 5, 0.8, 128
+#: Members of a small bucket that ask in the first round (see _meet), how that grows from round to round, and pairs for each.
+DIRECT, GROWTH, SHARE = 16, 8, 64
+#: Cells of shingle counts; they order shingles and leave none out.
+CELLS = 1 << 20
+#: Members of buckets that are looked at together, and pairs that are compared at once.
+MEMBERS, PAIRS = 200_000, 400_000
 
 
-def overlap(a: bytes, b: bytes, size: int = SKETCH) -> float:
-    """Jaccard likeness of two texts' shingles from their smallest hashes; exact while neither has more than `size`."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+def overlap(a: bytes, b: bytes) -> float:
+    """Jaccard likeness of two sets of distinct 64-bit hashes, over all of them."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if not len(x) and not len(y):
         return 1.0
     both = np.concatenate((x, y))
     both.sort(kind="stable")
-    new = np.append(True, both[1:] != both[:-1])
-    if len(x) >= size or len(y) >= size:
-        both, new = both[: np.searchsorted(np.cumsum(new), size, "right")], new[: np.searchsorted(np.cumsum(new), size, "right")]
-    union = int(new.sum())
-    return (len(both) - union) / union
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared)
 
 
 def text_hash():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shingles(text: bytes) -> np.ndarray:
+    """The distinct shingles, ascending; texts without words share one."""
+    h = np.unique(simhash.shingle_hashes(text, WORDS))
+    return h if len(h) else np.zeros(1, np.uint64)
+
+
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def counts(docs: DataFrame) -> np.ndarray:
+    """How many shingles of all texts are in each cell: a table of fixed size, whatever the input."""
+    slices = 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            own = [shingles(t) for t in utf8(batch.column("text"))]
+            if own:
+                total += np.bincount(_cells(np.concatenate(own)), minlength=CELLS)
+        if total.any():
+            parts = np.array_split(total, slices)
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "n"])
+
+    def add(group):
+        total = sum(np.frombuffer(x, np.int64) for x in group["n"])
+        return group[["slice"]].iloc[:1].assign(n=[np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()])
+
+    ddl = "slice int, n binary"
+    got = docs.select("text").mapInArrow(count, ddl).groupBy("slice").applyInPandas(add, ddl).collect()
+    return np.concatenate([np.frombuffer(r.n, np.uint32) for r in sorted(got, key=lambda r: r.slice)]) if got else np.zeros(CELLS, np.uint32)
+
+
+def fronts(docs: DataFrame, weight: np.ndarray) -> DataFrame:
+    """shingle, id, size, place: the shingles of each text's front, in the common order (count of the cell, hash)."""
+    shared = docs.sparkSession.sparkContext.broadcast(weight)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[np.ndarray, int]] = []
+            for text in utf8(batch.column("text")):
+                h = shingles(text)
+                # A near copy shares LIKENESS of them at least, so one of the first of both.
+                front = len(h) - int(np.ceil(LIKENESS * len(h) - 1e-6)) + 1
+                rows.append((h[np.argsort(shared.value[_cells(h)], kind="stable")[:front]], len(h)))
+            run, place = segments([len(h) for h, _ in rows])
+            ids, sizes = batch.column("id").to_numpy(zero_copy_only=False), np.array([n for _, n in rows], np.int32)
+            hashes = np.concatenate([h for h, _ in rows]).view(np.int64) if rows else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids[run]), pa.array(sizes[run]), pa.array(place.astype(np.int32))], ["shingle", "id", "size", "place"])
+
+    return docs.select("id", "text").mapInArrow(of, "shingle long, id long, size int, place int")
+
+
+def _meet(shingle, id_, size, place, asked, root, direct: int):
+    """Pairs to judge of whole buckets (the members at a shingle), and the members of buckets that aren't done.
+
+    A member that asks is held against all members of other roots. Those of the bucket's largest root needn't ask: when
+    all others did, only pairs that are joined already are left. In a round so many ask that a bucket gives about
+    SHARE * direct pairs, those with the shingle nearest to the front first, who have few shingles of their own.
+    """
+    order = np.lexsort((root, id_, shingle))
+    new = np.append(True, (shingle[order][1:] != shingle[order][:-1]) | (id_[order][1:] != id_[order][:-1]))[: len(order)]
+    order = order[new]  # equal texts of several rows
+    shingle, id_, size, place, asked, root = (x[order] for x in (shingle, id_, size, place, asked, root))
+    n = len(shingle)
+    edge = np.append(True, shingle[1:] != shingle[:-1])[:n]
+    bucket = np.cumsum(edge) - 1
+    lo = np.flatnonzero(edge)
+    many = np.diff(np.append(lo, n))
+    # The largest root of each bucket.
+    by = np.lexsort((root, bucket))
+    first = np.flatnonzero(np.append(True, (root[by][1:] != root[by][:-1]) | (bucket[by][1:] != bucket[by][:-1]))[:n])
+    length = np.diff(np.append(first, n))
+    top = np.lexsort((length, bucket[by][first]))
+    last = np.append(bucket[by][first][top][1:] != bucket[by][first][top][:-1], True)[: len(top)]
+    main = root[by][first][top[last]]
+    ask = np.flatnonzero(~asked & (root != main[bucket]))
+    ask = ask[np.lexsort((id_[ask], place[ask] / size[ask], bucket[ask]))]
+    waiting = np.bincount(bucket[ask], minlength=len(lo))
+    nth = np.arange(len(ask)) - (np.cumsum(waiting) - waiting)[bucket[ask]]
+    may = np.maximum(1, SHARE * direct // np.maximum(many, 1))
+    ask = ask[nth < may[bucket[ask]]]
+    left = (waiting > may)[bucket]
+    asked = asked.copy()
+    asked[ask] = True
+    found = []
+    ends = np.cumsum(many[bucket[ask]])
+    i = 0
+    while i < len(ask):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+        run, at = segments(many[bucket[ask[i:j]]])
+        a, b = ask[i:j][run], lo[bucket[ask[i:j]]][run] + at
+        # The most that both can share if this is the first shingle they share.
+        most = np.minimum(size[a] - place[a], size[b] - place[b])
+        ok = (root[a] != root[b]) & (most * (1 + LIKENESS) >= LIKENESS * (size[a].astype(np.int64) + size[b]) - 1e-6)
+        found.append(np.unique(np.stack((np.minimum(id_[a], id_[b])[ok], np.maximum(id_[a], id_[b])[ok])), axis=1))
+        i = j
+    pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+    return pairs, tuple(x[left] for x in (shingle, id_, size, place, asked))
+
+
+def _candidates(members: DataFrame, direct: int) -> DataFrame:
+    """a, b of pairs to judge, and shingle, a, size, place, asked of members of buckets that need another round."""
+    n = parallelism(members.sparkSession)
+    names = ["a", "b", "shingle", "size", "place", "asked"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(parts):
+            pairs, (shingle, id_, size, place, asked) = _meet(*(np.concatenate(x) for x in zip(*parts)), direct)
+            p, m = pairs.shape[1], len(id_)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *(pa.nulls(p, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(id_), pa.nulls(m, pa.int64()), pa.array(shingle), pa.array(size), pa.array(place), pa.array(asked)], names)
+
+        parts: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns))
+            if len(cols) == 4:  # the first round: none has asked, each is its own root
+                cols += (np.zeros(len(cols[0]), bool), cols[1])
+            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+            if rows > MEMBERS and (cut or parts[-1][0][-1] != cols[0][0]):  # up to the last whole bucket
+                parts.append(tuple(x[:cut] for x in cols))
+                yield from found(parts)
+                parts, rows, cols = [], 0, tuple(x[cut:] for x in cols)
+            parts.append(cols)
+            rows += len(cols[0])
+        if parts:
+            yield from found(parts)
+
+    sent = members.repartition(n, "shingle").sortWithinPartitions("shingle")
+    return sent.mapInArrow(compare, "a long, b long, shingle long, size int, place int, asked boolean")
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingles(t).tobytes() for t in utf8(batch.column("text"))], pa.binary())], ["id", "own"])
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of a, each a's own set before those of the b it is held against: the pairs that are near copies."""
+    hub, own = None, b""
     for batch in batches:
-        like = [overlap(a, b) >= LIKENESS for a, b in zip(batch.column("left_").to_pylist(), batch.column("right_").to_pylist())]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "star")), pa.array(like, pa.bool_())], ["a", "b", "star", "like"])
+        a, b = [], []
+        for x, y, z in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "own"))):
+            if y is None:
+                hub, own = x, z
+            elif hub == x and overlap(own, z) >= LIKENESS:
+                a.append(x)
+                b.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose whole sets of shingles overlap by LIKENESS or more."""
+    # The text of more pairs is the one that is sent once.
+    often = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")))
+    texts = docs.join(often, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    sets = durable(texts.mapInArrow(_sets, "id long, own binary"))
+    with_n = pairs.join(often.toDF("a", "na"), "a").join(often.toDF("b", "nb"), "b")
+    turned = with_n.select(F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("na") >= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("id"))
+    hubs = sets.join(turned.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "own")
+    rows = hubs.unionByName(turned.join(sets, "id").select("a", F.col("id").alias("b"), "own"))
+    n = parallelism(docs.sparkSession)
+    return durable(rows.repartition(n, "a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(_judged, "a long, b long"))
+
+
+def _release(df: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are durable: it does when the driver collects garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash of the documents that stay: of each group that confirmed links join, the one of smallest doc_id.
+    """doc_id, text_hash of the documents that stay: of each group that links join, the one of smallest doc_id.
 
-    Equal texts are one class. Classes whose fingerprints differ in BITS bits or fewer are candidates, and linked if
-    their shingles overlap by LIKENESS or more. A fingerprint with more than DIRECT candidates is held against those
-    that most others are candidates of, as the original of a large group of near copies is; what finds no match among
-    them goes to another round with its like, where GROWTH times as many are named, until all are or a match is found.
+    Equal texts are one class. Two classes are linked if their sets of shingles overlap by LIKENESS or more; every such
+    two are in one group. Where many meet at a shingle, some are held against all others first, and only those that
+    no link has joined by then go on (see _meet), in rounds until every pair is judged or joined.
     Null doc_ids come last, repeated rows count once, empty tables give empty results.
     """
-    hashed = docs.select("doc_id", "text", text_hash().alias("text_hash"))
-    rows = simhash.fingerprints(hashed, WORDS, SKETCH, ("text_hash",))
+    own = docs.select(text_hash().alias("id"), "text")
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
-    classes = durable(rows.groupBy("text_hash").agg(F.min(key).alias("key"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
-    pool, edges, direct = classes, None, DIRECT
+    classes = durable(docs.select(text_hash().alias("text_hash"), "doc_id").groupBy("text_hash").agg(F.min(key).alias("key")))
+    members = fronts(own, counts(own))
+    roots, direct = None, DIRECT
     while True:
-        heads = durable(pool.groupBy("fp").agg(F.min(F.struct("text_hash", "sketch")).alias("h")).select("fp", F.col("h.text_hash").alias("head"), F.col("h.sketch").alias("head_sketch")))
-        same = pool.join(heads, "fp").where("text_hash <> head").select(F.col("text_hash").alias("a"), F.col("head").alias("b"), F.lit(True).alias("star"), F.col("sketch").alias("left_"), F.col("head_sketch").alias("right_"))
-        pairs = simhash.links(heads, BITS, simhash.THREE_BANDS, direct).toDF("fa", "fb", "star")
-        near = pairs.join(heads.toDF("fa", "a", "left_"), "fa").join(heads.toDF("fb", "b", "right_"), "fb").select("a", "b", "star", "left_", "right_")
-        judged = durable(same.unionByName(near).mapInArrow(_confirmed, "a long, b long, star boolean, like boolean"))
-        good = judged.where("like").select("a", "b")
-        edges = good if edges is None else edges.unionByName(good)
-        again = judged.where("star").groupBy(F.col("a").alias("text_hash")).agg(F.bool_or("like").alias("any")).where("not any")
-        direct *= GROWTH
-        pool = durable(classes.join(again, "text_hash", "left_semi"))
-        if pool.isEmpty():
+        found = durable(_candidates(members, direct))
+        _release(own)
+        links = _links(own, durable(found.where("b is not null").select("a", "b").distinct()))
+        _release(own)
+        roots = durable(stars(links if roots is None else links.unionByName(roots.toDF("a", "b"))))
+        rest = found.where("b is null").select("shingle", F.col("a").alias("id"), "size", "place", "asked")
+        if rest.isEmpty():
             break
-    groups = stars(edges).toDF("text_hash", "root")
-    best = classes.select("text_hash", "key").join(groups, "text_hash", "left").groupBy(F.coalesce("root", "text_hash").alias("root")).agg(F.min(F.struct("key", "text_hash")).alias("k"))
+        members = rest.join(roots.toDF("id", "root"), "id", "left").select("shingle", "id", "size", "place", "asked", F.coalesce("root", "id").alias("root"))
+        direct *= GROWTH
+    best = classes.join(roots.toDF("text_hash", "root"), "text_hash", "left").groupBy(F.coalesce("root", "text_hash").alias("root")).agg(F.min(F.struct("key", "text_hash")).alias("k"))
     return best.select(F.col("k.key.doc_id").alias("doc_id"), F.col("k.text_hash").alias("text_hash"))
