@@ -54,3 +54,20 @@ def test_links_between_groups_are_kept(spark, monkeypatch, direct):
     monkeypatch.setattr(near_copies, "DIRECT", direct)
     monkeypatch.setattr(near_copies, "SHARE", 4, raising=False)
     assert found(spark, texts) == kept(texts)[0]
+
+
+def test_long_texts_are_judged_by_all_shingles(spark):
+    """Pairs of 900 words a little over and under the bound."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(40):
+        a = text_of(rng, 900)
+        texts += [a, changed(rng, a, rng.randrange(17, 26))]
+    want, like = kept(texts)
+    assert sum(0.8 <= v < 0.83 for v in like.values()) > 5 and sum(0.77 < v < 0.8 for v in like.values()) > 5
+    assert found(spark, texts) == want
+
+
+def test_overlap_counts_all():
+    a = np.arange(1000, dtype=np.uint64)
+    assert near_copies.overlap(a.tobytes(), a[:790].tobytes()) == 0.79 and near_copies.overlap(a[200:].tobytes(), a.tobytes()) == 0.8
