@@ -71,3 +71,18 @@ def test_long_texts_are_judged_by_all_shingles(spark):
 def test_overlap_counts_all():
     a = np.arange(1000, dtype=np.uint64)
     assert near_copies.overlap(a.tobytes(), a[:790].tobytes()) == 0.79 and near_copies.overlap(a[200:].tobytes(), a.tobytes()) == 0.8
+
+
+def test_no_pair_over_the_bound_is_missed(spark):
+    """Short and long texts, texts that share much with many others, parts of others, repeated lines."""
+    rng = random.Random(7)
+    common = text_of(rng, 40)
+    texts = [[], ["one"], ["one", "two"], ["one", "two", "three"]]
+    for _ in range(60):
+        n = rng.choice((20, 60, 120, 300))
+        a = text_of(rng, n)
+        a[5:5] = common * rng.randrange(3)
+        texts += [a, changed(rng, a, max(1, n // rng.choice((40, 45, 50)))), a[: int(len(a) * rng.uniform(0.75, 0.9))], a + common * 3]
+    want, like = kept(texts)
+    assert sum(0.8 <= v < 0.85 for v in like.values()) > 20
+    assert found(spark, texts) == want
