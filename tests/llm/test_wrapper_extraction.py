@@ -65,3 +65,15 @@ def test_constant_texts_are_template(spark, odd):
     assert got[None, "http://solo.example/"].text.startswith("Read our terms")
     assert got[30, None].text == "" and got[30, None].n_chars == 0
     assert w.query(spark, pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("varying,fixed", [(10, 1), (30, 1), (2, 25)])
+def test_every_text_of_a_node_is_counted(spark, varying, fixed):
+    """One node holds texts of all pages, one that is on 58 %, one that is on 62 %, and many that vary."""
+    rows = []
+    for i in range(100):
+        own = [f"constant {k}" for k in range(fixed)] + [f"page {i} text {k}" for k in range(varying)] + ["less"] * (i < 58) + ["more"] * (i >= 38)
+        rows.append((i, f"http://h.example/{i}", "<article>" + "".join(f"<p>{x}</p>" for x in own) + "</article>"))
+    got = {r.page_id: r.text.split("\n\n") for r in w.query(spark, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    for i in range(100):
+        assert got[i] == [f"page {i} text {k}" for k in range(varying)] + ["less"] * (i < 58)

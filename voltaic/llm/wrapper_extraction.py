@@ -44,7 +44,7 @@ ASIDE_WORDS = frozenset(
 MAIN_WORDS = frozenset("article content post entry story main body".split())
 #: A text is template where this share of a node's pages has it, of at least so many different pages.
 CONSTANT, PAGES = 0.6, 4
-#: Texts that a node counts (Misra-Gries): none that more than 1 in so many pages has is lost.
+#: Texts that a node's summary counts (Misra-Gries). Templates are made from whole counts instead.
 COUNTED = 16
 #: Salts of a host's pages in the join with its template.
 SALTS = 16
@@ -208,17 +208,25 @@ class Slot:
     def __init__(self, label: str):
         self.label, self.kids, self.pages, self.counts = label, [], 0, {}
 
-    def add(self, pages: int, counts: dict[str, int]) -> None:
+    def add(self, pages: int, counts: dict[str, int], most: int | None = COUNTED) -> None:
+        """With most, a summary of so many texts; without, every count."""
         self.pages += pages
         for text, n in counts.items():
             self.counts[text] = self.counts.get(text, 0) + n
-        if len(self.counts) > COUNTED:
-            cut = sorted(self.counts.values(), reverse=True)[COUNTED]
+        if most is not None and len(self.counts) > most:
+            cut = sorted(self.counts.values(), reverse=True)[most]
             self.counts = {t: n - cut for t, n in self.counts.items() if n > cut}
 
     def constants(self) -> list[str]:
         return sorted(t for t, n in self.counts.items() if n >= CONSTANT * self.pages) if self.pages >= PAGES else []
 
+    def preorder(self) -> list[Slot]:
+        out, todo = [], [self]
+        while todo:
+            out.append(todo.pop())
+            todo += reversed(out[-1].kids)
+        return out
+
     def as_list(self) -> list:
         return [self.label, self.pages, self.counts, [k.as_list() for k in self.kids]]
 
@@ -320,20 +328,45 @@ class Template:
         if slots is None:
             slots = self.known[page.shape] = align(self.root, page, True)
         for slot, members in zip(slots, runs(page)):
-            slot.add(1, {_hash(t): 1 for m in members for t in m.texts})
+            slot.add(1, {_hash(t): 1 for m in members for t in m.texts}, None)
 
-    def merge(self, slot: Slot, other: Slot) -> None:
-        slot.add(other.pages, other.counts)
+    def merge(self, slot: Slot, other: Slot) -> list[Slot]:
+        """Adds other to slot; gives the slot of each of other's nodes in preorder."""
+        slot.add(other.pages, other.counts, None)
         _, pairs = match(slot.kids, other.kids, lambda s: s.kids, lambda s: s.kids, lambda s: s.label, lambda s: s.label)
-        new, at, used = [], 0, dict((j, i) for i, j in pairs)
+        out, new, at, used = [slot], [], 0, dict((j, i) for i, j in pairs)
         for j, kid in enumerate(other.kids):
             if j in used:
                 new += slot.kids[at : used[j] + 1]
                 at = used[j] + 1
-                self.merge(slot.kids[used[j]], kid)
+                out += self.merge(slot.kids[used[j]], kid)
             else:
                 new.append(kid)
+                out += kid.preorder()
         slot.kids = new + slot.kids[at:]
+        return out
+
+    @staticmethod
+    def whole(parts: list[str]) -> Template:
+        """The template of parts (as JSON) that counted every text; it has the exact counts of its constant texts.
+
+        A text of CONSTANT of all pages at a node is one of CONSTANT of some part's there, so only those are added up.
+        """
+        out, places = Template(), []
+        for x in parts:
+            part = Slot.of(json.loads(x))
+            for s in part.preorder():
+                s.counts = {t: 0 for t, n in s.counts.items() if n >= CONSTANT * s.pages}
+            places.append(out.merge(out.root, part))
+        for x, place in zip(parts, places):
+            for s, to in zip(Slot.of(json.loads(x)).preorder(), place):
+                for t, n in s.counts.items():
+                    if t in to.counts:
+                        to.counts[t] += n
+        for s in out.root.preorder():
+            own = set(s.constants())
+            s.counts = {t: n for t, n in s.counts.items() if t in own}
+        return out
 
 
 def main_text(page: Node, constant: dict[int, set[str]]) -> str:
@@ -387,9 +420,7 @@ def extract(pages: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(list(templates), pa.string()), pa.array([json.dumps(t.root.as_list()) for t in templates.values()], pa.string())], ["host", "template"])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        whole = Template()
-        for x in sorted(group["template"]):
-            whole.merge(whole.root, Slot.of(json.loads(x)))
+        whole = Template.whole(sorted(group["template"]))
         return pd.DataFrame({"host": group["host"].iloc[:1], "template": [json.dumps(whole.root.as_list())]})
 
     parts = pages.select("host", "html").mapInArrow(learn, "host string, template string")
