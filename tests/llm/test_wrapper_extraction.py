@@ -77,3 +77,35 @@ def test_every_text_of_a_node_is_counted(spark, varying, fixed):
     got = {r.page_id: r.text.split("\n\n") for r in w.query(spark, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
     for i in range(100):
         assert got[i] == [f"page {i} text {k}" for k in range(varying)] + ["less"] * (i < 58)
+
+
+def table(a, b):
+    """Size of the largest matching by the square table."""
+    size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, (x, p) in enumerate(a):
+        for j, (y, q) in enumerate(b):
+            size[i + 1][j + 1] = max(size[i][j + 1], size[i + 1][j], size[i][j] + 1 + table(p, q) if x == y else 0)
+    return size[-1][-1]
+
+
+def test_matching_is_the_largest_at_every_size():
+    import random
+
+    rng = random.Random(3)
+
+    def tree(n, depth):
+        return [(rng.choice("abcd"), tree(rng.randrange(3), depth - 1) if depth else []) for _ in range(n)]
+
+    args = (lambda x: x[1], lambda x: x[1], lambda x: x[0], lambda x: x[0])
+    for _ in range(60):
+        a, b = tree(rng.randrange(12), 2), tree(rng.randrange(12), 2)
+        size, pairs = w.match(a, b, *args)
+        assert size == table(a, b) == sum(1 + table(a[i][1], b[j][1]) for i, j in pairs)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:])) and all(a[i][0] == b[j][0] for i, j in pairs)
+    # One optional element whose label comes again only at the end; and a difference 100 levels down.
+    long = [("p", []), ("ul", [])] * 300
+    assert w.match([("h2", []), *long], [*long, ("h2", [])], *args)[0] == 600
+    a, b = [("q", []), ("p", [])], [("p", []), ("q", []), ("p", [])]
+    for _ in range(100):
+        a, b = [("div", a)], [("div", b)]
+    assert w.match(a, b, *args)[0] == 102

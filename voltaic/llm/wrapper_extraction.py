@@ -10,10 +10,12 @@ adverts, forms, comments and the like.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -237,41 +239,61 @@ class Slot:
         return slot
 
 
-def match(a: list, b: list, kids_a, kids_b, label_a, label_b, depth: int = 0) -> tuple[int, list[tuple[int, int]]]:
+def match(a: list, b: list, kids_a, kids_b, label_a, label_b, paired: bool = True) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two child lists: size of the largest ordered matching, and its pairs.
 
-    Lists too long for the square table pair up greedily, in order, by label.
+    The table is kept as every so many-th row; on the way back the rows between are made again. Not paired: the size alone.
     """
     n, m = len(a), len(b)
     if not n or not m:
         return 0, []
-    if n * m > 250_000 or depth > 60:
-        pairs, j = [], 0
-        for i in range(n):
-            k = next((k for k in range(j, m) if label_b(b[k]) == label_a(a[i])), None)
-            if k is not None:
-                pairs.append((i, k))
-                j = k + 1
-        return len(pairs), pairs
-    size = [[0] * (m + 1) for _ in range(n + 1)]
-    own = {}
+    # All b of a label, those without children apart: they weigh 1.
+    at: dict[str, list[int]] = {}
+    for j in range(m):
+        at.setdefault(label_b(b[j]), []).append(j)
+    like = {label: np.array(own) for label, own in at.items()}
+    deep = {label: [j for j in own if kids_b(b[j])] for label, own in at.items()}
+    step = math.isqrt(n - 1) + 1
+
+    def weights(i: int) -> np.ndarray:
+        out = np.zeros(m, np.int32)
+        label = label_a(a[i])
+        if label in like:
+            out[like[label]] = 1
+            own = kids_a(a[i])
+            for j in deep[label] if own else ():
+                out[j] += match(own, kids_b(b[j]), kids_a, kids_b, label_a, label_b, False)[0]
+        return out
+
+    def following(row: np.ndarray, w: np.ndarray) -> np.ndarray:
+        best = row.copy()
+        best[1:] = np.maximum(best[1:], np.where(w > 0, row[:-1] + w, 0))
+        return np.maximum.accumulate(best)
+
+    row = np.zeros(m + 1, np.int32)
+    marks = []
     for i in range(n):
-        for j in range(m):
-            best = max(size[i][j + 1], size[i + 1][j])
-            if label_a(a[i]) == label_b(b[j]):
-                own[i, j] = w = 1 + match(kids_a(a[i]), kids_b(b[j]), kids_a, kids_b, label_a, label_b, depth + 1)[0]
-                best = max(best, size[i][j] + w)
-            size[i + 1][j + 1] = best
-    pairs, i, j = [], n, m
+        if paired and i % step == 0:
+            marks.append(row)
+        row = following(row, weights(i))
+    most = int(row[m])
+    pairs, i, j = [], n if paired else 0, m
     while i and j:
-        if (i - 1, j - 1) in own and size[i][j] == size[i - 1][j - 1] + own[i - 1, j - 1]:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif size[i][j] == size[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return size[n][m], pairs[::-1]
+        low = (i - 1) // step * step
+        rows, own = [marks[low // step]], []
+        for k in range(low, i):
+            own.append(weights(k))
+            rows.append(following(rows[-1], own[-1]))
+        while i > low and j:
+            w = own[i - 1 - low][j - 1]
+            if w and rows[i - low][j] == rows[i - 1 - low][j - 1] + w:
+                pairs.append((i - 1, j - 1))
+                i, j = i - 1, j - 1
+            elif rows[i - low][j] == rows[i - 1 - low][j]:
+                i -= 1
+            else:
+                j -= 1
+    return most, pairs[::-1]
 
 
 def align(slot: Slot, node: Node, grow: bool) -> list[tuple[Slot | None, list[int]]]:
