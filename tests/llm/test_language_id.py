@@ -84,3 +84,12 @@ def test_pieces_do_not_matter(spark, sample, monkeypatch):
     whole = l.identify(items, model)
     monkeypatch.setattr(l, "PIECE", 500)
     assert l.identify(items, model) == whole
+
+
+def test_more_labels_than_a_byte_holds():
+    rng = np.random.default_rng(4)
+    many = np.array([40, 3, 0, 25])
+    for k in (128, 129, 400):
+        score = rng.normal(size=(many.sum(), k)).astype(np.float32) * 3
+        got = l.viterbi(score, many, 2.0)
+        assert got.tolist() == brute(score, many, 2.0) and got.max() > 120

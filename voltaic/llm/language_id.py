@@ -144,12 +144,13 @@ def viterbi(score: np.ndarray, many: np.ndarray, penalty: float) -> np.ndarray:
     order = np.argsort(-many, kind="stable")
     order = order[many[order] > 0]
     start, many = start[order], many[order]
-    label, back = np.zeros(len(score), np.int8), np.zeros(score.shape, np.int8)
+    kind = np.int8 if score.shape[1] <= 128 else np.int32
+    label, back = np.zeros(len(score), kind), np.zeros(score.shape, kind)
     if not len(order):
         return label
     steps = int(many[0])
     live = np.searchsorted(-many, -np.arange(steps), "left")  # texts with more than t words
-    own = np.arange(score.shape[1], dtype=np.int8)
+    own = np.arange(score.shape[1], dtype=kind)
     value = score[start].copy()
     back[start] = own
     for t in range(1, steps):
@@ -158,9 +159,9 @@ def viterbi(score: np.ndarray, many: np.ndarray, penalty: float) -> np.ndarray:
         best = v.argmax(axis=1)
         top = np.take_along_axis(v, best[:, None], 1) - penalty
         stay = v >= top
-        back[at] = np.where(stay, own, best[:, None].astype(np.int8))
+        back[at] = np.where(stay, own, best[:, None].astype(kind))
         value[:k] = np.where(stay, v, top) + score[at]
-    state = value.argmax(axis=1).astype(np.int8)
+    state = value.argmax(axis=1).astype(kind)
     for t in range(steps - 1, -1, -1):
         k = live[t]
         at = start[:k] + t
