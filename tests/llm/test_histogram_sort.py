@@ -14,7 +14,7 @@ def check(got, shards):
     for rows in own.values():
         assert sorted(r.slot for r in rows) == list(range(len(rows)))
     keys = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))]
-    rank = [-(10**19) if k is None else k for k in keys]
+    rank = [-(10**20) if k is None else k for k in keys]
     assert rank == sorted(rank)
     return [sum(r.size or 0 for r in own.get(i, [])) for i in range(shards)]
 
@@ -33,13 +33,29 @@ def test_one_key_of_a_third(spark):
     assert max(sizes) - min(sizes) <= 8
 
 
-@pytest.mark.parametrize("keys", [[-(2**63) + 5, 0, 2**63 - 2, 17], [None, None, 3, 3], [1], [2**62, 2**62 + 1, -(2**62) - 9, None]])
+@pytest.mark.parametrize(
+    "keys",
+    [[-(2**63) + 5, 0, 2**63 - 2, 17], [None, None, 3, 3], [1], [2**62, 2**62 + 1, -(2**62) - 9, None], [2**63 - 1, 5, 7, 9], [None, -(2**63), 2**63 - 1, 0], [2**63 - 1], [-(2**63), None], [None]],
+)
 def test_extreme_keys(spark, keys):
     df = spark.createDataFrame([(k, 10) for k in keys for _ in range(20)], "doc_id long, size long")
     sizes = check(h.shard_by_bytes(df, shards=4).collect(), 4)
     assert sum(sizes) == 10 * 20 * len(keys) and max(sizes) - min(sizes) <= 40
 
 
+def test_keys_a_step_apart_over_the_whole_range(spark):
+    rows = [(-(2**63) + i * (2**64 // 999), 3) for i in range(1000)]
+    sizes = check(h.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, size long"), shards=8).collect(), 8)
+    assert max(sizes) - min(sizes) <= 3
+
+
+def test_several_large_keys(spark):
+    """Cuts inside different keys are searched together."""
+    df = spark.range(4000).select((F.col("id") % 3 * 10).alias("doc_id"), (F.col("id") % 5 + 1).alias("size"))
+    sizes = check(h.shard_by_bytes(df, shards=16).collect(), 16)
+    assert max(sizes) - min(sizes) <= 12
+
+
 def test_no_weight_and_nulls(spark):
     df = spark.createDataFrame([(i, None if i % 2 else 0, "x") for i in range(40)], "doc_id long, size long, Shard string")
     got = h.shard_by_bytes(df, shards=4)

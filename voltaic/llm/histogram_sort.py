@@ -16,59 +16,85 @@ from .common import durable, free_name
 PROBES = 64
 
 
-def _refine(rows: DataFrame, key: str, weight: str, lo: int, hi: int, targets: list[float], tolerance: float) -> list[tuple[int, int, int]]:
-    """For each target the last (boundary, weight below it, weight below the next candidate).
+LONGS = range(-(2**63), 2**63)
 
-    A boundary is a key; what lies below it is smaller than the key. lo: no key is below; hi: every key is.
+
+def _number(x: int) -> Column:
+    return F.lit(x).cast("long") if x in LONGS else F.lit(str(x)).cast("decimal(20,0)")
+
+
+def _refine(rows: DataFrame, key: str, weight: str, brackets: list[tuple[int, int, int, int]], targets: list[float], tolerance: float, within: str | None = None, of: list[int] | None = None) -> list[tuple[int, int]]:
+    """For each target the boundary nearest to it and the weight below that.
+
+    A boundary is a key; what lies below it is smaller than the key. brackets: per target a key, the weight below it, a
+    larger key, the weight below that. within, of: the target's rows are those whose column `within` has its value.
     Each pass is one aggregation with a row for each probe; the driver gets those sums only.
     """
-    total = int(targets.pop())
-    brackets = [(lo, 0, hi, total)] * len(targets)
-    done: list[tuple[int, int, int] | None] = [None] * len(targets)
+    of = of or [0] * len(targets)
+    done: list[tuple[int, int] | None] = [None] * len(targets)
     while True:
         for i, (a, wa, b, wb) in enumerate(brackets):
             if done[i] is None:
-                near, w, other = (a, wa, wb) if abs(wa - targets[i]) <= abs(wb - targets[i]) else (b, wb, wb)
+                near, w = (a, wa) if abs(wa - targets[i]) <= abs(wb - targets[i]) else (b, wb)
                 if abs(w - targets[i]) <= tolerance or b - a <= 1:
-                    done[i] = (near, w, other)
-        ask = sorted({brackets[i] for i, x in enumerate(done) if x is None})
+                    done[i] = (near, w)
+        ask = sorted({(of[i], *brackets[i]) for i, x in enumerate(done) if x is None})
         if not ask:
             return done  # type: ignore[return-value]
-        wide = max(b - a for a, _, b, _ in ask) >= 2**62 or min(a for a, *_ in ask) < -(2**62)
-        k = F.col(key).cast("decimal(20,0)") if wide else F.col(key)
         cell: Column | None = None
-        for n, (a, _, b, _) in enumerate(ask):
+        for n, (group, a, _, b, _) in enumerate(ask):
             step = -(-(b - a) // PROBES)
-            at = (F.floor((k - F.lit(a)) / F.lit(step)) if wide else F.expr(f"(`{key}` - {a}L) div {step}L")).cast("long") + F.lit(n * (PROBES + 1))
-            inside = (F.col(key) >= F.lit(a)) & (F.col(key) < F.lit(b))
+            if a in LONGS and b - a in LONGS and b in LONGS:
+                at = F.expr(f"(`{key}` - cast('{a}' as long)) div {step}L")
+            else:  # decimals: whole numbers, and their division is exact
+                at = F.expr(f"(cast(`{key}` as decimal(20,0)) - cast('{a}' as decimal(20,0))) div cast('{step}' as decimal(20,0))")
+            inside = (F.col(key) >= _number(a)) & (F.col(key) < _number(b))
+            if within is not None:
+                inside = (F.col(within) == _number(group)) & inside
+            at = at + F.lit(n * (PROBES + 1)).cast("long")
             cell = F.when(inside, at) if cell is None else cell.when(inside, at)
         sums = {r[0]: int(r[1]) for r in rows.select(cell.alias("cell"), weight).where("cell is not null").groupBy("cell").agg(F.sum(weight)).collect()}
         finer = {}
-        for n, (a, wa, b, wb) in enumerate(ask):
+        for n, (group, a, wa, b, wb) in enumerate(ask):
             step = -(-(b - a) // PROBES)
             keys, below = [a], [wa]
             for j in range(PROBES):
                 keys.append(min(b, a + step * (j + 1)))
                 below.append(below[-1] + sums.get(n * (PROBES + 1) + j, 0))
-            finer[(a, wa, b, wb)] = (keys, below)
+            finer[(group, a, wa, b, wb)] = (keys, below)
         for i, x in enumerate(done):
             if x is None:
-                keys, below = finer[brackets[i]]
+                keys, below = finer[(of[i], *brackets[i])]
                 j = min(max(bisect_right(below, targets[i]) - 1, 0), len(keys) - 2)
                 while keys[j + 1] <= keys[j] and j:
                     j -= 1
                 brackets[i] = (keys[j], below[j], keys[j + 1], below[j + 1])
 
 
+def _cuts_inside(rows: DataFrame, key: str, row: str, weight: str, found: list[tuple[int, int]], missed: list[int], aims: list[float], last: int, tolerance: float) -> dict[int, tuple[int, int]]:
+    """For the targets that no key meets: the key whose rows the boundary cuts apart, and the row where it does.
+
+    That is the key at the boundary, or the one just below it. All of them together take three aggregations and the passes.
+    """
+    high = sorted({found[i][0] for i in missed if found[i][1] >= aims[i]})
+    below = dict(zip(high, rows.agg(*[F.max(F.when(F.col(key) < _number(x), F.col(key))) for x in high]).first())) if high else {}
+    inside = {i: found[i][0] if found[i][1] < aims[i] else int(below[found[i][0]]) for i in missed}
+    own = rows.where(F.col(key).isin(*[_number(x) for x in sorted(set(inside.values()))]))
+    mass = {int(r[0]): int(r[1]) for r in own.groupBy(key).agg(F.sum(weight)).collect()}
+    before = {i: found[i][1] - (0 if found[i][1] < aims[i] else mass[inside[i]]) for i in missed}
+    cuts = _refine(own, row, weight, [(0, 0, last + 1, mass[inside[i]]) for i in missed], [aims[i] - before[i] for i in missed], tolerance, key, [inside[i] for i in missed])
+    return {i: (inside[i], at) for i, (at, _) in zip(missed, cuts)}
+
+
 def shard_by_bytes(df: DataFrame, key: str = "doc_id", weight: str = "size", shards: int = 24, tolerance: float = 0.001, rows_per_task: int = 20_000_000) -> DataFrame:
     """df in `shards` key ranges of nearly equal weight, with `shard` int and `slot` long, gapless from 0 in key order.
 
     tolerance: the part of a shard's weight by which a boundary may miss. Boundaries come from exact sums
     over all rows; only the sums below the probes reach the driver (64 for each boundary). Rows of one key may
     be cut apart: what a key cannot settle, a row number does, so a key that holds a third of all rows is spread.
-    Null keys come first, null weights count as 0, repeated rows keep a slot each, an empty table gives an empty
-    result, and columns called shard or slot are replaced. df is read once and kept as a checkpoint; pass the
-    columns that the result needs.
+    Null keys come first, any long may be a key, null weights count as 0, repeated rows keep a slot each, an empty
+    table gives an empty result, and columns called shard or slot are replaced. df is read once and kept as a
+    checkpoint; pass the columns that the result needs.
     """
     spark = df.sparkSession
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")])
@@ -78,38 +104,22 @@ def shard_by_bytes(df: DataFrame, key: str = "doc_id", weight: str = "size", sha
     if not n:
         return rows.drop(k, u, w).withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
     low, high = (0, 0) if low is None else (low, high)
-    if nulls and low == -(2**63):
-        raise ValueError("null keys and the smallest long together")
     low -= bool(nulls)
-    rows = rows.withColumn(k, F.coalesce(F.col(k), F.lit(low)))
+    if low not in LONGS or high + 1 not in LONGS:
+        rows = rows.withColumn(k, F.col(k).cast("decimal(20,0)"))
+    rows = rows.withColumn(k, F.coalesce(F.col(k), _number(low)))
     if not total:  # no weight at all: rows count instead
         rows, total = rows.withColumn(w, F.lit(1).cast("long")), n
     parts = max(1, -(-n // (shards * rows_per_task)))  # ranges of a shard, so that no task sorts a whole large shard
     cuts = shards * parts
     aims = [total * i / cuts for i in range(1, cuts)]
     slack = tolerance * total / cuts
-    found = _refine(rows.select(k, w), k, w, low, high + 1, [*aims, total], slack)
-    tied: dict[int, list[int]] = {}
-    for i, (at, below, _) in enumerate(found):
-        if abs(below - aims[i]) > slack:
-            tied.setdefault(at, []).append(i)
-    bounds: list[tuple[int, int]] = [(at, -1) for at, _, _ in found]
-    if tied:
-        # The boundary lies inside the rows of one key: of the one at the boundary, or of the one just below it.
-        for at, missed in tied.items():
-            for i in missed:
-                inside = at if found[i][1] < aims[i] else None
-                if inside is None:
-                    inside = rows.where(F.col(k) < F.lit(at)).agg(F.max(k)).first()[0]
-                own = rows.where(F.col(k) == F.lit(inside)).select(u, w)
-                before = found[i][1] if inside == at else found[i][1] - int(own.agg(F.sum(w)).first()[0])
-                mass = int(own.agg(F.sum(w)).first()[0] or 0)
-                cut = _refine(own, u, w, 0, last + 1, [aims[i] - before, mass], slack)[0][0]
-                bounds[i] = (inside, cut)
-    bounds.sort()
+    found = _refine(rows.select(k, w), k, w, [(low, 0, high + 1, total)] * len(aims), aims, slack)
+    missed = [i for i, (_, below) in enumerate(found) if abs(below - aims[i]) > slack]
+    inside = _cuts_inside(rows.select(k, u, w), k, u, w, found, missed, aims, last, slack) if missed else {}
     at = F.lit(0)
-    for b, row in bounds:
-        at = at + F.when((F.col(k) > F.lit(b)) | ((F.col(k) == F.lit(b)) & (F.col(u) >= F.lit(row))), 1).otherwise(0)
+    for b, row in sorted(inside.get(i, (x[0], -1)) for i, x in enumerate(found)):
+        at = at + F.when((F.col(k) > _number(b)) | ((F.col(k) == _number(b)) & (F.col(u) >= F.lit(row))), 1).otherwise(0)
     placed = rows.withColumn(cell, at)
     counts = dict(placed.groupBy(cell).count().collect())
     first, start = [], 0
