@@ -95,11 +95,9 @@ def test_query(spark, sample, odd, none):
 
 
 def test_overlap():
-    a, b = np.arange(100, dtype=np.uint32), np.arange(20, 120, dtype=np.uint32)
+    a, b = np.arange(100, dtype=np.uint64), np.arange(20, 120, dtype=np.uint64)
     assert near_copies.overlap(a.tobytes(), b.tobytes()) == pytest.approx(80 / 120)
     assert near_copies.overlap(b"", b"") == 1.0 and near_copies.overlap(b"", a.tobytes()) == 0.0
-    big = np.arange(1000, dtype=np.uint32)
-    assert near_copies.overlap(big[: near_copies.SKETCH].tobytes(), big[: near_copies.SKETCH].tobytes()) == 1.0
 
 
 def test_survivors_match_brute_force(spark, sample, none):
@@ -119,7 +117,7 @@ def test_survivors_match_brute_force(spark, sample, none):
     pairs = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
     want = set(groups(ids, pairs).values())
     got = {r.doc_id for r in near_copies.survivors(docs).collect()}
-    assert not want - got and len(got - want) <= 2 and not got & {m[0] for m in more}
+    assert got == want and not got & {m[0] for m in more}
     assert near_copies.survivors(none).count() == 0
 
 
@@ -134,4 +132,4 @@ def test_more_partners_than_are_named(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     monkeypatch.setattr(near_copies, "DIRECT", 2)
     got = {r.doc_id for r in near_copies.survivors(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {0, 1} <= got and len(got) <= 6
+    assert got == {0, 1}

@@ -36,6 +36,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df marked for broadcast if it has `most` rows or fewer, else as it is: joins with it shuffle then. Rows must be short, df cheap to read."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,8 +1,9 @@
-"""Choosing one document of each group of near copies: an exact join of texts by the overlap of their shingles.
+"""Choosing one document of each group of near copies: SimHash by anchors, then an exact join by the overlap of shingles.
 
-The shingles of all texts have one order, those of rarely met cells first. Of two texts that overlap enough, the first
-shingle in that order that both have stands near the front of both, so texts meet at the shingles of their fronts
-(prefix filter) and no pair is missed. Every pair that meets and isn't joined already is judged by its whole sets.
+Texts whose SimHash fingerprints link at the anchors of a covering code are judged first, by their whole sets of
+shingles. Fingerprints miss many pairs near the threshold, so the rest are found exactly: the shingles of all texts have one order, those of rarely met cells first. Of two texts that overlap enough, the first shingle in that order that both have
+stands near the front of both, so texts meet at the shingles of their fronts (prefix filter) and no pair is missed.
+Every pair that meets and isn't joined already is judged by its whole sets.
 """
 
 from __future__ import annotations
@@ -12,17 +13,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import durable, parallelism, segments, utf8
+from .common import durable, few, parallelism, segments, utf8
 from .components import stars
 
-#: Words of a shingle, least likeness of near copies. Nothing is cut to SKETCH hashes; overlap's callers may pass so many.
-WORDS, LIKENESS, SKETCH = 5, 0.8, 128
+#: Words of a shingle, least likeness of near copies.
+WORDS, LIKENESS = 5, 0.8
 #: Members of a small bucket that ask in the first round (see _meet), how that grows from round to round, and pairs for each.
 DIRECT, GROWTH, SHARE = 16, 8, 64
+#: Pairs of one text that one task judges.
+PER_HUB = 1000
 #: Cells of shingle counts; they order shingles and leave none out.
 CELLS = 1 << 20
 #: Members of buckets that are looked at together, and pairs that are compared at once.
@@ -54,26 +58,53 @@ def _cells(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-def counts(docs: DataFrame) -> np.ndarray:
-    """How many shingles of all texts are in each cell: a table of fixed size, whatever the input."""
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each id that a task meets, so that copies don't fill the buckets of their shingles."""
+    seen: set[int] = set()
+    for batch in batches:
+        new = []
+        for x in batch.column("id").to_pylist():
+            new.append(x not in seen)
+            seen.add(x)
+        if any(new):
+            yield batch if all(new) else batch.filter(pa.array(new))
+
+
+def surveyed(docs: DataFrame) -> DataFrame:
+    """One pass over the texts. Rows with id and fp: each text's SimHash; the others, of a task: how many shingles are in each cell.
+
+    The cells are a table of fixed size, in slices.
+    """
     slices = 64
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            own = [shingles(t) for t in utf8(batch.column("text"))]
-            if own:
+        names = ["id", "fp", "slice", "n"]
+        for batch in _once(batches):
+            fps = []
+            for i in range(0, batch.num_rows, 1000):
+                own = []
+                for text in utf8(batch.column("text").slice(i, 1000)):
+                    h = simhash.shingle_hashes(text, WORDS)
+                    fps.append(simhash.fingerprint(h))
+                    own.append(np.unique(h) if len(h) else np.zeros(1, np.uint64))
                 total += np.bincount(_cells(np.concatenate(own)), minlength=CELLS)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps, pa.int64()), pa.nulls(len(fps), pa.int32()), pa.nulls(len(fps), pa.binary())], names)
         if total.any():
-            parts = np.array_split(total, slices)
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "n"])
+            parts = [zstandard.compress(x.tobytes(), 1) for x in np.array_split(total, slices)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int64()), pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], names)
+
+    return docs.select("id", "text").mapInArrow(of, "id long, fp long, slice int, n binary")
+
+
+def counts(survey: DataFrame) -> np.ndarray:
+    """How many shingles of all texts are in each cell; the slices of all tasks are added up on the executors."""
 
     def add(group):
-        total = sum(np.frombuffer(x, np.int64) for x in group["n"])
+        total = sum(np.frombuffer(zstandard.decompress(x), np.int64) for x in group["n"])
         return group[["slice"]].iloc[:1].assign(n=[np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()])
 
-    ddl = "slice int, n binary"
-    got = docs.select("text").mapInArrow(count, ddl).groupBy("slice").applyInPandas(add, ddl).collect()
+    got = survey.where("slice is not null").select("slice", "n").groupBy("slice").applyInPandas(add, "slice int, n binary").collect()
     return np.concatenate([np.frombuffer(r.n, np.uint32) for r in sorted(got, key=lambda r: r.slice)]) if got else np.zeros(CELLS, np.uint32)
 
 
@@ -82,7 +113,7 @@ def fronts(docs: DataFrame, weight: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(weight)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _once(batches):
             rows: list[tuple[np.ndarray, int]] = []
             for text in utf8(batch.column("text")):
                 h = shingles(text)
@@ -163,8 +194,6 @@ def _candidates(members: DataFrame, direct: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             cols = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns))
-            if len(cols) == 4:  # the first round: none has asked, each is its own root
-                cols += (np.zeros(len(cols[0]), bool), cols[1])
             cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
             if rows > MEMBERS and (cut or parts[-1][0][-1] != cols[0][0]):  # up to the last whole bucket
                 parts.append(tuple(x[:cut] for x in cols))
@@ -181,7 +210,9 @@ def _candidates(members: DataFrame, direct: int) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingles(t).tobytes() for t in utf8(batch.column("text"))], pa.binary())], ["id", "own"])
+        for i in range(0, batch.num_rows, 1000):
+            part = batch.slice(i, 1000)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shingles(t).tobytes() for t in utf8(part.column("text"))], pa.binary())], ["id", "own"])
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,17 +230,32 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose whole sets of shingles overlap by LIKENESS or more."""
-    # The text of more pairs is the one that is sent once.
+    """The pairs (durable, distinct) whose whole sets of shingles overlap by LIKENESS or more."""
+    # The text of more pairs is the one that is sent once to each task that judges some of them: a hub.
     often = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")))
-    texts = docs.join(often, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    some = few(often.select("id"))
+    texts = docs.join(some, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     sets = durable(texts.mapInArrow(_sets, "id long, own binary"))
     with_n = pairs.join(often.toDF("a", "na"), "a").join(often.toDF("b", "nb"), "b")
-    turned = with_n.select(F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("na") >= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("id"))
-    hubs = sets.join(turned.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "own")
-    rows = hubs.unionByName(turned.join(sets, "id").select("a", F.col("id").alias("b"), "own"))
+    first = F.col("na") >= F.col("nb")
+    turned = with_n.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("id"), F.greatest("na", "nb").alias("many"))
+    # A hub of many pairs is judged in several tasks.
+    salts = F.ceil(F.col("many") / PER_HUB).cast("int")
+    turned = turned.select("a", "id", salts.alias("salts"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    hubs = turned.groupBy("a").agg(F.max("salts").alias("salts")).select(F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    hubs = hubs.join(sets, "id").select(F.col("id").alias("a"), "salt", F.lit(None).cast("long").alias("b"), "own")
+    rows = hubs.unionByName(turned.join(sets, "id").select("a", "salt", F.col("id").alias("b"), "own"))
     n = parallelism(docs.sparkSession)
-    return durable(rows.repartition(n, "a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(_judged, "a long, b long"))
+    return durable(rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_judged, "a long, b long"))
+
+
+def _by_fingerprint(survey: DataFrame) -> DataFrame:
+    """a, b: texts of equal fingerprints, and of fingerprints that link at the anchors, each held against one of them."""
+    fps = survey.where("slice is null").groupBy("fp").agg(F.min("id").alias("head"))
+    heads = durable(fps)
+    same = survey.where("slice is null").select("id", "fp").join(heads, "fp").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    near = simhash.links(heads).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return durable(same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def _release(df: DataFrame) -> None:
@@ -222,25 +268,30 @@ def survivors(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash of the documents that stay: of each group that links join, the one of smallest doc_id.
 
     Equal texts are one class. Two classes are linked if their sets of shingles overlap by LIKENESS or more; every such
-    two are in one group. Where many meet at a shingle, some are held against all others first, and only those that
-    no link has joined by then go on (see _meet), in rounds until every pair is judged or joined.
-    Null doc_ids come last, repeated rows count once, empty tables give empty results.
+    two are in one group. Those that the anchors of their SimHash fingerprints bring together are judged first. Where many
+    meet at a shingle, some are held against all others first, and only those that no link has joined by then go on
+    (see _meet), in rounds until every pair is judged or joined.
+    Null doc_ids come last, null texts are empty, repeated rows count once, empty tables give empty results; long texts
+    are taken whole.
     """
     own = docs.select(text_hash().alias("id"), "text")
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
     classes = durable(docs.select(text_hash().alias("text_hash"), "doc_id").groupBy("text_hash").agg(F.min(key).alias("key")))
-    members = fronts(own, counts(own))
-    roots, direct = None, DIRECT
+    survey = durable(surveyed(own))
+    links = _links(own, _by_fingerprint(survey))
+    _release(own)
+    roots, direct = durable(stars(links)), DIRECT
+    members = fronts(own, counts(survey))
     while True:
-        found = durable(_candidates(members, direct))
+        named = members.join(few(roots.toDF("id", "root")), "id", "left").select("shingle", "id", "size", "place", *(["asked"] if "asked" in members.columns else [F.lit(False).alias("asked")]), F.coalesce("root", "id").alias("root"))
+        found = durable(_candidates(named, direct))
         _release(own)
         links = _links(own, durable(found.where("b is not null").select("a", "b").distinct()))
         _release(own)
-        roots = durable(stars(links if roots is None else links.unionByName(roots.toDF("a", "b"))))
-        rest = found.where("b is null").select("shingle", F.col("a").alias("id"), "size", "place", "asked")
-        if rest.isEmpty():
+        roots = durable(stars(links.unionByName(roots.toDF("a", "b"))))
+        members = found.where("b is null").select("shingle", F.col("a").alias("id"), "size", "place", "asked")
+        if members.isEmpty():
             break
-        members = rest.join(roots.toDF("id", "root"), "id", "left").select("shingle", "id", "size", "place", "asked", F.coalesce("root", "id").alias("root"))
         direct *= GROWTH
-    best = classes.join(roots.toDF("text_hash", "root"), "text_hash", "left").groupBy(F.coalesce("root", "text_hash").alias("root")).agg(F.min(F.struct("key", "text_hash")).alias("k"))
+    best = classes.join(few(roots.toDF("text_hash", "root")), "text_hash", "left").groupBy(F.coalesce("root", "text_hash").alias("root")).agg(F.min(F.struct("key", "text_hash")).alias("k"))
     return best.select(F.col("k.key.doc_id").alias("doc_id"), F.col("k.text_hash").alias("text_hash"))
