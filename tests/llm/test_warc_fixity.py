@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from voltaic.llm import queries
 from voltaic.llm import warc_fixity as w
@@ -53,6 +54,28 @@ def test_odd_rows(spark):
     assert w.audit(a, a.where("page_id is not null")).count() == 2
 
 
+def test_records_of_one_place(spark):
+    """Equal records count, whatever stands beside them; order does not."""
+
+    def one(*htmls):
+        return pages_of(spark, [(7, "u", h) for h in htmls])
+
+    a = one("a", "m", "m", "z")
+    assert w.audit(a, one("z", "m", "a", "m")).count() == 0
+    for other in (("a", "k", "k", "z"), ("a", "m", "k", "z"), ("a", "m", "z"), ("a", "m", "m", "m", "z"), ("a", "a", "z", "z")):
+        assert [(r.place, r.kind) for r in w.audit(a, one(*other)).collect()] == [(7, "changed")]
+
+
+def test_any_long_and_null_have_places_of_their_own(spark):
+    ids = [-(2**63), -(2**63) + 999, -1000, -999, -16_000, -3, -1, 0, 999, 1000, 2**53 + 1, 2**63 - 1]
+    found = w.records(pages_of(spark, [(i, "u", "x") for i in ids] + [(None, f"http://n/{i}", "x") for i in range(50)]))
+    got = found.select("file", "place", w.page_id(F.col("file"), F.col("place")).alias("page_id")).collect()
+    assert sorted(r.page_id for r in got if r.page_id is not None) == sorted(ids) and sum(r.page_id is None for r in got) == 50
+    assert all(r.file == r.page_id // 1000 and r.place == r.page_id % 1000 for r in got if r.page_id is not None)
+    lost = [r.page_id for r in w.query(spark, pages_of(spark, [(None, "u", "x"), (9, "u", "x"), (2**63 - 1, "u", "x")])).collect()]
+    assert lost == [9]
+
+
 def test_query_matches_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

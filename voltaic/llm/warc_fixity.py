@@ -10,6 +10,8 @@ from .common import durable, without
 #: Children of a tree node, and levels above the records: a file has FANOUT ** LEVELS record places at most.
 FANOUT, LEVELS = 10, 3
 PLACES = FANOUT**LEVELS
+#: Files of pages without a page_id, and the number of the first of them: no page_id's file is as low.
+UNNUMBERED, BELOW = 16, -(2**62)
 
 
 def warc_record(page_id: Column, url: Column, html: Column) -> Column:
@@ -23,22 +25,39 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """file, place, length, digest (SHA-256) of each page's record. A file holds PLACES page_ids in a row; pages without one are dealt by url."""
-    missing = F.pmod(F.crc32(F.coalesce("url", F.lit("")).cast("binary")), F.lit(PLACES * 16))
-    file = F.when(F.col("page_id").isNull(), -1 - F.floor(missing / PLACES)).otherwise(F.expr(f"floor(page_id / {PLACES})")).cast("long")
-    place = F.when(F.col("page_id").isNull(), F.pmod(missing, F.lit(PLACES))).otherwise(F.expr(f"pmod(page_id, {PLACES}L)")).cast("int")
+    """file, place, length, digest (SHA-256) of each page's record. A file holds PLACES page_ids in a row; any long may be one.
+
+    Pages without one are dealt by url to files of their own, below all others.
+    """
+    dealt = F.pmod(F.crc32(F.coalesce("url", F.lit("")).cast("binary")), F.lit(PLACES * UNNUMBERED))
+    place = F.expr(f"pmod(page_id, {PLACES}L)")
+    # Whole-number division rounds to zero.
+    file = F.expr(f"page_id div {PLACES}L") - F.when((F.col("page_id") < 0) & (place > 0), 1).otherwise(0)
+    file = F.when(F.col("page_id").isNull(), F.lit(BELOW) - F.floor(dealt / PLACES)).otherwise(file).cast("long")
+    place = F.when(F.col("page_id").isNull(), F.pmod(dealt, F.lit(PLACES))).otherwise(place).cast("int")
     record = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
     return pages.select(file.alias("file"), place.alias("place"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"))
 
 
+def page_id(file: Column, place: Column) -> Column:
+    """The page_id of a place; null in the files of pages without one."""
+    # From the end of a negative file, as its start may lie below all longs.
+    number = F.when(file < 0, (file + 1) * PLACES + (place - PLACES)).otherwise(file * PLACES + place)
+    return F.when(file > BELOW, number).cast("long")
+
+
 def leaves(records: DataFrame) -> DataFrame:
     """One leaf per place: its byte range in the file and its hash over length and digest.
 
-    Records that share a place are one leaf, whatever their number, hashed by number, extremes and an exclusive or.
+    Records that share a place are one leaf, whatever their number and order: its hash is over their number, the sum of
+    their lengths, and the sums of eight 32-bit lanes of the SHA-256 of each one's length and digest. Sums count equal
+    records, none cancels another, they combine before the shuffle and take the same room for any number of records.
     """
+    own = F.sha2(F.concat_ws(":", "length", "digest"), 256)
+    lanes = [F.sum(F.conv(F.substring("own_", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(8)]
     one = F.concat_ws(":", F.sum("length").cast("string"), F.min("digest"))
-    many = F.concat_ws(":", F.count("*").cast("string"), F.sum("length").cast("string"), F.min("digest"), F.max("digest"), F.bit_xor(F.xxhash64("digest", "length")).cast("string"))
-    by_place = records.groupBy("file", "place").agg(F.sum("length").alias("length"), F.sha2(F.when(F.count("*") == 1, one).otherwise(many), 256).alias("hash"))
+    many = F.concat_ws(":", F.count("*").cast("string"), F.sum("length").cast("string"), *lanes)
+    by_place = records.withColumn("own_", own).groupBy("file", "place").agg(F.sum("length").alias("length"), F.sha2(F.when(F.count("*") == 1, one).otherwise(many), 256).alias("hash"))
     end = F.sum("length").over(Window.partitionBy("file").orderBy("place"))  # a file has PLACES rows at most
     return by_place.withColumn("end", end).select("file", F.col("place").alias("node"), "hash", (F.col("end") - F.col("length")).alias("start"), "end")
 
@@ -89,7 +108,7 @@ def damaged(pages: DataFrame) -> DataFrame:
 
 def query(spark, pages: DataFrame) -> DataFrame:
     pages = pages.select("page_id", "url", "html")
-    return audit(pages, damaged(pages)).withColumn("page_id", (F.col("file") * PLACES + F.col("place")).cast("long"))
+    return audit(pages, damaged(pages)).withColumn("page_id", page_id(F.col("file"), F.col("place")))
 
 
 ORACLE = f"""
