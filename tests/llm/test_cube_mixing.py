@@ -78,6 +78,29 @@ def test_blocks_meet_again(spark, monkeypatch):
     assert all(abs(r.took - r.target) < 0.001 * r.target for r in got)
 
 
+def test_reruns_agree_under_any_partitions(spark):
+    """More documents a source than a block holds, with repeated rows, and ids that doubles can't hold."""
+    docs = spark.range(30_000).select(
+        F.when(F.col("id") % 50 == 0, F.lit(None)).when(F.col("id") % 7 == 0, F.lit(2**62 + 1)).otherwise(F.col("id") + 2**60).alias("doc_id"),
+        F.element_at(F.array(*[F.lit(x) for x in "abc"]), (F.col("id") % 3 + 1).cast("int")).alias("source"), (F.xxhash64("id") % 300 + 320).alias("size"),
+    )
+    want = None
+    for n in (1, 7, 40):
+        got = sorted(map(tuple, c.mix(docs.repartition(n)).groupBy("doc_id", "source", "size", "times").count().collect()), key=repr)
+        assert want is None or got == want
+        want = got
+    assert sum(r[4] for r in want) == 30_000 and {2**60 + 1, None, 2**62 + 1} <= {r[0] for r in want}
+
+
+def test_numbers_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(c, "BLOCK", 10)
+    rows = spark.createDataFrame([(1, "a")] * 37 + [(2, None)] * 10 + [(None, "b")], "doc_id long, source string")
+    got = {}
+    for r in c.numbered(rows).collect():
+        got.setdefault((r.doc_id, r.source), []).append(r.tie_)
+    assert {k: sorted(v) for k, v in got.items()} == {(1, "a"): list(range(37)), (2, None): list(range(10)), (None, "b"): [0]}
+
+
 def test_odd_rows(spark, odd, none):
     docs = odd.withColumn("target", F.lit(1)).withColumn("rank_", F.lit(2))
     got = c.query(spark, docs).collect()

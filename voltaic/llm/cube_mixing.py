@@ -11,11 +11,11 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, extended
+from .common import WORD, durable
 
 #: What one of the first sources by code point weighs, in turn.
 WEIGHTS = (5, 2, 1)
@@ -87,14 +87,22 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return choices[np.argmin(np.where(np.abs(choices.sum(axis=1) - p.sum()) < 1, words, np.inf))]
 
 
-def _fly(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["order_", "row_"], kind="stable")
-    return group.assign(p_=flight(group["p_"].to_numpy(), group["size"].to_numpy()))
+def _in_order(group: pa.Table) -> pa.Table:
+    return group.sort_by([("order_", "ascending"), ("tie_", "ascending"), ("size", "ascending")])
 
 
-def _land(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["order_", "row_"], kind="stable")
-    size, p = group["size"].to_numpy(), group["p_"].to_numpy().astype(float).copy()
+def _with(group: pa.Table, p: np.ndarray) -> pa.Table:
+    return group.set_column(group.schema.get_field_index("p_"), "p_", pa.array(p, pa.float64()))
+
+
+def _fly(group: pa.Table) -> pa.Table:
+    group = _in_order(group)
+    return _with(group, flight(group.column("p_").to_numpy(), group.column("size").to_numpy()))
+
+
+def _land(group: pa.Table) -> pa.Table:
+    group = _in_order(group)
+    size, p = group.column("size").to_numpy(), group.column("p_").to_numpy().copy()
     # Some documents, spread evenly over the sizes, wait for the landing, which then can meet the totals closely.
     open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
     open_ = open_[np.argsort(size[open_], kind="stable")]
@@ -104,30 +112,45 @@ def _land(group: pd.DataFrame) -> pd.DataFrame:
     p[flying] = flight(p[flying], size[flying])
     left = (p > 0) & (p < 1)
     p[left] = landing(p[left], size[left].astype(float))
-    return group.assign(p_=p)
+    return _with(group, p)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with tie_, a number from 0 among equal rows, the same however rows are partitioned.
+
+    Equal rows are counted before they move; a count becomes rows again in two steps, so that no task makes more than
+    its share of a hot one.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("n_"))
+    runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_") - 1) / BLOCK))
+    spread = counted.select("*", F.explode(runs).alias("run_"))
+    last = F.least(F.col("n_"), (F.col("run_") + 1) * BLOCK) - 1
+    return spread.withColumn("tie_", F.explode(F.sequence(F.col("run_") * BLOCK, last))).drop("n_", "run_")
 
 
 def mix(docs: DataFrame, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs(doc_id, source, size): also row_, source_size, target and times, how often the mix takes it; carry: further columns to keep.
+    """One row per row of docs(doc_id, source, size): also source_size, target and times, how often the mix takes it; carry: further columns to keep.
 
     Documents of a source fly in blocks dealt by hash, so a source of a third of all rows takes as many tasks as it
     needs. What remains of the blocks (two documents each) flies again in larger and larger company, down to one block
     per source, which lands. Nulls: a null source is a source, a null doc_id a document; an empty table gives an empty
-    result; repeated rows are documents of their own. Reruns agree: order and blocks come from hashes of the rows.
+    result; repeated rows are documents of their own. Reruns agree whatever the partitions: order and blocks come from
+    hashes of the rows, and equal rows are numbered among themselves.
     """
-    rows = docs.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"), F.monotonically_increasing_id().alias("row_"), *carry)
-    rows = durable(rows)
+    rows = docs.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"), *carry)
+    rows = durable(numbered(rows))
     goal = targets(rows).select("source", "rank_", "source_size", "target")
     # A row per source: the smaller side by far, but of no proven bound, so AQE picks the join and splits a hot source.
     rows = rows.join(goal.withColumnRenamed("source", "source_of_"), F.col("source").eqNullSafe(F.col("source_of_"))).drop("source_of_")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("whole_", F.floor(ratio).cast("int")).withColumn("p_", F.when(F.col("size") > 0, ratio - F.floor(ratio)).otherwise(F.lit(0.0)))
-    rows = rows.withColumn("order_", F.xxhash64(F.lit(seed), "doc_id", "size", "source"))
+    rows = rows.withColumn("order_", F.xxhash64(F.lit(seed), "doc_id", "size", "source", *carry))
     left, settled = rows, None
     most = left.groupBy("rank_").count().agg(F.max("count")).first()[0] or 0
     while most > BLOCK:
         blocks = -(-most // BLOCK)
-        flown = durable(left.withColumn("block_", F.pmod(F.xxhash64("order_", "row_"), F.lit(blocks))).groupBy("rank_", "block_").applyInPandas(_fly, extended(left, "block_ long")).drop("block_"))
+        dealt = left.withColumn("block_", F.pmod(F.xxhash64("order_", "tie_"), F.lit(blocks)))
+        flown = durable(dealt.groupBy("rank_", "block_").applyInArrow(_fly, dealt.schema).drop("block_"))
         fractional = (F.col("p_") > 0) & (F.col("p_") < 1)
         out = flown.where(~fractional)
         settled = out if settled is None else settled.unionByName(out)
@@ -135,9 +158,9 @@ def mix(docs: DataFrame, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFra
         before, most = most, left.groupBy("rank_").count().agg(F.max("count")).first()[0] or 0
         if most >= before:
             raise RuntimeError("a flight settled nothing")
-    landed = left.groupBy("rank_").applyInPandas(_land, left.schema)
+    landed = left.groupBy("rank_").applyInArrow(_land, left.schema)
     done = landed if settled is None else settled.unionByName(landed)
-    return done.select("row_", *carry, "doc_id", "source", "size", "source_size", "target", (F.col("whole_") + F.col("p_").cast("int")).alias("times"))
+    return done.select(*carry, "doc_id", "source", "size", "source_size", "target", (F.col("whole_") + F.col("p_").cast("int")).alias("times"))
 
 
 def sized(documents: DataFrame) -> DataFrame:
