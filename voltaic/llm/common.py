@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 64) -> Iterator[None]:
+    """While this lasts, actions send so many rows at once to Python workers: for rows of long texts or sets, whose batches must fit in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """df marked for broadcast if it has `most` rows or fewer, else as it is: joins with it shuffle then. Rows must be short, df cheap to read."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import durable, few, parallelism, segments, utf8
+from .common import durable, few, parallelism, segments, small_batches, utf8
 from .components import stars
 
 #: Words of a shingle, least likeness of near copies.
@@ -81,14 +81,12 @@ def surveyed(docs: DataFrame) -> DataFrame:
         total = np.zeros(CELLS, np.int64)
         names = ["id", "fp", "slice", "n"]
         for batch in _once(batches):
-            fps = []
-            for i in range(0, batch.num_rows, 1000):
-                own = []
-                for text in utf8(batch.column("text").slice(i, 1000)):
-                    h = simhash.shingle_hashes(text, WORDS)
-                    fps.append(simhash.fingerprint(h))
-                    own.append(np.unique(h) if len(h) else np.zeros(1, np.uint64))
-                total += np.bincount(_cells(np.concatenate(own)), minlength=CELLS)
+            fps, own = [], []
+            for text in utf8(batch.column("text")):
+                h = simhash.shingle_hashes(text, WORDS)
+                fps.append(simhash.fingerprint(h))
+                own.append(np.unique(h) if len(h) else np.zeros(1, np.uint64))
+            total += np.bincount(_cells(np.concatenate(own)), minlength=CELLS)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps, pa.int64()), pa.nulls(len(fps), pa.int32()), pa.nulls(len(fps), pa.binary())], names)
         if total.any():
             parts = [zstandard.compress(x.tobytes(), 1) for x in np.array_split(total, slices)]
@@ -210,9 +208,7 @@ def _candidates(members: DataFrame, direct: int) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(0, batch.num_rows, 1000):
-            part = batch.slice(i, 1000)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shingles(t).tobytes() for t in utf8(part.column("text"))], pa.binary())], ["id", "own"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingles(t).tobytes() for t in utf8(batch.column("text"))], pa.binary())], ["id", "own"])
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +231,8 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     often = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")))
     some = few(often.select("id"))
     texts = docs.join(some, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-    sets = durable(texts.mapInArrow(_sets, "id long, own binary"))
+    with small_batches(docs.sparkSession):
+        sets = durable(texts.mapInArrow(_sets, "id long, own binary"))
     with_n = pairs.join(often.toDF("a", "na"), "a").join(often.toDF("b", "nb"), "b")
     first = F.col("na") >= F.col("nb")
     turned = with_n.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("id"), F.greatest("na", "nb").alias("many"))
@@ -246,7 +243,8 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     hubs = hubs.join(sets, "id").select(F.col("id").alias("a"), "salt", F.lit(None).cast("long").alias("b"), "own")
     rows = hubs.unionByName(turned.join(sets, "id").select("a", "salt", F.col("id").alias("b"), "own"))
     n = parallelism(docs.sparkSession)
-    return durable(rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_judged, "a long, b long"))
+    with small_batches(docs.sparkSession):
+        return durable(rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_judged, "a long, b long"))
 
 
 def _by_fingerprint(survey: DataFrame) -> DataFrame:
@@ -277,14 +275,16 @@ def survivors(docs: DataFrame) -> DataFrame:
     own = docs.select(text_hash().alias("id"), "text")
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
     classes = durable(docs.select(text_hash().alias("text_hash"), "doc_id").groupBy("text_hash").agg(F.min(key).alias("key")))
-    survey = durable(surveyed(own))
+    with small_batches(docs.sparkSession, 4000):
+        survey = durable(surveyed(own))
     links = _links(own, _by_fingerprint(survey))
     _release(own)
     roots, direct = durable(stars(links)), DIRECT
     members = fronts(own, counts(survey))
     while True:
         named = members.join(few(roots.toDF("id", "root")), "id", "left").select("shingle", "id", "size", "place", *(["asked"] if "asked" in members.columns else [F.lit(False).alias("asked")]), F.coalesce("root", "id").alias("root"))
-        found = durable(_candidates(named, direct))
+        with small_batches(docs.sparkSession, 4000):
+            found = durable(_candidates(named, direct))
         _release(own)
         links = _links(own, durable(found.where("b is not null").select("a", "b").distinct()))
         _release(own)
