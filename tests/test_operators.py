@@ -245,3 +245,12 @@ def test_twice_and_chained_decisions(spark):
     chained = [("ED-2001-0001", "merge_into", "ED-2001-0002", "o", "final"), ("ED-2001-0002", "merge_into", "ED-2001-0003", "o", "final")]
     with pytest.raises(ValueError, match="build on each other"):
         decisions.validate(spark.createDataFrame(chained, COLUMNS))
+
+
+def test_year_ranges_and_kinds(spark):
+    a = spark.createDataFrame([("2019",), (" 2021 ",), ("n/a",), (None,)], "Year string")
+    out = adoption.year_ranges({"a": a, "none": a.limit(0)})
+    assert sorted(map(tuple, out.collect())) == [("a", 2019, 2021), ("none", None, None)]
+    rows = spark.createDataFrame([("S", 1.5), ("S", None), ("X", 2.0), (None, 4.0)], "fuel string, mw_ double")
+    kinds = spark.createDataFrame([("S", "Solar")], "fuel string, kind string")
+    assert {tuple(r) for r in adoption.by_kind(rows, kinds, "mw_").collect()} == {("Solar", 2, 1.5), (None, 2, 6.0)}

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from voltaic.plans import queries
+from voltaic.plans import area_queries, queries
 
 FOLDER = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
@@ -31,9 +31,13 @@ def plain(frame):
     return list(frame.columns), sorted(repr(tuple(map(cell, r))) for r in frame.itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+QUERIES = queries.queries() | area_queries.queries()
+ORACLE = queries.oracle_sql() | area_queries.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, database, name):
-    assert plain(queries.queries()[name](spark, FOLDER).toPandas()) == plain(database.sql(queries.ORACLE[name]).df())
+    assert plain(QUERIES[name](spark, FOLDER).toPandas()) == plain(database.sql(ORACLE[name]).df())
 
 
 def test_entry(spark):
@@ -44,6 +48,6 @@ def test_entry(spark):
 
 
 def test_plans_stay_in_the_jvm(spark):
-    for name, query in queries.queries().items():
+    for name, query in QUERIES.items():
         plan = query(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan, name

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +77,25 @@ def unexpected(values: DataFrame, column: str, expected: tuple[str, ...]) -> Dat
     return values.where(~F.col(column).isin(*expected)).groupBy(column).count()
 
 
+def year_ranges(tables: dict[str, DataFrame], year: str = "Year") -> DataFrame:
+    """table_name, first_year, last_year of the years that are all digits; a table without one has nulls."""
+    parts = []
+    for name, table in tables.items():
+        text = F.trim(F.col(year).cast("string"))
+        y = F.when(F.rlike(text, F.lit("^[0-9]+$")), text.cast("int"))
+        parts.append(table.agg(F.min(y).alias("first_year"), F.max(y).alias("last_year")).select(F.lit(name).alias("table_name"), "first_year", "last_year"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def by_kind(contracts: DataFrame, mapping: DataFrame, value: str) -> DataFrame:
+    """kind, n, mw: contracts summed by the kind that mapping(.., kind) gives their other columns; those without one are the row of kind null.
+
+    Callers log that row and leave it out of comparisons. Missing values count as 0.
+    """
+    keys = [c for c in mapping.columns if c != "kind"]
+    return contracts.join(mapping, keys, "left").groupBy("kind").agg(F.count("*").alias("n"), exact_sum(F.coalesce(value, F.lit(0.0))).alias("mw"))
+
+
 def crosscheck(reported: DataFrame, contracts: DataFrame, kinds: DataFrame, ratio: float = RATIO) -> DataFrame:
     """Per kind of kinds(kind): reported and contracted sums, their ratio (null where nothing is reported), and a flag where it is off by more than ratio.
 

@@ -46,3 +46,14 @@ def classify(hours: DataFrame, tariffs: DataFrame, last: str | None = None) -> D
         return out
     best = F.max_by(F.struct("period", "commodity_c_per_kwh"), last).alias("best_")
     return out.groupBy(*hours.columns, "plan").agg(best).select(*hours.columns, "plan", "best_.*")
+
+
+def in_force(hours: DataFrame, tariffs: DataFrame, plan: str) -> DataFrame:
+    """hours(local_date, local_hour, season, day_type) with period_ and cents_ of one plan, null where none is in force.
+
+    tariffs must pass validate(), so that no hour finds two rows; the plan's rows are some dozens, the hours stay where they are.
+    """
+    own = expand_hours(tariffs.where(F.col("plan") == plan))
+    own = own.select(F.col("season").alias("s_"), F.col("day_type").alias("d_"), F.col("hour").alias("h_"), F.col("effective_from").alias("from_"), F.col("effective_to").alias("to_"), F.col("period").alias("period_"), F.col("commodity_c_per_kwh").alias("cents_"))
+    at = (F.col("season") == F.col("s_")) & (F.col("day_type") == F.col("d_")) & (F.col("local_hour") == F.col("h_")) & F.col("local_date").between(F.col("from_"), F.col("to_"))
+    return hours.join(own, at, "left").drop("s_", "d_", "h_", "from_", "to_")

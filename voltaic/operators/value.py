@@ -19,11 +19,12 @@ def unmatched(left: DataFrame, right: DataFrame, key: str = KEY) -> DataFrame:
     return both.agg(F.count_if(matched).alias("matched"), F.count_if(~matched).alias("dropped"))
 
 
-def hourly(zonal: DataFrame, adjustment: DataFrame, fuel: DataFrame, tariffs: DataFrame, holidays: DataFrame, solar: str = "solar") -> DataFrame:
+def hourly(zonal: DataFrame, adjustment: DataFrame, fuel: DataFrame, tariffs: DataFrame, holidays: DataFrame, solar: str = "solar", plans: list[str] | None = None) -> DataFrame:
     """A row per hour that zonal(timestamp_utc, price) and adjustment(timestamp_utc, rate) share.
 
     energy_price is their sum; fuel's columns of MW give solar_mw and solar_share (null where nothing runs); each plan
     gives <plan>_period, <plan>_offset ($/MWh) and <plan>_wedge, null where no tariff is in force.
+    tariffs have passed tariff.validate(); plans: the columns' plans, read from tariffs if not given.
     """
     fuels = [c for c in fuel.columns if c != KEY]
     total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in fuels), F.lit(0.0))
@@ -31,13 +32,13 @@ def hourly(zonal: DataFrame, adjustment: DataFrame, fuel: DataFrame, tariffs: Da
     base = zonal.join(adjustment, KEY).join(mix, KEY, "left").withColumn("energy_price", F.col("price") + F.col("rate"))
     base = base.withColumn("solar_mw", F.coalesce("solar_mw", F.lit(0.0))).withColumn("solar_share", F.when(F.col("total_") > 0, F.col("solar_mw") / F.col("total_"))).drop("total_")
     clock = with_wall_clock(base, KEY, holidays)
-    plans = [r[0] for r in tariffs.select("plan").distinct().orderBy("plan").collect()]  # a plan per column
-    hours = clock.select(KEY, "local_date", "local_hour", "season", "day_type")
-    wide = tariff.classify(hours, tariffs).groupBy(KEY).pivot("plan", plans).agg(F.last("period").alias("period"), (F.last("commodity_c_per_kwh") * 10).alias("offset"))
-    out = clock.join(wide, KEY, "left")
+    if plans is None:
+        plans = [r[0] for r in tariffs.select("plan").distinct().orderBy("plan").collect()]  # a plan per column
+    out = clock
     for p in plans:
         low = p.lower()
-        out = out.withColumnsRenamed({f"{p}_period": f"{low}_period", f"{p}_offset": f"{low}_offset"}).withColumn(f"{low}_wedge", F.col(f"{low}_offset") - F.col("energy_price"))
+        out = tariff.in_force(out, tariffs, p).withColumnRenamed("period_", f"{low}_period").withColumn(f"{low}_offset", F.col("cents_") * 10).drop("cents_")
+        out = out.withColumn(f"{low}_wedge", F.col(f"{low}_offset") - F.col("energy_price"))
     return out
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, text, time
-from ..operators import adoption, merge, names, nodal, signal, spatial, tariff, value, zones
+from ..operators import adoption, inputs, merge, names, nodal, signal, spatial, tariff, value, zones
 
 #: The queries' own tariff, two terms of two plans: effective_from, effective_to, plan, season, period, day_type, start, end, cents.
 TARIFF = [
@@ -132,7 +132,7 @@ def crosscheck_ratio_flag(spark, d):
         return df.groupBy(F.col(key).alias("kind")).agg(stats.exact_sum(F.col(v)).alias("mw"))
 
     kinds = nation(spark, d).select(F.col("n_nationkey").alias("kind"))
-    return adoption.crosscheck(mw(customer(spark, d).where("c_custkey % 15 = 0"), "c_nationkey", "c_acctbal"), mw(supplier(spark, d), "s_nationkey", "s_acctbal"), kinds)
+    return adoption.crosscheck(mw(customer(spark, d), "c_nationkey", "c_acctbal").withColumn("mw", F.col("mw") / 15), mw(supplier(spark, d), "s_nationkey", "s_acctbal"), kinds)
 
 
 def zone_weights(spark, d):
@@ -155,7 +155,7 @@ def rule_approval(spark, d):
         F.col("n_nationkey").alias("licence_no"), F.coalesce("n", F.lit(0)).alias("n_nodes"), F.when(F.col("n_nationkey") % 4 == 0, "nearest_within_30km").otherwise("in_polygon").alias("method"),
         F.coalesce(F.col("top") > 9000, F.lit(False)).alias("heterogeneous"),
     )
-    told = nation(spark, d).where("n_nationkey % 6 <> 5").select(F.col("n_nationkey").alias("licence_no"), F.lit(True).alias("reported"))
+    told = nation(spark, d).select(F.col("n_nationkey").alias("licence_no"), (F.col("n_nationkey") % 6 != 5).alias("reported"))
     overrides = spark.createDataFrame([(k, s, "owner") for k, s in OVERRIDES], "licence_no int, owner_override string, reason string")
     return signal.approve(own, told, overrides).select("licence_no", "owner_override", "owner_status", "status_reason")
 
@@ -198,16 +198,18 @@ def spearman(spark, d):
 
 
 def coverage_gaps(spark, d):
-    own = events(spark, d).where("event_type = 'purchase' and value > 100 and dayofmonth(ts) % 7 <> 3")
+    own = events(spark, d).where("event_type = 'purchase' and value > 250")
     return stats.coverage_gaps(own, "ts", 0.9).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", "status")
 
 
 def top_n_by_metric(spark, d):
-    return customer(spark, d).select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey").limit(20)
+    rows = customer(spark, d).select(F.col("c_custkey").alias("licence_no"), F.col("c_acctbal").alias("customers"))
+    return signal.review(rows.select("licence_no"), rows).select(F.col("licence_no").alias("c_custkey"), F.col("customers").alias("c_acctbal"))
 
 
 def anti_unmatched(spark, d):
-    return customer(spark, d).join(orders(spark, d).where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    open_ = orders(spark, d).where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return customer(spark, d).join(inputs.unmatched(customer(spark, d), open_, "c_custkey"), "c_custkey").select("c_custkey", "c_name")
 
 
 #: Endings that the node-type query gives parts in turn, so that every rule is met.
@@ -226,8 +228,8 @@ def peak_hour_gate(spark, d):
 
 
 def union_by_name_dedup(spark, d):
-    a = supplier(spark, d).select(F.col("s_nationkey").alias("nation"), F.substring("s_name", 1, 14).alias("name"))
-    return a.unionByName(customer(spark, d).select(F.substring("c_name", 1, 14).alias("name"), F.col("c_nationkey").alias("nation"))).distinct()
+    a = supplier(spark, d).select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"))
+    return a.unionByName(customer(spark, d).select(F.col("c_mktsegment").alias("name"), F.col("c_nationkey").alias("nation"))).distinct()
 
 
 _UTC = "date_trunc('hour', ts) + INTERVAL 5 HOUR"
@@ -272,7 +274,7 @@ FROM keyed LEFT JOIN cur a ON k1 = a.key LEFT JOIN cur b ON k2 = b.key AND k2 <>
     "longest_prefix": f"SELECT s_suppkey, (SELECT p FROM (VALUES {', '.join(f'({p!r})' for p in PREFIXES)}) AS t(p) WHERE length(p) >= 5 AND starts_with(regexp_replace(upper(s_name), '[^A-Z0-9]', '', 'g'), p) ORDER BY length(p) DESC LIMIT 1) AS prefix FROM supplier",
     "keyed_sum_latest_year": "SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(28,4))) AS DOUBLE) AS total, count(*) AS n FROM orders WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders) GROUP BY 1",
     "per_1000_metric": "SELECT c_nationkey, count(*) AS customers, CAST(sum(CAST(c_acctbal AS DECIMAL(28,4))) AS DOUBLE) / count(*) * 1000 AS per_1000 FROM customer GROUP BY 1",
-    "crosscheck_ratio_flag": """WITH r AS (SELECT c_nationkey AS kind, CAST(sum(CAST(c_acctbal AS DECIMAL(28,4))) AS DOUBLE) AS mw FROM customer WHERE c_custkey % 15 = 0 GROUP BY 1), c AS (SELECT s_nationkey AS kind, CAST(sum(CAST(s_acctbal AS DECIMAL(28,4))) AS DOUBLE) AS mw FROM supplier GROUP BY 1),
+    "crosscheck_ratio_flag": """WITH r AS (SELECT c_nationkey AS kind, CAST(sum(CAST(c_acctbal AS DECIMAL(28,4))) AS DOUBLE) / 15 AS mw FROM customer GROUP BY 1), c AS (SELECT s_nationkey AS kind, CAST(sum(CAST(s_acctbal AS DECIMAL(28,4))) AS DOUBLE) AS mw FROM supplier GROUP BY 1),
 x AS (SELECT n_nationkey AS kind, coalesce(r.mw, 0.0::DOUBLE) AS reported, coalesce(c.mw, 0.0::DOUBLE) AS contracted FROM nation LEFT JOIN r ON r.kind = n_nationkey LEFT JOIN c ON c.kind = n_nationkey)
 SELECT kind, reported, contracted, CASE WHEN reported > 0 THEN contracted / reported END AS ratio, coalesce(abs(CASE WHEN reported > 0 THEN contracted / reported END - 1) > 0.2, false) AS flag FROM x""",
     "zone_weights": "SELECT l_returnflag, s_nationkey, count(*) AS n_nodes, count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag) AS weight FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2",
@@ -293,7 +295,7 @@ SELECT a.name AS "Location", CAST(floor(km * 1000) AS BIGINT) AS metres FROM a L
     "spearman": """WITH per AS (SELECT l_suppkey, count(*) AS n_lines FROM lineitem GROUP BY 1), b AS (SELECT s_acctbal AS x, n_lines AS y FROM supplier JOIN per ON s_suppkey = l_suppkey),
 r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM b)
 SELECT round(corr(rx, ry), 9) AS rho, count(*) AS n FROM r""",
-    "coverage_gaps": """WITH per AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'purchase' AND value > 100 AND day(ts) % 7 <> 3 GROUP BY 1), f AS (SELECT median(n) AS m, min(day) AS a, max(day) AS b FROM per),
+    "coverage_gaps": """WITH per AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'purchase' AND value > 250 GROUP BY 1), f AS (SELECT median(n) AS m, min(day) AS a, max(day) AS b FROM per),
 days AS (SELECT CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day, m FROM f)
 SELECT strftime(days.day, '%Y-%m-%d') AS day, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'missing' ELSE 'partial' END AS status FROM days LEFT JOIN per ON per.day = days.day WHERE n IS NULL OR n < 0.9 * m""",
     "top_n_by_metric": "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20",
@@ -305,7 +307,7 @@ SELECT p_partkey, CASE WHEN ends_with(name, ':LMP') THEN 'bus' WHEN unit IS NULL
   regexp_replace(regexp_replace(regexp_replace(station, ':LMP$', ''), '-(LT|115|230|500)$', ''), '(GS|BESS\\d*|STRGE)$', '') AS stem FROM s""".replace("\\\\", "\\"),
     "peak_hour_gate": f"""WITH m AS (SELECT strftime(clock, '%Y-%m') AS month, hour(clock) AS hour, CAST(sum(CAST(value AS DECIMAL(28,4))) AS DOUBLE) / count(*) AS mean FROM ({_CLOCK}) GROUP BY 1, 2)
 SELECT month, CAST(hour AS BIGINT) AS hour FROM m QUALIFY row_number() OVER (PARTITION BY month ORDER BY mean DESC, hour) = 1""",
-    "union_by_name_dedup": "SELECT s_nationkey AS nation, substring(s_name, 1, 14) AS name FROM supplier UNION SELECT c_nationkey, substring(c_name, 1, 14) FROM customer",
+    "union_by_name_dedup": "SELECT s_nationkey AS nation, s_name AS name FROM supplier UNION SELECT c_nationkey, c_mktsegment FROM customer",
 }
 
 
