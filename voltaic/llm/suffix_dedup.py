@@ -226,8 +226,7 @@ def _samples_sent(buckets: int, doc_id: str, text: str):
         for batch in batches:
             for number, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload").to_pylist()):
                 _, _, distinct, _ = Chunk(payload, doc_id, text).distinct_samples()
-                cut = _bucket_cuts(distinct, buckets, shift)
-                rows = [(b, distinct[cut[b] : cut[b + 1]]) for b in range(buckets) if cut[b + 1] > cut[b]]
+                rows = [(b, distinct[i:j]) for b, (i, j) in _present(distinct, buckets, shift).items()]
                 blobs = []
                 for _, h in rows:
                     low = _low(h, shift)
@@ -238,10 +237,11 @@ def _samples_sent(buckets: int, doc_id: str, text: str):
     return run
 
 
-def _bucket_cuts(distinct: np.ndarray, buckets: int, shift) -> np.ndarray:
-    if buckets == 1:
-        return np.array([0, len(distinct)])
-    return np.searchsorted(distinct, np.arange(buckets, dtype=np.uint64) << shift).tolist() + [len(distinct)]
+def _present(distinct: np.ndarray, buckets: int, shift) -> dict[int, tuple[int, int]]:
+    """The buckets that ascending hashes fall into, and where in them each begins and ends; the others take no time."""
+    bucket = (distinct >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(distinct), np.int64)
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
+    return dict(zip(bucket[cut].tolist(), zip(cut.tolist(), np.append(cut[1:], len(bucket)).tolist())))
 
 
 def _low(h: np.ndarray, shift) -> np.ndarray:
@@ -271,9 +271,9 @@ def _windows(chunk: Chunk, answers: list[dict] | None, buckets: int) -> Windows:
     """The chunk's candidate windows, from the answers for its samples."""
     shift = U(64 - buckets.bit_length() + 1) if buckets > 1 else U(63)
     at, which, distinct, shared = chunk.distinct_samples()
-    cut = _bucket_cuts(distinct, buckets, shift)
+    cut = _present(distinct, buckets, shift)
     for x in answers or ():
-        lo, hi = cut[x["bucket"]], cut[x["bucket"] + 1]
+        lo, hi = cut[x["bucket"]]
         shared[lo:hi] |= np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=hi - lo).view(bool)
     return Windows(chunk, at[shared[which]])
 
