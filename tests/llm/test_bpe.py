@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +78,25 @@ def test_query(spark, odd, none, library):
     full = {r.doc_id: r["ids"] for r in bpe.encode(docs).collect()}
     assert full[7] == library.encode_ordinary(want[7]) and full[3] == []
     assert bpe.query(spark, none).count() == 0 and bpe.encode(none).count() == 0
+
+
+@pytest.mark.parametrize("word", ["a" * 1_000_000, "ab" * 150_000, "é" * 100_000, "".join(random.Random(5).choices("aeinrst", k=300_000))])
+def test_long_matches_take_no_quadratic_time(encoder, library, word):
+    start = time.perf_counter()
+    parts = next(encoder.encode([word]))
+    assert time.perf_counter() - start < 60
+    short = word[: bpe.LONG * 8]
+    assert b",".join(x[0] for x in next(encoder.encode([short]))) == ",".join(map(str, library.encode_ordinary(short))).encode()
+    assert b"".join(x[2] for x in parts) == word.encode()
+
+
+def test_long_and_short_words_agree(encoder):
+    rng = random.Random(6)
+    words = ["".join(rng.choices(letters, k=rng.randrange(1, 4 * bpe.LONG))).encode() for letters in ("ab", "aaab", "etaoin", "ñéa") for _ in range(40)]
+    ranks = encoder.ranks
+    flat, ends = ranks.encode_words(words)
+    got = [flat[i:j] for i, j in zip([0, *ends], ends)]
+    ids, many = ranks._replay(words)
+    ends = many.cumsum().tolist()
+    assert [x if w not in ranks.ids else None for w, x in zip(words, got)] == [ids[i:j].tolist() if w not in ranks.ids else None for w, i, j in zip(words, [0, *ends], ends)]
+    assert all(ranks._replay_one(w) == ids[i:j].tolist() for w, i, j in zip(words, [0, *ends], ends))

@@ -3,7 +3,8 @@
 All distinct words that a batch brings are merged together: an inverted index leads from a pair's rank to the places
 where that pair stands; ranks are replayed in order, each over all its places at once, and only the two neighbours of
 a merged place get new index entries. A rank is replayed at the first place of a word, then at its next, so each word
-sees the very order of merges that encoding it alone would take.
+sees the very order of merges that encoding it alone would take. A long word has an index of its own, a heap of ranks and places,
+so that many places of one rank in it don't take a round each.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import heapq
 from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ NONE = np.iinfo(np.int32).max
 REMEMBERED = 100_000
 #: Characters of new text that are replayed together.
 PIECE = 4_000_000
+#: Bytes from which on a word is replayed by itself; the ids are the same either way.
+LONG = 256
 
 
 class Ranks:
@@ -57,17 +60,57 @@ class Ranks:
     def encode_words(self, words: list[bytes]) -> tuple[list[int], list[int]]:
         """The ids of the words (not empty) end to end, and where each word's end. A word that is a token is that token."""
         whole = list(map(self.ids.get, words))
-        todo = [i for i, x in enumerate(whole) if x is None]
+        todo = [i for i, x in enumerate(whole) if x is None and len(words[i]) < LONG]
+        long = {i: self._replay_one(w) for i, (x, w) in enumerate(zip(whole, words)) if x is None and len(w) >= LONG}
         ids, many = self._replay([words[i] for i in todo])
         size = np.ones(len(words), np.int64)
         size[todo] = many
+        for i, own in long.items():
+            size[i] = len(own)
+        end = np.cumsum(size)
         flat = np.empty(int(size.sum()), np.int64)
-        parts = np.ones(len(words), bool)
-        parts[todo] = False
-        single = np.repeat(parts, size)
-        flat[single] = [x for x in whole if x is not None]
-        flat[~single] = ids
-        return flat.tolist(), np.cumsum(size).tolist()
+        kind = np.zeros(len(words), np.int8)
+        kind[todo], kind[list(long)] = 1, 2
+        kind = np.repeat(kind, size)
+        flat[kind == 0] = [x for x in whole if x is not None]
+        flat[kind == 1] = ids
+        for i, own in long.items():
+            flat[end[i] - len(own) : end[i]] = own
+        return flat.tolist(), end.tolist()
+
+    @cached_property
+    def joined(self) -> dict[int, int]:
+        return dict(zip(self.pairs[:-1].tolist(), self.merged[:-1].tolist()))
+
+    def _replay_one(self, word: bytes) -> list[int]:
+        """One word's ids, in time that grows with its length and the logarithm of that."""
+        joined, n = self.joined.get, len(word)
+        token = self.byte[np.frombuffer(word, np.uint8)].tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = [joined(a << 32 | b, NONE) for a, b in zip(token, token[1:])] + [NONE]
+        heap = [(r, i) for i, r in enumerate(rank) if r != NONE]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            if rank[i] != r:
+                continue
+            gone = after[i]
+            nxt = after[i] = after[gone]
+            token[i], rank[gone], rank[i] = r, NONE, NONE
+            if nxt < n:
+                before[nxt] = i
+                if (x := joined(r << 32 | token[nxt])) is not None:
+                    rank[i] = x
+                    heapq.heappush(heap, (x, i))
+            if (left := before[i]) >= 0:
+                rank[left] = x = joined(token[left] << 32 | r, NONE)
+                if x != NONE:
+                    heapq.heappush(heap, (x, left))
+        out, i = [], 0
+        while i < n:
+            out.append(token[i])
+            i = after[i]
+        return out
 
     def _replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words end to end, and how many each has."""
