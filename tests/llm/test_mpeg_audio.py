@@ -50,6 +50,50 @@ def test_headers():
         assert m.header(bad) is None
 
 
+def bitwise_crc(bits):
+    x = 0xFFFF
+    for b in bits:
+        x = x << 1 ^ (0x8005 if x >> 15 ^ b else 0)
+        x &= 0xFFFF
+    return x
+
+
+def as_bits(data):
+    return [x >> i & 1 for x in data for i in range(7, -1, -1)]
+
+
+#: Header bytes behind the sync byte, and the widths of each subband's allocation by hand; joint stereo has one from its bound on.
+FRAMES = [
+    (b"\xfe\x40\xc0", [4] * 32, 1, 32), (b"\xfe\x40\x00", [4] * 32, 2, 32), (b"\xfe\x40\x50", [4] * 32, 2, 8),
+    (b"\xfc\xa0\x00", [4] * 11 + [3] * 12 + [2] * 7, 2, 30), (b"\xfc\x80\xc0", [4] * 11 + [3] * 12 + [2] * 7, 1, 30), (b"\xfc\x84\xc0", [4] * 11 + [3] * 12 + [2] * 4, 1, 27),
+    (b"\xfc\x20\xc0", [4] * 2 + [3] * 6, 1, 8), (b"\xfc\x28\xc0", [4] * 2 + [3] * 10, 1, 12), (b"\xfc\xa0\x60", [4] * 11 + [3] * 12 + [2] * 7, 2, 12), (b"\xf4\x80\x00", [4] * 4 + [3] * 7 + [2] * 19, 2, 30),
+]
+
+
+@pytest.mark.parametrize("head,widths,channels,bound", FRAMES)
+@pytest.mark.parametrize("seed", range(4))
+def test_checksums_of_layers_1_and_2(head, widths, channels, bound, seed):
+    rng = random.Random(seed)
+    h = m.header(b"\xff" + head)
+    frames = []
+    for _ in range(3):
+        bits, chosen = [], 0
+        for band, w in enumerate(widths):
+            for _ in range(channels if band < bound else 1):
+                x = rng.choice((0, rng.randrange(1 << w)))
+                bits += [x >> i & 1 for i in range(w - 1, -1, -1)]
+                chosen += (x > 0) * (1 if band < bound else channels)
+        n = len(bits) + (2 * chosen if h.layer == 2 else 0)
+        body = bits + [rng.randrange(2) for _ in range(8 * (h.length - 6) - len(bits))]
+        crc = bitwise_crc(as_bits(head[1:]) + body[:n])
+        frames.append(b"\xff" + head + crc.to_bytes(2, "big") + bytes(int("".join(map(str, body[i : i + 8])), 2) for i in range(0, len(body), 8)))
+    s = m.parse(b"".join(frames))
+    assert (len(s.seek), s.crc_checked, s.crc_bad, h.layer in (1, 2)) == (3, 3, 0, True)
+    flipped = bytearray(b"".join(frames))
+    flipped[h.length + 6] ^= 0x80
+    assert m.parse(bytes(flipped)).crc_bad == 1
+
+
 def test_tags_and_tables():
     frame = b"\xff\xfb\x90\x00" + bytes(413)
     v1 = b"TAG" + b"Title".ljust(30, b"\0") + bytes(95)

@@ -12,7 +12,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -30,6 +30,8 @@ BITRATES = {
     (False, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 RATES = (44100, 48000, 32000)
+#: Fixed values of Layer II: (subbands, bits of a subband's allocation) of the four tables of MPEG 1 and that of MPEG 2.
+ALLOCATIONS = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "mpeg2": ((4, 4), (7, 3), (19, 2))}
 #: Bytes before the main data of a mono Layer III frame with CRC: header, CRC, side information.
 SIDE = 17
 OVERHEAD = 4 + 2 + SIDE
@@ -50,7 +52,7 @@ class Header:
         return (self.version, self.layer, self.rate) == (other.version, other.layer, other.rate)
 
 
-@cache
+@lru_cache(maxsize=4096)
 def header(word: bytes) -> Header | None:
     """The header in four bytes, or None if they are none (free format and reserved values are none)."""
     if len(word) < 4 or word[0] != 0xFF or word[1] & 0xE0 != 0xE0:
@@ -77,7 +79,7 @@ def _crc_table() -> tuple[int, ...]:
     return tuple(out)
 
 
-@cache
+@lru_cache(maxsize=4096)
 def crc16(data: bytes) -> int:
     table, x = _crc_table(), 0xFFFF
     for b in data:
@@ -85,6 +87,48 @@ def crc16(data: bytes) -> int:
     return x
 
 
+def _crc_bits(data: bytes, bits: int) -> int:
+    """crc16 of the first bits of data."""
+    x = crc16(data[: bits // 8])
+    for i in range(bits // 8 * 8, bits):
+        x = (x << 1 ^ 0x8005 if (x >> 15) ^ (data[i // 8] >> (7 - i % 8) & 1) else x << 1) & 0xFFFF
+    return x
+
+
+def _layer2_widths(h: Header) -> list[int]:
+    """Bits of each subband's allocation."""
+    per = h.bitrate // (1 if h.mono else 2)
+    if h.version != 1.0:
+        table = "mpeg2"
+    elif per <= 48:
+        table = "d" if h.rate == 32000 else "c"
+    else:
+        table = "a" if h.rate == 48000 or per <= 80 else "b"
+    return [bits for many, bits in ALLOCATIONS[table] for _ in range(many)]
+
+
+def _protected(h: Header, frame: bytes) -> int:
+    """How many bits behind the CRC of a Layer I or II frame it covers: allocations and, in Layer II, two for each channel of a subband that has one."""
+    widths = [4] * 32 if h.layer == 1 else _layer2_widths(h)
+    channels, joint = 1 if h.mono else 2, frame[3] >> 6 == 1
+    bound = min(len(widths), 4 * (frame[3] >> 4 & 3) + 4) if joint else len(widths)
+    if h.layer == 1:
+        return 4 * (bound * channels + len(widths) - bound)
+    body, at, chosen = int.from_bytes(frame[6:38], "big"), 0, 0
+    for band, bits in enumerate(widths):
+        own = [body >> (256 - at - (c + 1) * bits) & ((1 << bits) - 1) for c in range(channels if band < bound else 1)]
+        at += bits * len(own)
+        chosen += sum(x > 0 for x in own) * (channels if band >= bound else 1)
+    return at + 2 * chosen
+
+
+def crc_good(h: Header, frame: bytes) -> bool:
+    """Does the frame's CRC, if the header says that it has one, fit what it protects?"""
+    bits = 8 * side_length(h) if h.layer == 3 else _protected(h, frame)
+    data = frame[2:4] + frame[6 : 6 + (bits + 7) // 8]
+    return 8 * len(data) >= 16 + bits and _crc_bits(data, 16 + bits) == int.from_bytes(frame[4:6], "big")
+
+
 def side_length(h: Header) -> int:
     return (17 if h.mono else 32) if h.version == 1.0 else (9 if h.mono else 17)
 
@@ -226,10 +270,9 @@ def parse(media: bytes) -> Stream:
             continue
         synced, first = True, first or h
         frame_at, at = at, at + h.length
-        if h.crc and h.layer == 3:
-            n = side_length(h)
+        if h.crc:
             out.crc_checked += 1
-            out.crc_bad += crc16(media[frame_at + 2 : frame_at + 4] + media[frame_at + 6 : frame_at + 6 + n]) != int.from_bytes(media[frame_at + 4 : frame_at + 6], "big")
+            out.crc_bad += not crc_good(h, media[frame_at:at])
         if not started:
             started = True
             out.rate = h.rate
