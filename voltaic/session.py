@@ -21,12 +21,21 @@ def session(name: str = "voltaic", **settings: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=SETTINGS | settings).getOrCreate()
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only where that is unset and all executors are on this machine."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+    return tempfile.mkdtemp(prefix="voltaic-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder of spark.checkpoint.dir; a temporary folder only where that is unset.
+    """df from a checkpoint in the folder of spark.checkpoint.dir.
 
     For what must be the same wherever it is read again, such as the number of the partition that a row lies in.
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voltaic-"))
+        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
     return df.checkpoint()
