@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import checkpoint_folder
+
 #: The white space of the word patterns, as a regular expression class of what is not white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,10 +26,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which all executors see; a temporary one only where that is unset."""
+    """The folder that spark.checkpoint.dir names, which all executors see."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voltaic-"))
+        sc.setCheckpointDir(checkpoint_folder(spark))
     return sc.getCheckpointDir()
 
 
