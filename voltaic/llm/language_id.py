@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, texts, without
+from .common import extended, lean, texts, without
 
 CELLS = 1 << 16
 SLICES = 16
@@ -128,7 +128,7 @@ def train(labelled: DataFrame) -> dict:
         total = sum(np.frombuffer(x, np.int64) for x in group["counts"])
         return pd.DataFrame({"lang": group["lang"].iloc[:1], "slice": group["slice"].iloc[:1], "counts": [total.tobytes()]})
 
-    got = labelled.where("lang is not null").select("lang", "text").mapInArrow(count, MODEL).groupBy("lang", "slice").applyInPandas(add, MODEL).toPandas()
+    got = labelled.where("lang is not null").select("lang", "text").mapInArrow(lean(count), MODEL).groupBy("lang", "slice").applyInPandas(add, MODEL).toPandas()
     langs = sorted(got["lang"].unique())
     if not langs:
         return {"langs": [], "score": np.zeros((CELLS, 0), np.float32), "may": np.zeros((64, 0), bool)}
@@ -227,7 +227,7 @@ def detect(docs: DataFrame, model: dict, penalty: float = PENALTY) -> DataFrame:
             spans = pa.array([[{"lang": a, "words": n} for a, n in x] for x in spans], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(shares, pa.float64()), spans], [*batch.schema.names, "lang_pred", "score", "spans"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def query(spark, documents: DataFrame) -> DataFrame:

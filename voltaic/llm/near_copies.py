@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import durable, few, parallelism, segments, small_batches, utf8
+from .common import durable, few, lean, parallelism, segments, small_batches, utf8
 from .components import stars
 
 #: Words of a shingle, least likeness of near copies.
@@ -92,7 +92,7 @@ def surveyed(docs: DataFrame) -> DataFrame:
             parts = [zstandard.compress(x.tobytes(), 1) for x in np.array_split(total, slices)]
             yield pa.RecordBatch.from_arrays([pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int64()), pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return docs.select("id", "text").mapInArrow(of, "id long, fp long, slice int, n binary")
+    return docs.select("id", "text").mapInArrow(lean(of), "id long, fp long, slice int, n binary")
 
 
 def counts(survey: DataFrame) -> np.ndarray:
@@ -123,7 +123,7 @@ def fronts(docs: DataFrame, weight: np.ndarray) -> DataFrame:
             hashes = np.concatenate([h for h, _ in rows]).view(np.int64) if rows else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids[run]), pa.array(sizes[run]), pa.array(place.astype(np.int32))], ["shingle", "id", "size", "place"])
 
-    return docs.select("id", "text").mapInArrow(of, "shingle long, id long, size int, place int")
+    return docs.select("id", "text").mapInArrow(lean(of), "shingle long, id long, size int, place int")
 
 
 def _meet(shingle, id_, size, place, asked, root, direct: int):
@@ -203,7 +203,7 @@ def _candidates(members: DataFrame, direct: int) -> DataFrame:
             yield from found(parts)
 
     sent = members.repartition(n, "shingle").sortWithinPartitions("shingle")
-    return sent.mapInArrow(compare, "a long, b long, shingle long, size int, place int, asked boolean")
+    return sent.mapInArrow(lean(compare), "a long, b long, shingle long, size int, place int, asked boolean")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +232,7 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     some = few(often.select("id"))
     texts = docs.join(some, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     with small_batches(docs.sparkSession):
-        sets = durable(texts.mapInArrow(_sets, "id long, own binary"))
+        sets = durable(texts.mapInArrow(lean(_sets), "id long, own binary"))
     with_n = pairs.join(often.toDF("a", "na"), "a").join(often.toDF("b", "nb"), "b")
     first = F.col("na") >= F.col("nb")
     turned = with_n.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("id"), F.greatest("na", "nb").alias("many"))
@@ -244,7 +244,7 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = hubs.unionByName(turned.join(sets, "id").select("a", "salt", F.col("id").alias("b"), "own"))
     n = parallelism(docs.sparkSession)
     with small_batches(docs.sparkSession):
-        return durable(rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_judged, "a long, b long"))
+        return durable(rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(lean(_judged), "a long, b long"))
 
 
 def _by_fingerprint(survey: DataFrame) -> DataFrame:

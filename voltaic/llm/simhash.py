@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, extended, parallelism, segments, utf8
+from .common import durable, extended, lean, parallelism, segments, utf8
 from .components import least_labels, stars
 
 SEED = 42
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, words: int = 3, sketch: int = 0, carry: tuple[
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     own = docs.select("doc_id", *carry)
-    return docs.select("doc_id", "text", *carry).mapInArrow(of, extended(own, "fp long" + (", sketch binary" if sketch else "")))
+    return docs.select("doc_id", "text", *carry).mapInArrow(lean(of), extended(own, "fp long" + (", sketch binary" if sketch else "")))
 
 
 @cache
@@ -212,8 +212,8 @@ def links(distinct: DataFrame, most: int = 2, bands: tuple = TWO_BLOCKS, direct:
         if parts:
             yield found(parts)
 
-    sent = distinct.select("fp").repartition(n).mapInArrow(replicate, "anchor long, fp long, home boolean")
-    out = sent.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long, star boolean")
+    sent = distinct.select("fp").repartition(n).mapInArrow(lean(replicate), "anchor long, fp long, home boolean")
+    out = sent.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(lean(compare), "a long, b long, star boolean")
     return out.groupBy("a", "b").agg(F.bool_and("star").alias("star"))
 
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, extended, segments, without
+from .common import durable, extended, lean, lean_group, segments, without
 
 WINDOW = 50
 #: Perfect difference sets modulo 31 and 7.
@@ -216,7 +216,7 @@ def pack(docs: DataFrame, text: str, chunk_bytes: int = CHUNK) -> DataFrame:
         if held:
             yield full()
 
-    return docs.mapInArrow(run, "chunk long, n_bytes long, payload binary")
+    return docs.mapInArrow(lean(run), "chunk long, n_bytes long, payload binary")
 
 
 def _samples_sent(buckets: int, doc_id: str, text: str):
@@ -299,10 +299,15 @@ def _runs_sent(sample_buckets: int, buckets: int, doc_id: str, text: str):
     return run
 
 
+def _index(n: int) -> type:
+    """The least type that holds places in n bytes and the zeros behind them."""
+    return np.int32 if n < 2**31 - 1024 else np.int64
+
+
 def cover_ranks(raw: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ranks of the 56 bytes from each cover position (modulo SMALL), and where a position's rank stands."""
     n = len(raw)
-    place = np.zeros(n + 8 * SMALL + 1, np.int64)  # 0: nothing but zeros follow
+    place = np.zeros(n + 8 * SMALL + 1, _index(n))  # 0: nothing but zeros follow
     at = (np.arange(0, n, SMALL)[:, None] + np.array(SMALL_SET)).ravel()
     at = at[at < n]
     first = _load(words, at) >> U(8)  # SMALL bytes
@@ -315,7 +320,7 @@ def cover_ranks(raw: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndar
         pair = rank.copy()
         pair[1:] = rank[1:] << U(32) | rank[place[at + step]]
         rank = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
-    return rank, place
+    return rank.astype(_index(n)), place
 
 
 def _shifts() -> np.ndarray:
@@ -333,12 +338,15 @@ def sort_suffixes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     key = _load(words, at)
     order = np.argsort(key, kind="stable")
     at, key = at[order], key[order]
-    group = np.cumsum(np.append(False, key[1:] != key[:-1]))
+    del order
+    group = np.cumsum(np.append(False, key[1:] != key[:-1]), dtype=_index(len(at)))
+    del key
     rank, place = cover_ranks(raw, words)
     shift = _shifts()
     size = np.bincount(group)
     todo = np.flatnonzero(size[group] > 1)
-    label = group[todo]
+    label = group[todo].astype(np.int64)
+    del group
     while len(todo):
         own = at[todo]
         head = np.append(True, label[1:] != label[:-1])
@@ -381,9 +389,12 @@ def _runs_answered(table: pa.Table) -> pa.Table:
     raw = np.zeros(int((size + gap).sum()), np.uint8)
     raw[to[piece] + place] = body[start[one][piece] + place]
     del body, bodies
+    del piece, place
     run, place = segments(many[one])
-    window = to[run] + place
-    order = sort_suffixes(raw, window.copy())
+    small = _index(len(raw))
+    window, run = (to[run] + place).astype(small), run.astype(small)
+    del place
+    order = sort_suffixes(raw, window)
     words = _words(raw)
     same = np.zeros(len(order), bool)
     if len(order):
@@ -391,10 +402,11 @@ def _runs_answered(table: pa.Table) -> pa.Table:
         for step in (0, 8, 16, 24, 32, 40, WINDOW - 8):
             x = _load(words, order + step)
             same[1:] &= x[1:] == x[:-1]
-    group = np.cumsum(~same) - 1
-    back = np.empty(len(raw), np.int32)
-    back[window] = np.arange(len(window), dtype=np.int32)
+    group = np.cumsum(~same, dtype=small) - 1
+    back = np.empty(len(raw), small)
+    back[window] = np.arange(len(window), dtype=small)
     index = back[order]  # which window each sorted suffix is
+    del back, order, same, words
     low = np.full(int(group[-1]) + 1 if len(group) else 0, NULL_ID)
     np.minimum.at(low, group, least[run[index]])
     lowest = np.empty(len(window), np.int64)
@@ -468,16 +480,16 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rew
     sample_buckets = 1 << max(0, (total * len(COVER_SET) // COVER // samples).bit_length())
     buckets = max(1, total * 2 // run_bytes)
     # A row per chunk and bucket with anything in it; blobs fill up as buckets hold more than chunks.
-    sent = chunks.select("chunk", "payload").mapInArrow(_samples_sent(sample_buckets, doc_id, text), "bucket int, chunk long, hashes binary")
-    answered = sent.groupBy("bucket").applyInArrow(_samples_answered, "chunk long, bucket int, bits binary")
+    sent = chunks.select("chunk", "payload").mapInArrow(lean(_samples_sent(sample_buckets, doc_id, text)), "bucket int, chunk long, hashes binary")
+    answered = sent.groupBy("bucket").applyInArrow(lean_group(_samples_answered), "chunk long, bucket int, bits binary")
     answers = answered.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
     whole = chunks.select("chunk", "payload").join(answers.hint("shuffle_hash"), "chunk", "left")
-    runs = whole.mapInArrow(_runs_sent(sample_buckets, buckets, doc_id, text), "bucket int, chunk long, body binary, many binary, ids binary")
-    found = runs.groupBy("bucket").applyInArrow(_runs_answered, "chunk long, bucket int, bits binary")
+    runs = whole.mapInArrow(lean(_runs_sent(sample_buckets, buckets, doc_id, text)), "bucket int, chunk long, body binary, many binary, ids binary")
+    found = runs.groupBy("bucket").applyInArrow(lean_group(_runs_answered), "chunk long, bucket int, bits binary")
     found = found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("found"))
     done = whole.join(found.hint("shuffle_hash"), "chunk", "left").select("payload", "answers", "found")
     kept = docs if rewrite else docs.drop(text)
-    return done.mapInArrow(_finished(sample_buckets, buckets, doc_id, text, rewrite), extended(kept, REPORT))
+    return done.mapInArrow(lean(_finished(sample_buckets, buckets, doc_id, text, rewrite)), extended(kept, REPORT))
 
 
 def query(spark, documents: DataFrame) -> DataFrame:
