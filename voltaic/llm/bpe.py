@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import extended, texts, without
+from .common import extended, lean, texts, without
 
 NONE = np.iinfo(np.int32).max
 #: Pieces of text whose ids a worker remembers between batches, in each of two generations; those that the newer one
@@ -279,13 +279,13 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     executor; unset, the installed public vocabulary.
     """
     docs = without(docs, "ids", "n_tokens", "ids_sha256", "decoded_sha256")
-    return docs.mapInArrow(_encoded(path, pattern, True), extended(docs, "ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return docs.mapInArrow(lean(_encoded(path, pattern, True)), extended(docs, "ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """encode() without the ids themselves."""
     docs = without(docs, "n_tokens", "ids_sha256", "decoded_sha256")
-    return docs.mapInArrow(_encoded(path, pattern, False), extended(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return docs.mapInArrow(lean(_encoded(path, pattern, False)), extended(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def _encoded(path: str | None, pattern: str | None, with_ids: bool):
