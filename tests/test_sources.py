@@ -5,10 +5,11 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from voltaic.operators.merge import keep_last
+from voltaic.operators import tariff, value
+from voltaic.operators.merge import files_to_fetch, keep_last
 from voltaic.plans import report
 from voltaic.schemas import HOLIDAYS, SchemaError
-from voltaic.sources import readers, sinks
+from voltaic.sources import policy, readers, sinks
 from voltaic.streaming import incremental
 
 
@@ -185,3 +186,44 @@ def test_status_panel(spark):
     got = report.status(values, assigned, signal, spark.createDataFrame([(True,), (False,)], "reported boolean"))
     assert got["window"]["hours"] == 48 and got["zoned_share"] == 0.5 and got["methods"] == {"in_polygon": 1, "none": 1}
     assert [str(d) for d in got["gaps"]["day"]] == ["2026-01-02"] and got["history"]["days"] == 2 and got["reported"] == got["heterogeneous"] == 1
+
+
+def test_validators(spark):
+    ddl = "name string, etag string, last_modified string, mtime int, size int"
+    old = spark.createDataFrame([("a", "1", "m", 1, 1), ("b", None, "m", 1, 1), ("c", None, None, 1, 1), ("d", None, None, 1, 1), ("e", None, None, None, 1), ("f", "1", "m", 1, 1)], ddl)
+    new = spark.createDataFrame([("a", "1", "n", 2, 2), ("b", "9", "m", 2, 2), ("c", None, None, 1, 1), ("d", None, None, 1, 2), ("e", None, None, None, 1), ("f", "2", "n", 2, 1), ("g", "1", "m", 1, 1)], ddl)
+    assert rows(files_to_fetch(new, old).select("name"), "name") == [("d",), ("e",), ("f",), ("g",)]
+    assert rows(files_to_fetch(new, old, ()).select("name"), "name") == [("c",), ("d",), ("e",), ("f",), ("g",)]
+
+
+def test_failure_policy(spark, tmp_path):
+    out = str(tmp_path / "out")
+    missing = lambda: spark.read.parquet(str(tmp_path / "missing"))
+
+    def malformed():
+        raise SchemaError("no column")
+
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        policy.refreshed(spark, missing, out)
+    assert rows(policy.refreshed(spark, lambda: spark.range(2), out), "id") == [(0,), (1,)]
+    assert rows(policy.refreshed(spark, lambda: spark.range(1), out), "id") == [(0,)]
+    assert rows(policy.refreshed(spark, missing, out), "id") == [(0,)]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        policy.refreshed(spark, missing, out, strict=True)
+    with pytest.raises(SchemaError):
+        policy.refreshed(spark, malformed, out)
+    with pytest.raises(Exception, match="bad row"):
+        policy.refreshed(spark, lambda: spark.range(1).select(F.raise_error(F.lit("bad row")).cast("long").alias("id")), out)
+    assert rows(spark.read.parquet(out), "id") == [(0,)]
+
+
+def test_annual_gap_and_tariff_end(spark):
+    own = spark.createDataFrame([(1.0, 100.0, 40.0), (3.0, 50.0, 50.0), (9.0, None, 10.0)], "solar_mw double, tou_offset double, energy_price double")
+    assert rows(value.annual_gap(own)) == [(2, None)]
+    many = own.crossJoin(spark.range(24 * 365))
+    ((hours, gap),) = rows(value.annual_gap(many))
+    assert hours == 2 * 24 * 365 and gap == pytest.approx(60 / 250)
+    assert rows(value.annual_gap(many.withColumn("solar_mw", F.lit(0.0)))) == [(hours, None)]
+    plans = spark.createDataFrame([("TOU", "2026-10-31"), ("TOU", "2026-12-31"), ("ULO", "2026-10-31"), ("RPP", None), ("RPP", "2025-01-01")], "plan string, effective_to string")
+    assert [(p, str(d)) for p, d in rows(tariff.ending(plans, "2026-10-15"), "plan")] == [("ULO", "2026-10-31")]
+    assert rows(tariff.ending(plans, "2026-09-01"), "plan") == []

@@ -13,11 +13,28 @@ def exact_sum(x: Column, scale: int = 4) -> Column:
     return F.sum(x.cast(f"decimal(28,{scale})")).cast("double")
 
 
+def running_counts(df: DataFrame, value: str) -> DataFrame:
+    """value, n_, upto_: rows of each distinct value, and of it and all smaller ones, at any size.
+
+    The window over all rows holds one row per range of distinct values, not one per row.
+    """
+    counts = checkpointed(df.groupBy(value).agg(F.count("*").alias("n_")).repartitionByRange(F.col(value)).withColumn("part_", F.spark_partition_id()))
+    inside = F.sum("n_").over(Window.partitionBy("part_").orderBy(value))
+    parts = counts.groupBy("part_").agg(F.sum("n_").alias("all_"))
+    ahead = parts.select("part_", (F.sum("all_").over(Window.orderBy("part_")) - F.col("all_")).alias("before_"))
+    return counts.withColumn("inside_", inside).join(ahead, "part_").select(value, "n_", (F.col("before_") + F.col("inside_")).alias("upto_"))
+
+
 def clip_range(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """lo, hi: percentiles by linear interpolation; the extremes where they coincide; (0, 1) for no values. NaN and null don't count."""
     x = F.when(~F.isnan(value), F.col(value))
-    cut = df.agg(F.percentile(x, F.array(F.lit(low), F.lit(high))).alias("p"), F.min(x).alias("least"), F.max(x).alias("most"))
-    lo, hi = F.get("p", 0), F.get("p", 1)
+    placed = running_counts(df.select(x.alias("x_")).where("x_ is not null"), "x_")
+    total = placed.agg((F.sum("n_") - 1).alias("last_"))
+    points = {"lo": F.col("last_") * F.lit(low), "hi": F.col("last_") * F.lit(high)}
+    at = lambda rank: F.min(F.when(F.col("upto_") > rank, F.col("x_")))
+    ends = [e.alias(f"{k}{i}") for k, p in points.items() for i, e in enumerate((at(F.floor(p)), at(F.ceil(p)), F.max(p - F.floor(p))))]
+    cut = placed.crossJoin(F.broadcast(total)).agg(*ends, F.min("x_").alias("least"), F.max("x_").alias("most"))  # total is one row
+    lo, hi = (F.col(f"{k}0") * (1 - F.col(f"{k}2")) + F.col(f"{k}1") * F.col(f"{k}2") for k in points)
     flat = lo >= hi
     lo, hi = F.when(flat, F.col("least")).otherwise(lo), F.when(flat, F.col("most")).otherwise(hi)
     hi = F.when(lo >= hi, lo + 1e-6).otherwise(hi)
@@ -36,16 +53,9 @@ def average_rank(value: str, partition: list[str] | None = None) -> Column:
 
 
 def ranked(df: DataFrame, value: str, rank: str) -> DataFrame:
-    """df with average ranks over all rows, at any size: values are counted first, ranges of values carry running counts.
-
-    The window over all rows holds one row per range of distinct values, not one per row.
-    """
-    counts = checkpointed(df.groupBy(value).agg(F.count("*").alias("n_")).repartitionByRange(F.col(value)).withColumn("part_", F.spark_partition_id()))
-    inside = F.sum("n_").over(Window.partitionBy("part_").orderBy(value))
-    parts = counts.groupBy("part_").agg(F.sum("n_").alias("all_"))
-    ahead = parts.select("part_", (F.sum("all_").over(Window.orderBy("part_")) - F.col("all_")).alias("before_"))
-    placed = counts.withColumn("inside_", inside).join(ahead, "part_")
-    return df.join(placed.select(value, (F.col("before_") + F.col("inside_") - (F.col("n_") - 1) / 2).alias(rank)), value)
+    """df with average ranks over all rows, at any size: values are counted first, ranges of values carry running counts."""
+    placed = running_counts(df, value)
+    return df.join(placed.select(value, (F.col("upto_") - (F.col("n_") - 1) / 2).alias(rank)), value)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

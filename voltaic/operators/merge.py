@@ -50,3 +50,20 @@ def changed_files(listing: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files that are new or whose time or size changed since the manifest(name, mtime, size)."""
     same = ["name", "mtime", "size"]
     return listing.join(manifest.select(*same).distinct(), same, "left_anti")
+
+
+def files_to_fetch(seen: DataFrame, manifest: DataFrame, weak: tuple[str, ...] = ("mtime", "size")) -> DataFrame:
+    """Rows of seen(name, etag, last_modified and the weak validators) that the manifest doesn't show as unchanged.
+
+    A file is unchanged if its ETag, else its Last-Modified, else all of its weak validators are known and as before. A
+    validator that one side doesn't have decides nothing.
+    """
+    own = manifest.select("name", *[F.col(c).alias(f"old_{c}") for c in ("etag", "last_modified", *weak)])
+    same = lambda c: F.coalesce(F.col(c) == F.col(f"old_{c}"), F.lit(False))
+    unchanged = same("etag") | same("last_modified")
+    if weak:
+        every = F.lit(True)
+        for c in weak:
+            every &= same(c)
+        unchanged |= every
+    return seen.join(own, "name", "left").where(~unchanged).select(*seen.columns)

@@ -57,3 +57,9 @@ def in_force(hours: DataFrame, tariffs: DataFrame, plan: str) -> DataFrame:
     own = own.select(F.col("season").alias("s_"), F.col("day_type").alias("d_"), F.col("hour").alias("h_"), F.col("effective_from").alias("from_"), F.col("effective_to").alias("to_"), F.col("period").alias("period_"), F.col("commodity_c_per_kwh").alias("cents_"))
     at = (F.col("season") == F.col("s_")) & (F.col("day_type") == F.col("d_")) & (F.col("local_hour") == F.col("h_")) & F.col("local_date").between(F.col("from_"), F.col("to_"))
     return hours.join(own, at, "left").drop("s_", "d_", "h_", "from_", "to_")
+
+
+def ending(tariffs: DataFrame, on: str, days: int = 30) -> DataFrame:
+    """plan, last_day: plans whose last term ends within so many days of the date on, or has ended; open terms don't end."""
+    last = tariffs.groupBy("plan").agg(F.max(F.to_date("effective_to")).alias("last_day"), F.count_if(F.col("effective_to").isNull()).alias("open_"))
+    return last.where((F.col("open_") == 0) & (F.col("last_day") <= F.date_add(F.to_date(F.lit(on)), days))).select("plan", "last_day")

@@ -69,3 +69,14 @@ def check_solar_peak(hourly_: DataFrame, value: str, first: int = 12, last: int
 def period_table(values: DataFrame, plan: str) -> DataFrame:
     """Mean wedge and number of hours by period of a plan; hours without a period don't count."""
     return values.where(F.col(f"{plan}_period").isNotNull()).groupBy(F.col(f"{plan}_period").alias("period")).agg(F.avg(f"{plan}_wedge").alias("mean_wedge"), F.count("*").alias("hours"))
+
+
+def annual_gap(values: DataFrame, plan: str = "tou", days: int = 365) -> DataFrame:
+    """One row: hours, gap. The share of solar output's value at the plan's price that the market price doesn't pay.
+
+    Only hours with a price in force count; gap is null until they cover so many days, and where nothing is produced.
+    """
+    own = values.where(F.col(f"{plan}_offset").isNotNull())
+    paid = F.sum(F.col("solar_mw") * F.col(f"{plan}_offset"))
+    missed = F.sum(F.col("solar_mw") * (F.col(f"{plan}_offset") - F.col("energy_price")))
+    return own.agg(F.count("*").alias("hours"), F.when((F.count("*") >= 24 * days) & (paid != 0), missed / paid).alias("gap"))
