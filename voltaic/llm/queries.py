@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, pages
+from .common import benchmark, documents, pages
 
 _QUERIES = {
     "op1_spotsigs": ("spotsigs", documents),
@@ -20,13 +20,15 @@ _QUERIES = {
     "op8_histogram_sort": ("histogram_sort", documents),
     "op9_simhash_anchors": ("simhash", documents),
     "op10_mpeg_audio": ("mpeg_audio", documents),
+    "op11_spelling_variants": ("spelling", documents),
+    "op12_importance_resampling": ("importance_resampling", documents, benchmark),
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def of(module: str, table: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    def of(module: str, *tables: Callable) -> Callable[[SparkSession, str], DataFrame]:
         run = import_module(f".{module}", __package__).query
-        return lambda spark, sf_dir: run(spark, table(spark, sf_dir))
+        return lambda spark, sf_dir: run(spark, *(table(spark, sf_dir) for table in tables))
 
     return {name: of(*x) for name, x in _QUERIES.items()}
 
