@@ -22,6 +22,7 @@ _QUERIES = {
     "op10_mpeg_audio": ("mpeg_audio", documents),
     "op11_spelling_variants": ("spelling", documents),
     "op12_importance_resampling": ("importance_resampling", documents, benchmark),
+    "op13_token_groups": ("token_groups", documents),
 }
 
 
