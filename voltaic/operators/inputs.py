@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.overlay import GRID
+from ..functions.overlay import repaired as repair
 from ..schemas import SchemaError, require
+from . import overlay
 
 
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:
@@ -64,10 +67,25 @@ def expect_one(df: DataFrame, name: str, part: str) -> DataFrame:
 
 
 def dissolve(parts: DataFrame, key: str, *first: Column) -> DataFrame:
-    """One multipolygon per key of its parts' polygons, with their number and the first of other columns."""
+    """One multipolygon per key, the union of its parts, with their number and the first of other columns.
+
+    Overlaps count once and shared borders go, so areas are those of what the parts cover.
+    """
+    facts = parts.groupBy(F.col(key).alias("of_")).agg(F.count("*").alias("n_source_features"), *first)
+    return overlay.dissolve(parts, key).join(facts, F.col(key).eqNullSafe(F.col("of_"))).drop("of_")
+
+
+def dissolve_disjoint(parts: DataFrame, key: str, *first: Column) -> DataFrame:
+    """dissolve() for parts that are known not to overlap: their polygons side by side, without Python."""
     return parts.groupBy(key).agg(F.flatten(F.collect_list("geometry")).alias("geometry"), F.count("*").alias("n_source_features"), *first)
 
 
+def repaired(layer: DataFrame, key: str = "licence_no", grid: float = GRID) -> tuple[DataFrame, DataFrame]:
+    """The layer with sound geometries, and the keys of those that were not: the log's geometry_repaired rows."""
+    own = layer.withColumn("sound_", repair(F.col("geometry"), grid))
+    return own.withColumn("geometry", F.col("sound_.geometry")).drop("sound_"), own.where("sound_.repaired").select(key)
+
+
 def compare_areas(rebuilt: DataFrame, supplied: DataFrame, key: str = "licence_no") -> DataFrame:
     """key, relative difference of areas (metres in), for tables of the same keys; the worst by max_by of it."""
     same_keys(rebuilt, supplied, key)

@@ -259,7 +259,7 @@ def _rebuilt(spark, d) -> tuple[DataFrame, DataFrame]:
     side = (k % 10 + 1) * 100
     parts = supplier(spark, d).select(F.col("s_nationkey").alias("licence_no"), _box(k * 10_000, F.lit(0), side, side).alias("geometry"))
     supplied = supplier(spark, d).groupBy(F.col("s_nationkey").alias("licence_no")).agg(F.count("*").alias("n_")).select("licence_no", _box(F.lit(0), F.lit(0), F.col("n_") * 50, F.lit(1000)).alias("geometry"))
-    return inputs.dissolve(parts, "licence_no"), supplied
+    return inputs.dissolve_disjoint(parts, "licence_no"), supplied
 
 
 def rebuilt_areas(spark, d):
