@@ -133,3 +133,13 @@ def test_more_partners_than_are_named(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "DIRECT", 2)
     got = {r.doc_id for r in near_copies.survivors(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0, 1}
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_roots_by_stars_and_in_one_task(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "FEW_LINKS", most)
+    r = np.random.default_rng(8)
+    links = r.integers(0, 60, (40, 2))
+    got = {x.node: x.root for x in components.roots(spark.createDataFrame(links.tolist(), "a long, b long")).collect()}
+    label = components.least_labels(links[:, 0], links[:, 1], 60)
+    assert got == {i: int(label[i]) for i in range(60) if label[i] != i}

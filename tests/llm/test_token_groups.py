@@ -61,7 +61,7 @@ def test_components_match_brute_force(spark):
 
 def test_hot_tokens_and_many_rounds_match_brute_force(spark, monkeypatch):
     """Blocks and size classes of hot tokens, groups of few members, few asked a round."""
-    for name, value in {"HOT": 3, "DIRECT": 1, "GROWTH": 2, "SHARE": 2, "MEMBERS": 3, "PER_HUB": 2, "POSTINGS": 50, "ROWS": 7}.items():
+    for name, value in {"HOT": 3, "DEALT": 2, "DIRECT": 1, "GROWTH": 2, "SHARE": 2, "MEMBERS": 3, "PER_HUB": 2, "POSTINGS": 50, "ROWS": 7}.items():
         monkeypatch.setattr(token_groups, name, value)
     rows = families(2, 25)
     assert got(spark, rows) == brute(rows)
@@ -96,7 +96,7 @@ def test_a_group_counts_what_two_sets_share(seed):
     for _ in range(12):
         own = base.copy()
         own[r.choice(100, r.integers(0, 14), replace=False)] = r.integers(400, 5000, 1)
-        sets.append(np.unique(own).astype(np.uint64))
+        sets.append(np.unique(own).astype(np.uint64) << np.uint64(9))
     a, b = token_groups.Group.of(1, sets[:7], 85), token_groups.Group.of(2, sets[7:], 85)
     a = token_groups.Group.stored(1, *a.columns())
     want = {(1 << 6 | int(a.local[i]), 2 << 6 | int(b.local[j])) for i in range(7) for j in range(5) if 100 * len(np.intersect1d(sets[i], sets[7 + j])) >= 85 * len(np.union1d(sets[i], sets[7 + j]))}

@@ -56,6 +56,18 @@ def small_batches(spark: SparkSession, rows: int = 64) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, the shuffle files of an action are deleted when it ends: for steps whose results are durable, so that no step's files stand beside the next one's."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """df marked for broadcast if it has `most` rows or fewer, else as it is: joins with it shuffle then. Rows must be short, df cheap to read."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, lean
+
+#: Links that one task joins (16 bytes each); more go to stars().
+FEW_LINKS = 1_000_000
 
 
 def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -45,3 +51,21 @@ def stars(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         e = durable(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """node, root as stars() gives them, durable; links that are few enough are joined in one task of bounded size, in one step."""
+    e = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if e.limit(FEW_LINKS + 1).count() > FEW_LINKS:
+        return durable(stars(e))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.stack([b.column(c).to_numpy() for c in ("a", "b")]) for b in batches if b.num_rows]
+        if parts:
+            a, b = np.concatenate(parts, axis=1)
+            nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+            label = least_labels(at[: len(a)], at[len(a) :], len(nodes))
+            moved = np.flatnonzero(label != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], ["node", "root"])
+
+    return durable(e.coalesce(1).mapInArrow(lean(solve), "node long, root long"))

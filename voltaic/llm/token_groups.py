@@ -9,7 +9,6 @@ tokens in one common order, rare ones first: two sets that overlap enough share
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, few, lean, parallelism, segments, small_batches, utf8
-from .components import least_labels, stars
+from .common import durable, few, freeing, lean, parallelism, segments, small_batches, utf8
+from .components import least_labels, roots
 from .simhash import shingle_hashes
 
 #: Words of a shingle; least likeness in percent.
@@ -30,8 +29,8 @@ WORDS, PERCENT = 4, 85
 MEMBERS, TOKENS = 64, 300_000
 #: Cells of token counts, which order tokens and leave none out, and the slices that carry them.
 CELLS, SLICES = 1 << 20, 64
-#: Documents that a cell may count before those of its least hash are dealt to several tasks, and its tokens' postings to blocks.
-HOT = 50_000
+#: Sets of one least hash that one task groups, and postings of a token that one bucket takes, by what its cell counts beyond most others.
+DEALT, HOT = 2000, 50_000
 #: Postings of small buckets that ask in the first round (see _meet), how that grows from round to round, and pairs for each.
 DIRECT, GROWTH, SHARE = 16, 8, 64
 #: Pairs of one group that one task judges; postings looked at together; pairs compared at once; tokens counted at once.
@@ -48,6 +47,21 @@ def token_set(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
+def _tokens(h: np.ndarray) -> np.ndarray:
+    """48-bit tokens of a set's hashes, ascending: a quarter less to store and send."""
+    return np.unique(h >> np.uint64(16))
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
     return h ^ (h >> np.uint64(28))
@@ -57,9 +71,9 @@ def _cells(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-def _salts(weight: np.ndarray) -> np.ndarray:
-    """Tasks or blocks for tokens whose cells count so many documents."""
-    return np.maximum(1, -(-weight.astype(np.int64) // HOT))
+def _salts(excess: np.ndarray, each: int) -> np.ndarray:
+    """Tasks or blocks for tokens whose cells count so many sets more than most cells."""
+    return np.maximum(1, -(-excess.astype(np.int64) // each))
 
 
 def surveyed(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -80,7 +94,7 @@ def surveyed(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 keys.append(key)
                 if key is not None and key not in seen:
                     seen.add(key)
-                    np.add.at(total, _cells(h), 1)
+                    np.add.at(total, _cells(_tokens(h)), 1)
             m = len(keys)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         if seen:
@@ -91,14 +105,18 @@ def surveyed(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def counts(survey: DataFrame) -> np.ndarray:
-    """How many sets have tokens in each cell. Tasks' slices are added up on the executors; a table of fixed size reaches the driver."""
+    """How many sets have tokens in each cell, and how many more that is than twice what half of the cells have: about those of a frequent token.
+
+    Tasks' slices are added up on the executors; a table of fixed size reaches the driver.
+    """
 
     def add(group):
         total = sum(np.frombuffer(zstandard.decompress(x), np.int64) for x in group["n"])
         return group[["slice"]].iloc[:1].assign(n=[np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()])
 
     got = survey.where("slice is not null").select("slice", "n").groupBy("slice").applyInPandas(add, "slice int, n binary").collect()
-    return np.concatenate([np.frombuffer(r.n, np.uint32) for r in sorted(got, key=lambda r: r.slice)]) if got else np.zeros(CELLS, np.uint32)
+    n = np.concatenate([np.frombuffer(r.n, np.uint32) for r in sorted(got, key=lambda r: r.slice)]) if got else np.zeros(CELLS, np.uint32)
+    return np.stack((n, np.maximum(n.astype(np.int64) - 2 * int(np.median(n)), 0).astype(np.uint32)))
 
 
 def _sets(docs: DataFrame, weight, words: int) -> DataFrame:
@@ -113,16 +131,16 @@ def _sets(docs: DataFrame, weight, words: int) -> DataFrame:
             rows: list[tuple[int, int, int, int, bytes, bytes]] = []
             for text in utf8(batch.column("text")):
                 h = token_set(text, words)
-                own = h.tobytes()
-                key = xxhash.xxh128_digest(own)
+                key = xxhash.xxh128_digest(h.tobytes())
                 if not len(h) or key in seen:
                     continue
                 seen.add(key)
+                h = _tokens(h)
                 low = h[:3].view(np.int64).tolist()
-                salts = int(_salts(weight.value[_cells(h[:1])])[0])
+                salts = int(_salts(weight.value[1][_cells(h[:1])], DEALT)[0])
                 salt = int.from_bytes(key[:8], "little") % salts
                 deal = int(_mixed(h[:1] + np.uint64(salt)).view(np.int64)[0])
-                rows.append((deal, *(low + [0, 0])[:3], key, own))
+                rows.append((deal, *(low + [0, 0])[:3], key, _packed(h)))
             cols = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64()] * 4 + [pa.binary()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["deal", "m1", "m2", "m3", "key", "own"])
@@ -165,11 +183,11 @@ class Group:
 
     @classmethod
     def stored(cls, gid: int, sizes: bytes, tokens: bytes, bits: bytes, local: bytes) -> Group:
-        n, own = len(local), np.frombuffer(tokens, np.uint64)
+        n, own = len(local), _unpacked(tokens)
         return cls(gid, np.frombuffer(sizes, np.int64), own, np.frombuffer(bits, np.uint8).reshape(len(own), -1) if n > 1 else None, np.frombuffer(local, np.uint8).astype(np.int64))
 
     def columns(self) -> tuple:
-        return self.sizes.tobytes(), self.tokens.tobytes(), b"" if self.bits is None else self.bits.tobytes(), self.local.astype(np.uint8).tobytes()
+        return self.sizes.tobytes(), _packed(self.tokens), b"" if self.bits is None else self.bits.tobytes(), self.local.astype(np.uint8).tobytes()
 
     def part(self, at: np.ndarray) -> np.ndarray:
         """0 or 1 for the tokens at these places and each member."""
@@ -229,7 +247,7 @@ def grouped(docs: DataFrame, weight: np.ndarray, words: int = WORDS, percent: in
             for m1, key, own in zip(*(batch.column(c).to_pylist() for c in ("m1", "key", "own"))):
                 if keys and key == keys[-1]:  # the same set from another task
                     continue
-                h = np.frombuffer(own, np.uint64)
+                h = _unpacked(own)
                 if m1 != least or len(sets) == MEMBERS or held + len(h) > TOKENS:
                     close()
                 least, held = m1, held + len(h)
@@ -251,7 +269,7 @@ def _groups_of(batch: pa.RecordBatch) -> Iterator[Group]:
 
 def fronts(group: Group, weight: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
     """token, node, lo, hi, left: for each node (members that links within the group join) the tokens of its members' fronts, the sizes of those who have it there, and the most that they can share from it on."""
-    order = np.lexsort((group.tokens, weight[_cells(group.tokens)]))
+    order = np.lexsort((group.tokens, weight[0][_cells(group.tokens)]))
     tokens, parts = group.tokens[order], []
     # Of sets that are alike, one of the first size - least + 1 tokens of both is common.
     front = group.sizes - -(-percent * group.sizes // 100) + 1
@@ -275,7 +293,7 @@ def _dealt(token, node, lo, hi, left, weight: np.ndarray, percent: int) -> tuple
     Sizes of alike sets are in the same class or in neighbouring ones, so each goes to the buckets of its classes and of
     the next one; any two of a class meet in one pair of blocks at least.
     """
-    salts = _salts(weight[_cells(token)])
+    salts = _salts(weight[1][_cells(token)], HOT)
     hot = np.flatnonzero(salts > 1)
     key = token.copy()
     if not len(hot):
@@ -434,32 +452,24 @@ def judged(groups: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataF
         return durable(rows.repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("gid").asc_nulls_first()).mapInArrow(lean(judge), "a long, b long"))
 
 
-def _release(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of steps whose results are durable: it does when the driver collects garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def joined(groups: DataFrame, weight: np.ndarray, percent: int = PERCENT) -> DataFrame:
     """node, root for every node of groups(durable) that isn't the smallest of its component.
 
     Rounds go on until every pair that meets is judged or joined already; each keeps its state in the shared folder.
     """
-    entries, roots, direct = postings(groups, weight, percent), None, DIRECT
+    entries, found_roots, direct = postings(groups, weight, percent), None, DIRECT
+    columns = ["key", "node", "lo", "hi", "left", "asked"]
     while True:
-        columns = ["key", "node", "lo", "hi", "left", "asked"]
-        if roots is None:
+        if found_roots is None:
             named = entries.select(*columns, F.col("node").alias("root"))
         else:
-            named = entries.join(few(roots.toDF("node", "root")), "node", "left").select(*columns, F.coalesce("root", "node").alias("root"))
+            named = entries.join(few(found_roots), "node", "left").select(*columns, F.coalesce("root", "node").alias("root"))
         found = durable(_candidates(named, direct, percent))
-        _release(groups)
         links = judged(groups, durable(found.where("b is not null").select("a", "b").distinct()), percent)
-        _release(groups)
-        roots = durable(stars(links if roots is None else links.unionByName(roots.toDF("a", "b"))))
+        found_roots = roots(links if found_roots is None else links.unionByName(found_roots.toDF("a", "b")))
         entries = found.where("b is null").select("key", F.col("a").alias("node"), "lo", "hi", "left", "asked")
         if entries.isEmpty():
-            return roots
+            return found_roots
         direct *= GROWTH
 
 
@@ -469,16 +479,15 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     Two documents are linked if `percent` of their sets' union is in both; the component_id is the smallest doc_id that
     links reach. Equal sets are one member, whatever their number. Null texts and texts without words have the empty set
     and are linked with nothing. Null doc_ids count only where nothing else is there, repeated rows stay, an empty table
-    gives an empty result, texts are taken whole, further columns are not read. Tokens are 64-bit hashes of shingles.
+    gives an empty result, texts are taken whole, further columns are not read. Sets are told apart by 128-bit digests of
+    64-bit hashes of shingles; what two sets share is counted by 48 bits of these.
     """
     docs = docs.select("doc_id", "text")
-    with small_batches(docs.sparkSession, 1000):
+    with freeing(docs.sparkSession), small_batches(docs.sparkSession, 1000):
         survey = durable(surveyed(docs, words))
         weight = counts(survey)
         groups = durable(grouped(docs, weight, words, percent))
-    _release(docs)
-    with small_batches(docs.sparkSession, 1000):
-        roots = joined(groups, weight, percent)
+        linked = joined(groups, weight, percent)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -491,7 +500,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     rows = survey.where("slice is null").select("doc_id", "n_shingles", "key")
     classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"))
     placed = groups.select("gid", "keys", "local").mapInArrow(lean(members), "node long, key binary")
-    placed = placed.join(few(roots), "node", "left").select("key", F.coalesce("root", "node").alias("root")).join(classes, "key")
+    placed = placed.join(few(linked), "node", "left").select("key", F.coalesce("root", "node").alias("root")).join(classes, "key")
     least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     by_key = durable(placed.join(least, "root").select(F.col("key").alias("key_"), "component_id"))
     out = rows.join(by_key, F.col("key") == F.col("key_"), "left")
