@@ -1,5 +1,6 @@
 import io
 import json
+import shutil
 import zipfile
 
 import pytest
@@ -9,7 +10,7 @@ from voltaic.operators import tariff, value
 from voltaic.operators.merge import files_to_fetch, keep_last
 from voltaic.plans import report
 from voltaic.schemas import HOLIDAYS, SchemaError
-from voltaic.sources import policy, readers, sinks
+from voltaic.sources import policy, readers, sinks, versions
 from voltaic.streaming import incremental
 
 
@@ -44,6 +45,10 @@ def test_rates_csv(spark, tmp_path):
     put(tmp_path / "b.csv", 'Date,Hour,"LFDA Rate ($/MWh)",Status\n2025-01-01,1,2.5,p\n')
     got = readers.adjustment_rates(spark, str(tmp_path)).select(F.col("timestamp_utc").cast("string"), "rate", "status")
     assert rows(got, "timestamp_utc") == [("2025-01-01 05:00:00", 2.5, "p"), ("2026-07-20 18:00:00", 1.25, "final")]
+    put(tmp_path / "d.csv", 'Note,Date,Hour,"LFDA Rate ($/MWh)",Status\n"a, ""b""",2025-02-01,1,"3.5","x, y"\n,2025-02-01,2, ,z\n')
+    got = readers.adjustment_rates(spark, str(tmp_path / "d.csv")).select("rate", "status")
+    assert rows(got) == [(3.5, "x, y")]
+    assert sorted((r.file[-5:], r.n_blank) for r in readers.blank_rates(spark, str(tmp_path)).collect()) == [("a.csv", 1), ("d.csv", 1)]
     put(tmp_path / "c.csv", "Date,Hour\n2025-01-01,1\n")
     with pytest.raises(Exception, match="no rate column"):
         readers.adjustment_rates(spark, str(tmp_path)).collect()
@@ -53,11 +58,13 @@ def test_nodal_csv(spark, tmp_path):
     path = put(tmp_path / "n.csv", "CREATED AT 2026/07/14 13:00:00 FOR 2026/07/15\nDelivery Hour,Pricing Location,LMP,Energy Loss Price,Energy Congestion Price\n1,A:LMP,10,1,\n24,A:LMP,,2,3\n")
     got = readers.nodal_prices(spark, path).select("node_id", F.col("date").cast("string"), F.col("timestamp_utc").cast("string"), "lmp", "loss", "congestion")
     assert rows(got, "timestamp_utc") == [("A:LMP", "2026-07-15", "2026-07-15 05:00:00", 10.0, 1.0, None), ("A:LMP", "2026-07-15", "2026-07-16 04:00:00", None, 2.0, 3.0)]
+    path = put(tmp_path / "o.csv", "CREATED AT 2026/07/14 13:00:00 FOR 2026/07/15\nDelivery Hour, Pricing Location,LMP,Energy Loss Price,Energy Congestion Price\n10, B1 ,22.22,3.3,40.4\n")
+    assert rows(readers.nodal_prices(spark, path).select("node_id", "lmp", "loss", "congestion")) == [("B1", 22.22, 3.3, 40.4)]  # digits at ends stay
     with pytest.raises(Exception, match="no delivery date"):
         readers.nodal_prices(spark, put(tmp_path / "m.csv", "CREATED\nDelivery Hour,Pricing Location,LMP\n1,A,2\n")).collect()
 
 
-def test_regulator_xml(spark, tmp_path):
+def test_regulator_xml(spark, tmp_path, caplog):
     one = "<tab1><Current_Company_Name>A</Current_Company_Name><Year>2024</Year></tab1>"
     two = "<tab1><Current_Company_Name>B</Current_Company_Name><Historical_Company_Name>Old</Historical_Company_Name><Year>2024</Year><N_x0028_kW_x0029_>1,5</N_x0028_kW_x0029_></tab1>"
     path = put(tmp_path / "t.xml", f"<dataroot>{one}{two}</dataroot>")
@@ -67,9 +74,12 @@ def test_regulator_xml(spark, tmp_path):
         readers.regulator_table(spark, path, "tab1", ["Gone"])
     with pytest.raises(SchemaError, match="no records"):
         readers.regulator_table(spark, put(tmp_path / "e.xml", "<dataroot></dataroot>"), "tab1", [])
-    current, former = readers.regulator_names(spark, {path: "tab1"})
-    assert rows(current, "name") == [("A",), ("B",)] and rows(former) == [("Old", "B")]
-    assert readers.regulator_names(spark, {})[0].count() == 0
+    put(tmp_path / "u.xml", "<dataroot><tab2><Current_Company_Name>C</Current_Company_Name><Historical_Company_Name>Old</Historical_Company_Name></tab2><tab2><Year>1</Year></tab2></dataroot>")
+    current, former = readers.regulator_names(spark, str(tmp_path / "[tu].xml"))
+    assert rows(current, "name") == [("A",), ("B",), ("C",)] and rows(former) == [("Old", "B")]
+    with caplog.at_level("WARNING"):
+        assert [x.count() for x in readers.regulator_names(spark, str(tmp_path / "gone*.xml"))] == [0, 0]
+    assert "no regulator tables" in caplog.text
 
 
 def test_csv_schema(spark, tmp_path):
@@ -157,6 +167,51 @@ def test_incremental_stream(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("node", "lmp", "day"), "node") == [("A", 9.0, "d1"), ("B", 5.0, "d2"), ("C", 3.0, "d1")]
 
 
+def test_a_key_that_changes_its_day(spark, tmp_path):
+    schema = "node string, day string, lmp double, seq int"
+    run = lambda: incremental.accumulate(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "state"), ["node"], "seq", "day").awaitTermination()
+    add = lambda *r: spark.createDataFrame(list(r), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    add(("A", "d1", 1.0, 1), ("B", "d1", 2.0, 1), ("C", "d3", 3.0, 1))
+    run()
+    add(("A", "d2", 4.0, 1), ("C", "d2", 5.0, 1))
+    run()
+    assert rows(spark.read.parquet(str(tmp_path / "out")).select("node", "lmp", "day"), "node") == [("A", 4.0, "d2"), ("B", 2.0, "d1"), ("C", 5.0, "d2")]
+
+
+@pytest.mark.parametrize("step", range(4))
+def test_a_stream_killed_while_it_publishes(spark, tmp_path, monkeypatch, step):
+    """Days deleted or half written by a run that dies come back from what was staged."""
+    schema = "node string, day string, lmp double, seq int"
+    run = lambda: incremental.accumulate(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "state"), ["node"], "seq", "day").awaitTermination()
+    add = lambda *r: spark.createDataFrame(list(r), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    add(("A", "d1", 1.0, 1), ("B", "d1", 2.0, 1), ("C", "d3", 3.0, 1))
+    run()
+    add(("A", "d1", 4.0, 1), ("C", "d2", 5.0, 1))
+    real, calls = versions.exists, []
+
+    def dies(own, path):
+        if step == 0:
+            raise OSError("killed")
+        return real(own, path)
+
+    def delete(own, path):
+        calls.append(path)
+        if len(calls) == 1 and step:
+            if step > 1:  # as an overwrite that got no further than to delete
+                shutil.rmtree(tmp_path / "out" / "day=d1", ignore_errors=True)
+            if step > 2:
+                shutil.rmtree(tmp_path / "out" / "day=d2", ignore_errors=True)
+            raise OSError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(versions, "exists", dies)
+        m.setattr(versions, "delete", delete)
+        with pytest.raises(Exception, match="killed"):
+            run()
+    run()
+    assert rows(spark.read.parquet(str(tmp_path / "out")).select("node", "lmp", "day"), "node") == [("A", 4.0, "d1"), ("B", 2.0, "d1"), ("C", 5.0, "d2")]
+
+
 def test_keep_last_of_nothing(spark):
     assert keep_last(spark.createDataFrame([], "k int, v int"), ["k"], "v").count() == 0
 
@@ -214,7 +269,43 @@ def test_failure_policy(spark, tmp_path):
         policy.refreshed(spark, malformed, out)
     with pytest.raises(Exception, match="bad row"):
         policy.refreshed(spark, lambda: spark.range(1).select(F.raise_error(F.lit("bad row")).cast("long").alias("id")), out)
-    assert rows(spark.read.parquet(out), "id") == [(0,)]
+    assert rows(versions.current(spark, out), "id") == [(0,)]
+
+
+def test_a_swap_killed_at_any_step(spark, tmp_path, monkeypatch):
+    """After each step of a replacement that dies there, the old or the new table is there to read, and another run succeeds."""
+    out = str(tmp_path / "t")
+    versions.replace(spark.range(3), out)
+    _, of = versions._fs(spark, out)
+    steps = ["nothing", "data half written", "data written", "number claimed"]
+    for n, step in enumerate(steps):
+        if step == "data half written":
+            (tmp_path / "t" / "versions" / "half").mkdir()
+            (tmp_path / "t" / "versions" / "half" / "part-0.parquet").write_bytes(b"PAR1")
+        if step in ("data written", "number claimed"):
+            versions.stage(spark.range(99), out)
+        if step == "number claimed":
+            fs, of = versions._fs(spark, out)
+            fs.createNewFile(of(f"{out}/claims/{versions.commits(spark, out)[-1][0] + 1:012d}"))
+        assert versions.current(spark, out).count() == 3 + n
+        assert versions.replace(versions.current(spark, out).unionByName(spark.range(1)), out).count() == 4 + n
+    versions.vacuum(spark, out, 1)
+    assert versions.current(spark, out).count() == 7 and len(list((tmp_path / "t" / "versions").iterdir())) == 1
+    assert len(versions.commits(spark, out)) == 1
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "t")
+    versions.replace(spark.range(1), out)
+    a, b = versions.stage(spark.range(2), out), versions.stage(spark.range(3), out)
+    seen = versions.commits(spark, out)
+    versions.commit(spark, out, a)
+    stale = iter([seen])
+    real = versions.commits
+    monkeypatch.setattr(versions, "commits", lambda s, p: next(stale, None) or real(s, p))
+    with pytest.raises(FileExistsError):
+        versions.commit(spark, out, b)  # which looked before the other's commit
+    assert versions.current(spark, out).count() == 2
 
 
 def test_annual_gap_and_tariff_end(spark):

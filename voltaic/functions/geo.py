@@ -69,9 +69,8 @@ def _all_edges(polygons: Column) -> Column:
     return F.flatten(F.transform(F.flatten(polygons), _edges))
 
 
-def covers(polygons: Column, x: Column, y: Column) -> Column:
-    """Is the point in the polygons, or on an edge? Even-odd, so holes are out and their edges in."""
-    edges = _all_edges(polygons)
+def covers_by(edges: Column, odd: Column, x: Column, y: Column) -> Column:
+    """Is the point inside, or on an edge? Inside: odd, changed by each edge between the point and the far right."""
 
     def crossed(s: Column) -> Column:
         a, b = s["a"], s["b"]
@@ -82,8 +81,13 @@ def covers(polygons: Column, x: Column, y: Column) -> Column:
         flat = (b["x"] - a["x"]) * (y - a["y"]) == (b["y"] - a["y"]) * (x - a["x"])
         return flat & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
 
-    odd = F.size(F.filter(edges, lambda s: F.coalesce(crossed(s), F.lit(False)))) % 2 == 1
-    return odd | F.exists(edges, touched)
+    crossings = F.size(F.filter(edges, lambda s: F.coalesce(crossed(s), F.lit(False))))
+    return ((crossings + odd.cast("int")) % 2 == 1) | F.exists(edges, touched)
+
+
+def covers(polygons: Column, x: Column, y: Column) -> Column:
+    """Is the point in the polygons, or on an edge? Even-odd, so holes are out and their edges in."""
+    return covers_by(_all_edges(polygons), F.lit(False), x, y)
 
 
 def distance(polygons: Column, x: Column, y: Column) -> Column:
@@ -100,7 +104,7 @@ def distance(polygons: Column, x: Column, y: Column) -> Column:
 
 
 def area(polygons: Column) -> Column:
-    """Shells less holes, whatever their direction; parts are taken as disjoint."""
+    """Shells less holes, whatever their direction. Polygons that may overlap are made one first: overlay.united()."""
 
     def ring(r: Column) -> Column:
         cross = F.transform(_edges(r), lambda s: s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"])

@@ -21,12 +21,18 @@ GRID = 2.0**-8
 
 def rings(shapes: pa.Array) -> list[list[list[np.ndarray]] | None]:
     """Each geometry's polygons' rings as rows of x and y; None for null."""
-    polys = shapes.flatten()
-    flat = polys.flatten()
-    points = flat.flatten()
+
+    def within(a: pa.Array) -> pa.Array:
+        return a.flatten() if len(a) else pa.array([], a.type.value_type)  # an empty one may come without offsets
+
+    polys = within(shapes)
+    flat = within(polys)
+    points = within(flat)
     xy = np.column_stack([np.asarray(points.field(c).to_numpy(zero_copy_only=False), np.float64) for c in ("x", "y")]) if len(points) else np.empty((0, 2))
 
     def ends(a) -> list[int]:
+        if not len(a):
+            return [0]
         return np.concatenate(([0], np.cumsum(a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(int).tolist()
 
     of_ring, of_polygon, of_shape = ends(flat), ends(polys), ends(shapes)

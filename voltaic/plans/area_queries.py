@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo, stats, text, time
+from ..functions import geo, overlay, stats, text, time
 from ..operators import adoption, decisions, inputs, merge, names, nodal, signal, spatial, value, zones
 from . import queries as base
 from .queries import customer, events, lineitem, nation, orders, part, supplier
@@ -115,6 +115,22 @@ def decisions_applied(spark, d):
     return out.withColumn("n_polygons", F.size("geometry")).withColumn("area", geo.area(F.col("geometry"))).withColumn("merged_licences", F.array_join("merged_licences", ";")).drop("geometry")
 
 
+def decision_chains(spark, d):
+    """Customers as areas, each merged into, or renamed to, what another decision concerns: chains of up to eight."""
+    k = F.col("c_custkey")
+    place = k % 9
+    number = lambda at: F.format_string("ED-2000-%04d", at)
+    layer = customer(spark, d).select(k.cast("string").alias("licence_no"), F.col("c_name").alias("utility_name"), _box(k * 10, F.lit(0), F.lit(12), F.lit(10)).alias("geometry"))
+    # Of nine areas in a row: 1 to 4 merge into the next one, 5 is renamed, 6 and 7 merge into 8; 8 is excluded.
+    kind = F.when(place.between(1, 4) | place.between(6, 7), "merge_into").when(place == 5, "relicensed_as").when(place == 8, "exclude_no_rrr")
+    target = F.when(kind == "relicensed_as", F.concat(F.lit("N"), k.cast("string"))).when(kind == "merge_into", F.when(place == 6, k + 2).otherwise(k + 1).cast("string"))
+    last = customer(spark, d).agg(F.max("c_custkey").alias("last_"))
+    whole = customer(spark, d).crossJoin(F.broadcast(last)).where(F.floor(k / 9) < F.floor((F.col("last_") + 1) / 9))  # one row
+    rows = whole.select(k.cast("string").alias("licence_no"), kind.alias("decision"), target.alias("target_licence_no"), F.lit("final").alias("status"), k.alias("at")).where("decision is not null")
+    out = decisions.apply(layer, rows, "at")
+    return out.select("licence_no", "decision", "excluded", "legacy_licence_no", F.array_join("merged_licences", ";").alias("merged_licences"), geo.area(F.col("geometry")).alias("area"), F.size("geometry").alias("n_polygons"))
+
+
 def decision_rules(spark, d):
     """Customers as rows of a decisions file in which much is wrong."""
     k, n = F.col("c_custkey"), F.col("c_nationkey")
@@ -285,6 +301,56 @@ def geometry_problems(spark, d):
     return part(spark, d).select("p_partkey", F.array_join(geo.problems(shape.cast(SHAPE)), "; ").alias("problems"))
 
 
+def _broken(k: Column) -> Column:
+    """A shape for each key, moved by it: sound, a bow-tie, a spike, nested, overlapping and equal shells, a hole across its shell."""
+    x = k.cast("double")
+
+    def ring(*corners: tuple[float, float]) -> Column:
+        return F.array(*[F.struct((x + a).alias("x"), F.lit(float(b)).alias("y")) for a, b in (*corners, corners[0])])
+
+    def square(at: float, side: float) -> Column:
+        return ring((at, at), (at + side, at), (at + side, at + side), (at, at + side))
+
+    shapes = (
+        F.array(F.array(square(0, 4), square(1, 2))), F.array(F.array(ring((0, 0), (4, 4), (4, 0), (0, 4)))), F.array(F.array(ring((0, 0), (4, 0), (9, 0), (4, 0), (4, 4), (0, 4)))), F.array(F.array(square(0, 10)), F.array(square(2, 5))),
+        F.array(F.array(square(0, 4)), F.array(square(2, 4))), F.array(F.array(square(0, 4)), F.array(square(0, 4))), F.array(F.array(square(0, 4), ring((2, 1), (6, 1), (6, 3), (2, 3)))),
+    )
+    out = F.lit(None).cast(SHAPE)
+    for i, shape in enumerate(shapes):
+        out = F.when(k % 8 == i, shape.cast(SHAPE)).otherwise(out)
+    return out
+
+
+def repaired_polygons(spark, d):
+    rows = part(spark, d).select("p_partkey", overlay.repaired(_broken(F.col("p_partkey"))).alias("s"))
+    return rows.select("p_partkey", "s.repaired", geo.area(F.col("s.geometry")).alias("area"), F.size("s.geometry").alias("n_polygons"), F.size(F.flatten("s.geometry")).alias("n_rings"))
+
+
+def dissolved_overlaps(spark, d):
+    """Customers of a nation as steps that overlap the next one each, and of each segment as boxes side by side."""
+    k = F.col("c_custkey")
+    nth = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    steps = customer(spark, d).withColumn("nth", nth).select(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("area_of"), _box(F.col("nth") * 60, F.col("nth") * 10, F.lit(100), F.lit(100)).alias("geometry"))
+    row = customer(spark, d).select(F.col("c_mktsegment").alias("area_of"), _box(k * 10, F.lit(0), F.lit(10), F.lit(5)).alias("geometry"))
+    out = inputs.dissolve(steps.unionByName(row), "area_of")
+    return out.select("area_of", "n_source_features", geo.area(F.col("geometry")).alias("area"))
+
+
+def points_in_areas(spark, d):
+    """Orders as points in areas from a street's width to a country's: nested squares with holes around the middle of the field."""
+    k = F.col("n_nationkey")
+    half = F.pow(F.lit(2.0), (k % 15).cast("double"))
+
+    def square(x: float, side: Column) -> Column:
+        corners = ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))
+        return F.array(*[F.struct((F.lit(x) + a * side).alias("x"), (b * side).alias("y")) for a, b in corners])
+
+    middle = 3000.0
+    areas = nation(spark, d).select("n_nationkey", F.array(F.array(square(middle, half), square(middle, half / 4))).cast(SHAPE).alias("geometry"))
+    points = orders(spark, d).select("o_orderkey", (F.col("o_orderkey") * 37 % 6007).cast("double").alias("x"), (F.col("o_orderkey") * 91 % 4001 - 2000).cast("double").alias("y"))
+    return spatial.inside(points, areas, 1.0).groupBy("n_nationkey").agg(F.count("*").alias("n"), F.sum("o_orderkey").cast("long").alias("keys"))
+
+
 def projection_round_trip(spark, d):
     places = base._places(customer(spark, d), "c_custkey", "c", 1.0).withColumn("at", geo.project(F.col("lon"), F.col("lat")))
     back = places.withColumn("back", geo.unproject(F.col("at.x"), F.col("at.y")))
@@ -348,6 +414,12 @@ g AS (SELECT b, count(*) AS n, string_agg(lic, ';' ORDER BY lic) AS merged, max(
 SELECT CASE WHEN kind = 'relicensed_as' THEN 'ED-2001-' || lpad(CAST(t.b AS VARCHAR), 4, '0') ELSE lic END AS licence_no, n_name AS utility_name, CASE WHEN g.b IS NOT NULL THEN 'merge_target' ELSE coalesce(kind, 'none') END AS decision, coalesce(g.status, t.status, '') AS decision_status,
   coalesce(kind = 'exclude_no_rrr', false) AS excluded, coalesce(merged, '') AS merged_licences, CASE WHEN kind = 'relicensed_as' THEN lic END AS legacy_licence_no, coalesce(kind = 'unresolved_lookup', false) AS licence_not_current, 1 + coalesce(g.n, 0) AS n_polygons, l.area + coalesce(g.area, 0) AS area
 FROM l LEFT JOIN t ON a = k LEFT JOIN g ON g.b = k WHERE coalesce(kind, '') <> 'merge_into'""",
+    "decision_chains": """WITH c AS (SELECT c_custkey AS k, c_custkey % 9 AS p, c_custkey // 9 AS g, c_custkey // 9 < ((SELECT max(c_custkey) FROM customer) + 1) // 9 AS whole FROM customer),
+e AS (SELECT k, CASE WHEN NOT whole OR p IN (0, 8) THEN k WHEN p <= 5 THEN 9 * g + 5 ELSE 9 * g + 8 END AS last FROM c),
+s AS (SELECT last, count(*) AS n, min(k) AS low, bool_or(k = last - 1) AS near FROM e GROUP BY 1)
+SELECT CASE WHEN whole AND p = 5 THEN 'N' || k ELSE CAST(k AS VARCHAR) END AS licence_no, CASE WHEN NOT whole OR p = 0 THEN 'none' WHEN p = 5 THEN 'relicensed_as' ELSE 'exclude_no_rrr' END AS decision, whole AND p = 8 AS excluded, CASE WHEN whole AND p = 5 THEN CAST(k AS VARCHAR) END AS legacy_licence_no,
+  CASE WHEN whole AND p = 5 AND n > 1 THEN CAST(k - 1 AS VARCHAR) WHEN whole AND p = 8 THEN (k - 2) || ';' || (k - 1) ELSE '' END AS merged_licences, CAST(n * 100 + 20 AS DOUBLE) AS area, 1 AS n_polygons
+FROM c JOIN s ON last = k""",
     "decision_rules": rf"""WITH a AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN 'X' || c_custkey ELSE 'ED-2000-' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 4, '0') END AS lic, ([{', '.join(f"'{k}'" for k in decisions.KINDS)}, 'drop', ''])[c_nationkey % 6 + 1] AS kind, c_nationkey % 5 AS m,
   CASE c_mktsegment WHEN 'BUILDING' THEN 'open' WHEN 'HOUSEHOLD' THEN 'provisional' ELSE 'final' END AS status, c_acctbal > 0 AS signed FROM customer),
 b AS (SELECT *, CASE m WHEN 0 THEN '' WHEN 1 THEN 'ED-2000-0001' WHEN 2 THEN 'ED-1' WHEN 3 THEN lic ELSE 'ED-2099-0001' END AS target, count(*) OVER (PARTITION BY lic) > 1 AS twice, kind IN ('merge_into', 'relicensed_as') AS aims FROM a),
@@ -390,6 +462,12 @@ SELECT user_id, event_type, event_id, value, CASE WHEN NOT new THEN props END AS
     "rebuilt_areas": f"{_SPARED} SELECT licence_no, difference, n AS n_source_features FROM x",
     "worst_area": f"{_SPARED} SELECT licence_no, difference FROM x ORDER BY difference DESC, licence_no DESC LIMIT 1",
     "geometry_problems": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'open ring' WHEN 2 THEN 'ring of fewer than four points' WHEN 3 THEN 'ring touches itself' ELSE 'empty' END AS problems FROM part",
+    "repaired_polygons": """SELECT p_partkey, CASE p_partkey % 8 WHEN 7 THEN NULL ELSE p_partkey % 8 > 0 END AS repaired, CAST(([12, 8, 16, 75, 24, 0, 16, NULL])[p_partkey % 8 + 1] AS DOUBLE) AS area,
+  ([1, 2, 1, 1, 2, 0, 2, NULL])[p_partkey % 8 + 1] AS n_polygons, ([2, 2, 1, 2, 2, 0, 2, NULL])[p_partkey % 8 + 1] AS n_rings FROM part""",
+    "dissolved_overlaps": """SELECT 'N' || c_nationkey AS area_of, count(*) AS n_source_features, CAST(count(*) * 10000 - (count(*) - 1) * 3600 AS DOUBLE) AS area FROM customer GROUP BY 1
+UNION ALL SELECT c_mktsegment, count(*), CAST(count(*) * 50 AS DOUBLE) FROM customer GROUP BY 1""",
+    "points_in_areas": """WITH a AS (SELECT n_nationkey, pow(2, n_nationkey % 15) AS h FROM nation), p AS (SELECT o_orderkey, greatest(abs(o_orderkey * 37 % 6007 - 3000), abs(o_orderkey * 91 % 4001 - 2000)) AS far FROM orders)
+SELECT n_nationkey, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM a JOIN p ON far <= h AND far >= h / 4 GROUP BY 1""",
     "projection_round_trip": f"WITH p AS (SELECT c_custkey AS c, {base._at('c_custkey')} FROM customer), {_conic_sql()}",
     "zonal_window_mean": f"""WITH d AS ({base._DAILY}), w AS (SELECT * FROM d WHERE date > (SELECT max(date) FROM d) - 400), z AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, floor(CAST(sum(CAST(o_totalprice AS DECIMAL(28,4))) AS DOUBLE) / count(*)) AS price FROM orders GROUP BY 1)
 SELECT node_id, CAST(sum(n_hours) AS BIGINT) AS hours, CAST(coalesce(sum(n_hours) FILTER (price IS NOT NULL), 0) AS BIGINT) AS known_hours, round(CAST(sum(CAST(sp + price * n_hours AS DECIMAL(28,8))) AS DOUBLE) / sum(n_hours), 6) AS mean_lmp FROM w LEFT JOIN z USING (date) GROUP BY 1""",

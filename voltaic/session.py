@@ -32,14 +32,20 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="voltaic-")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's own folder in the one that spark.checkpoint.dir names, which all executors see."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(checkpoint_folder(spark))
+    return context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df from a checkpoint in the folder of spark.checkpoint.dir.
 
     For what must be the same wherever it is read again, such as the number of the partition that a row lies in.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

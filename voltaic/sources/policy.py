@@ -8,36 +8,28 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-_LOG = logging.getLogger(__name__)
-
+from . import versions
 
-def _move(spark: SparkSession, old: str, new: str) -> None:
-    jvm = spark.sparkContext._jvm
-    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (old, new))
-    fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    if not fs.rename(source, target):
-        raise OSError(f"{old} could not be moved to {new}")
+_LOG = logging.getLogger(__name__)
 
 
 def refreshed(spark: SparkSession, build: Callable[[], DataFrame], path: str, strict: bool = False) -> DataFrame:
-    """The table at path, replaced by build()'s rows once all of them are written.
+    """The table at path (see versions), replaced by build()'s rows once all of them are written.
 
     An input that isn't there leaves the last good table and a warning; with strict, or without such a table, it fails.
-    Malformed input always fails (SchemaError, ValueError, errors of tasks), and leaves the table as it was.
+    Malformed input always fails (SchemaError, ValueError, errors of tasks), and leaves the table as it was. A run that
+    dies at any step leaves the table as it was, or as it should be.
     """
-    staged = path.rstrip("/") + ".staged"
     try:
-        build().write.mode("overwrite").parquet(staged)
+        version = versions.stage(build(), path)
     except AnalysisException as e:
         if strict or e.getCondition() != "PATH_NOT_FOUND":
             raise
         try:
-            last = spark.read.parquet(path)
+            last = versions.current(spark, path)
         except AnalysisException:
             raise e from None
         _LOG.warning("%s keeps its last good rows: %s", path, e)
         return last
-    _move(spark, staged, path)
-    spark.catalog.refreshByPath(path)
-    return spark.read.parquet(path)
+    versions.commit(spark, path, version)
+    return versions.current(spark, path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import logging
 import re
 import zipfile
 from collections.abc import Iterator
@@ -10,12 +11,15 @@ from html import unescape
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import hour_ending_utc
 from ..schemas import SchemaError, require
 
+_LOG = logging.getLogger(__name__)
+
 
 def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV with a header that must be the schema's; select() of it reads the columns it needs."""
@@ -46,26 +50,42 @@ def fuel_mix(spark: SparkSession, path: str, fuels: list[str] | None = None) ->
     return rows.groupBy("timestamp_utc").pivot("fuel", fuels).agg(F.last("mw"))
 
 
-def adjustment_rates(spark: SparkSession, path: str) -> DataFrame:
-    """timestamp_utc, rate, status, file from hourly rate CSVs whose rate column's name varies; blank and unreadable rows are left out.
+def _rate_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Each data row of hourly rate CSVs: file, row, day, he, rate, text of the rate, status. A file without a rate column fails.
 
-    Files are read as text so that each one's own header names its columns; a file without a rate column fails.
+    Files are read as text so that each one's own header names its columns; commas and quotes within quotes are kept.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n").alias("lines"))
-    head = F.transform(F.split(F.get("lines", F.lit(0)), ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r?\n").alias("lines"))
+
+    def cells(line: Column) -> Column:
+        # A field is quoted, with quotes doubled within, or has no comma; each ends at a comma or the line's end.
+        fields = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'\s*("(?:[^"]|"")*"[^,]*|[^,]*),'), F.lit(1))
+        return F.transform(fields, lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"(?=[^"]*$)', ""), '""', '"')))
+
+    head = cells(F.get("lines", F.lit(0)))
     rate_at = F.array_position(F.transform(head, lambda c: F.contains(c, F.lit("Rate ($/MWh)"))), True)
     checked = F.when(rate_at > 0, rate_at).otherwise(F.raise_error(F.concat(F.lit("no rate column: "), F.col("file"))).cast("long"))
     rows = lines.select("file", head.alias("head"), checked.alias("rate_at"), F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("row", "line")).where("trim(line) <> ''")
-    cells = F.transform(F.split("line", ",", -1), lambda c: F.trim(F.regexp_replace(c, '"', "")))
-    rows = rows.withColumn("cells", cells)
+    rows = rows.withColumn("cells", cells(F.col("line")))
 
     def cell(name: str):
         return F.get("cells", F.array_position("head", name) - 1)
 
     he = F.try_to_number(cell("Hour"), F.lit("99")).cast("int")
-    day, rate = F.try_to_date(cell("Date")), F.get("cells", F.col("rate_at") - 1)
-    rows = rows.select("file", "row", day.alias("day"), F.when(he.between(1, 25), he).alias("he"), rate.try_cast("double").alias("rate"), cell("Status").alias("status"))
-    return rows.where("day is not null and he is not null and rate is not null").select(hour_ending_utc(F.col("day"), F.col("he")).alias("timestamp_utc"), "rate", "status", "file", "row")
+    text = F.coalesce(F.get("cells", F.col("rate_at") - 1), F.lit(""))
+    return rows.select("file", "row", cell("Date").alias("date"), cell("Hour").alias("hour"), F.try_to_date(cell("Date")).alias("day"), F.when(he.between(1, 25), he).alias("he"), text.try_cast("double").alias("rate"), text.alias("text"), cell("Status").alias("status"))
+
+
+def adjustment_rates(spark: SparkSession, path: str) -> DataFrame:
+    """timestamp_utc, rate, status, file, row from hourly rate CSVs whose rate column's name varies; blank and unreadable rows are left out (see blank_rates)."""
+    rows = _rate_rows(spark, path).where("day is not null and he is not null and rate is not null")
+    return rows.select(hour_ending_utc(F.col("day"), F.col("he")).alias("timestamp_utc"), "rate", "status", "file", "row")
+
+
+def blank_rates(spark: SparkSession, path: str) -> DataFrame:
+    """file, n_blank: rows with a date and an hour but no rate, of files that have any; for the log."""
+    rows = _rate_rows(spark, path).where("coalesce(date, '') <> '' and coalesce(hour, '') <> '' and text = ''")
+    return rows.groupBy("file").agg(F.count("*").alias("n_blank"))
 
 
 def nodal_prices(spark: SparkSession, path: str) -> DataFrame:
@@ -73,9 +93,9 @@ def nodal_prices(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("lines"), F.input_file_name().alias("file"))
     stamp = F.regexp_extract(F.get("lines", F.lit(0)), r"FOR (\d{4}/\d{2}/\d{2})", 1)
     day = F.when(stamp != "", F.to_date(stamp, "yyyy/MM/dd")).otherwise(F.raise_error(F.concat(F.lit("no delivery date: "), F.col("file"))).cast("date"))
-    head = F.transform(F.split(F.get("lines", F.lit(1)), ","), F.trim)
+    head = F.transform(F.split(F.get("lines", F.lit(1)), ","), lambda c: F.trim(c))
     rows = files.select(day.alias("date"), head.alias("head"), F.explode(F.slice("lines", F.lit(3), F.size("lines"))).alias("line")).where("trim(line) <> ''")
-    rows = rows.withColumn("cells", F.transform(F.split("line", ",", -1), F.trim))
+    rows = rows.withColumn("cells", F.transform(F.split("line", ",", -1), lambda c: F.trim(c)))
 
     def cell(name: str):
         return F.nullif(F.get("cells", F.array_position("head", name) - 1), F.lit(""))
@@ -94,18 +114,39 @@ def regulator_table(spark: SparkSession, path: str, tag: str, columns: list[str]
     return require(table, columns, path)
 
 
-def regulator_names(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """current(name) and historical(former, name) of several tables(path → row tag); of a former name's companies the first by table."""
-    all_ = None
-    for i, (path, tag) in enumerate(sorted(paths.items())):
-        own = spark.read.format("xml").option("rowTag", tag).schema("Current_Company_Name string, Historical_Company_Name string").load(path)
-        own = own.select(F.lit(i).alias("table"), F.nullif(F.trim("Current_Company_Name"), F.lit("")).alias("name"), F.nullif(F.trim("Historical_Company_Name"), F.lit("")).alias("former")).where("name is not null").distinct()
-        all_ = own if all_ is None else all_.unionByName(own)
-    if all_ is None:
+def _names_in(content: bytes) -> list[tuple[str, str | None]]:
+    """Current and former names of a regulator table's records, whatever their tag."""
+    out = []
+    for record in ElementTree.fromstring(content):
+        own = {c.tag.rpartition("}")[2]: (c.text or "").strip() for c in record}
+        if name := own.get("Current_Company_Name"):
+            out.append((name, own.get("Historical_Company_Name") or None))
+    return sorted(set(out), key=lambda x: (x[0], x[1] or ""))
+
+
+def regulator_names(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """current(name) and historical(former, name) of the tables that a glob names; of a former name's companies the first by file.
+
+    No file gives empty tables and a warning, as the tables may come later.
+    """
+    try:
+        files = spark.read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        _LOG.warning("no regulator tables at %s: no names", path)
         empty = spark.createDataFrame([], "name string, former string")
         return empty.select("name"), empty.select("former", "name")
-    former = all_.where("former is not null").groupBy("former").agg(F.min(F.struct("table", "name")).alias("first"))
-    return all_.select("name").distinct(), former.select("former", "first.name")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                names = _names_in(content)
+                yield pa.RecordBatch.from_arrays([pa.array([file.rpartition("/")[2]] * len(names), pa.string()), *(pa.array([n[i] for n in names], pa.string()) for i in (0, 1))], ["table", "name", "former"])
+
+    rows = files.select("path", "content").mapInArrow(run, "table string, name string, former string")
+    former = rows.where("former is not null").groupBy("former").agg(F.min(F.struct("table", "name")).alias("first"))
+    return rows.select("name").distinct(), former.select("former", "first.name")
 
 
 def geojson(spark: SparkSession, path: str) -> DataFrame:
@@ -128,9 +169,12 @@ def geojson(spark: SparkSession, path: str) -> DataFrame:
     return f.select(*[F.get(F.array(F.col("f.properties")[p]), F.lit(0)).alias(p) for p in props], polygons.alias("geometry"))
 
 
-def _cells(sheet: bytes, strings: list[str]) -> Iterator[list]:
+def sheet_cells(sheet, strings: list[str]) -> Iterator[list]:
+    """The rows of a worksheet, a file that is read as it streams in, as lists of text."""
     main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    for row in ElementTree.fromstring(sheet).iter(f"{main}row"):
+    for _, row in ElementTree.iterparse(sheet):
+        if row.tag != f"{main}row":
+            continue
         out: list = []
         for c in row.iter(f"{main}c"):
             letters = re.match(r"[A-Z]*", c.get("r", ""))[0]
@@ -141,20 +185,34 @@ def _cells(sheet: bytes, strings: list[str]) -> Iterator[list]:
             v, text = c.find(f"{main}v"), "".join(t.text or "" for t in c.iter(f"{main}t"))
             value = text or None if v is None or v.text is None else strings[int(v.text)] if c.get("t") == "s" else v.text
             out[(at or len(out)) - 1] = value
+        row.clear()
         yield out
 
 
+def shared_strings(z: zipfile.ZipFile) -> list[str]:
+    """The texts that a workbook's cells refer to by number."""
+    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    if "xl/sharedStrings.xml" not in z.namelist():
+        return []
+    return ["".join(t.text or "" for t in si.iter(f"{main}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{main}si")]
+
+
+def sheet_members(z: zipfile.ZipFile) -> dict[str, str]:
+    """The archive's member of each sheet of a workbook, in order."""
+    main, rel = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}", "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+    targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    found = {s.get("name"): targets[s.get(f"{rel}id")] for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{main}sheet")}
+    return {name: t.lstrip("/") if t.startswith("/") else f"xl/{t}" for name, t in found.items()}
+
+
 def xlsx_rows(content: bytes, sheet: str, header_row: int) -> list[dict]:
     """The rows of a sheet as dicts of text, by the header in header_row (from 1)."""
-    main, rel = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}", "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        strings = ["".join(t.text or "" for t in si.iter(f"{main}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
-        ids = {s.get("name"): s.get(f"{rel}id") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{main}sheet")}
-        if sheet not in ids:
+        members = sheet_members(z)
+        if sheet not in members:
             raise SchemaError(f"no sheet {sheet}")
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        target = targets[ids[sheet]]
-        rows = list(_cells(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}"), strings))
+        with z.open(members[sheet]) as member:
+            rows = list(sheet_cells(member, shared_strings(z)))
     names = rows[header_row - 1]
     return [{n: (r[i] if i < len(r) else None) for i, n in enumerate(names) if n} for r in rows[header_row:] if any(x is not None for x in r)]
 

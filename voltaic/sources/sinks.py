@@ -61,6 +61,13 @@ def write_geojson(df: DataFrame, path: str, order: list[str], geometry: str = "g
         f.write("\n]}\n")
 
 
+def write_features(df: DataFrame, path: str, files: int, geometry: str = "geometry") -> None:
+    """So many files (or fewer) in folders at path, each a FeatureCollection, written by as many tasks: for layers of any size."""
+    own = features(df, geometry).select("value", F.pmod(F.xxhash64("value"), F.lit(files)).alias("file_"))
+    whole = own.groupBy("file_").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.array_sort(F.collect_list("value")), ","), F.lit("]}")).alias("value"))
+    whole.select("file_", "value").write.mode("overwrite").partitionBy("file_").text(path)
+
+
 def update_manifest(manifest: DataFrame, seen: DataFrame) -> DataFrame:
     """The manifest with the files just read in place of their former entries."""
     both = manifest.withColumn("at_", F.lit(0)).unionByName(seen.withColumn("at_", F.lit(1)), allowMissingColumns=True)
