@@ -79,3 +79,12 @@ def test_query(spark, sample, odd, none):
 
 def test_native(spark, sample):
     assert "Python" not in h.query(spark, sample)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_thousands_of_cuts(spark):
+    """The plan doesn't grow with the cuts, so neither does the time to make it."""
+    df = spark.range(60_000).select((F.col("id") * 7919 % 60_013).alias("doc_id"), (F.col("id") % 13 + 1).alias("size"))
+    got = h.shard_by_bytes(df, shards=24, rows_per_task=12)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    sizes = check(got.collect(), 24)
+    assert max(sizes) - min(sizes) < 60

@@ -6,9 +6,11 @@ Only DataFrame functions; no Python on the executors.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import durable, free_name
 
@@ -23,6 +25,19 @@ def _number(x: int) -> Column:
     return F.lit(x).cast("long") if x in LONGS else F.lit(str(x)).cast("decimal(20,0)")
 
 
+def _array(values: list[int], wide: bool) -> Column:
+    """Whole numbers as one constant, of longs or of what longs can't hold."""
+    if not wide:
+        return F.expr(f"array({', '.join(f'{x}L' if x > -(2**63) else 'bigint(-9223372036854775807L) - 1L' for x in values)})")
+    return F.expr(f"array({', '.join(f'cast({x}BD as decimal(20,0))' for x in values)})")
+
+
+def _passed(n: int, passes: Callable[[Column], Column]) -> Column:
+    """How many of n items in order, from 0, pass; those that do come first. A binary search, so the plan is the same for any n."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda done, step: F.when((done + step <= n) & passes(done + step - 1), done + step).otherwise(done))
+
+
 def _refine(rows: DataFrame, key: str, weight: str, brackets: list[tuple[int, int, int, int]], targets: list[float], tolerance: float, within: str | None = None, of: list[int] | None = None) -> list[tuple[int, int]]:
     """For each target the boundary nearest to it and the weight below that.
 
@@ -41,19 +56,19 @@ def _refine(rows: DataFrame, key: str, weight: str, brackets: list[tuple[int, in
         ask = sorted({(of[i], *brackets[i]) for i, x in enumerate(done) if x is None})
         if not ask:
             return done  # type: ignore[return-value]
-        cell: Column | None = None
-        for n, (group, a, _, b, _) in enumerate(ask):
-            step = -(-(b - a) // PROBES)
-            if a in LONGS and b - a in LONGS and b in LONGS:
-                at = F.expr(f"(`{key}` - cast('{a}' as long)) div {step}L")
-            else:  # decimals: whole numbers, and their division is exact
-                at = F.expr(f"(cast(`{key}` as decimal(20,0)) - cast('{a}' as decimal(20,0))) div cast('{step}' as decimal(20,0))")
-            inside = (F.col(key) >= _number(a)) & (F.col(key) < _number(b))
-            if within is not None:
-                inside = (F.col(within) == _number(group)) & inside
-            at = at + F.lit(n * (PROBES + 1)).cast("long")
-            cell = F.when(inside, at) if cell is None else cell.when(inside, at)
-        sums = {r[0]: int(r[1]) for r in rows.select(cell.alias("cell"), weight).where("cell is not null").groupBy("cell").agg(F.sum(weight)).collect()}
+        wide = not all(a in LONGS and b - a in LONGS and b in LONGS for _, a, _, b, _ in ask)
+        steps = [-(-(b - a) // PROBES) for _, a, _, b, _ in ask]
+        kind = "decimal(20,0)" if wide else "long"
+        own = rows.select(F.col(key).cast(kind).alias("key_"), F.col(weight).alias("weight_"), (F.lit(0) if within is None else F.col(within)).cast("decimal(20,0)").alias("of_"))
+        low, groups = _array([a for _, a, _, _, _ in ask], wide), _array([g for g, _, _, _, _ in ask], True)
+        reached = lambda i: F.get(low, i) <= F.col("key_")
+        if within is not None:
+            reached = lambda i: (F.get(groups, i) < F.col("of_")) | ((F.get(groups, i) == F.col("of_")) & (F.get(low, i) <= F.col("key_")))
+        own = own.withColumn("at_", _passed(len(ask), reached) - 1)
+        inside = (F.col("at_") >= 0) & (F.col("key_") < F.get(_array([b for _, _, _, b, _ in ask], wide), F.col("at_"))) & (F.get(groups, F.col("at_")) == F.col("of_"))
+        own = own.where(inside).withColumn("from_", F.get(low, F.col("at_"))).withColumn("step_", F.get(_array(steps, wide), F.col("at_")))
+        cell = F.expr("(key_ - from_) div step_").cast("long") + F.col("at_").cast("long") * (PROBES + 1)
+        sums = {r[0]: int(r[1]) for r in own.groupBy(cell.alias("cell")).agg(F.sum("weight_")).collect()}
         finer = {}
         for n, (group, a, wa, b, wb) in enumerate(ask):
             step = -(-(b - a) // PROBES)
@@ -77,7 +92,15 @@ def _cuts_inside(rows: DataFrame, key: str, row: str, weight: str, found: list[t
     That is the key at the boundary, or the one just below it. All of them together take three aggregations and the passes.
     """
     high = sorted({found[i][0] for i in missed if found[i][1] >= aims[i]})
-    below = dict(zip(high, rows.agg(*[F.max(F.when(F.col(key) < _number(x), F.col(key))) for x in high]).first())) if high else {}
+    below, most = {}, None
+    if high:
+        wide = not all(x in LONGS for x in high) or rows.schema[key].dataType != LongType()
+        bounds = _array(high, wide)
+        up_to = _passed(len(high), lambda i: F.get(bounds, i) <= F.col(key))
+        tops = dict(rows.select(up_to.alias("n"), key).groupBy("n").agg(F.max(key)).collect())
+        for n, x in enumerate(high):
+            most = max((y for y in (most, tops.get(n)) if y is not None), default=None)
+            below[x] = most
     inside = {i: found[i][0] if found[i][1] < aims[i] else int(below[found[i][0]]) for i in missed}
     own = rows.where(F.col(key).isin(*[_number(x) for x in sorted(set(inside.values()))]))
     mass = {int(r[0]): int(r[1]) for r in own.groupBy(key).agg(F.sum(weight)).collect()}
@@ -117,9 +140,10 @@ def shard_by_bytes(df: DataFrame, key: str = "doc_id", weight: str = "size", sha
     found = _refine(rows.select(k, w), k, w, [(low, 0, high + 1, total)] * len(aims), aims, slack)
     missed = [i for i, (_, below) in enumerate(found) if abs(below - aims[i]) > slack]
     inside = _cuts_inside(rows.select(k, u, w), k, u, w, found, missed, aims, last, slack) if missed else {}
-    at = F.lit(0)
-    for b, row in sorted(inside.get(i, (x[0], -1)) for i, x in enumerate(found)):
-        at = at + F.when((F.col(k) > _number(b)) | ((F.col(k) == _number(b)) & (F.col(u) >= F.lit(row))), 1).otherwise(0)
+    bounds = sorted(inside.get(i, (x[0], -1)) for i, x in enumerate(found))
+    wide = rows.schema[k].dataType != LongType() or not all(b in LONGS for b, _ in bounds)
+    keys, firsts = _array([b for b, _ in bounds], wide), _array([r for _, r in bounds], False)
+    at = _passed(len(bounds), lambda i: (F.get(keys, i) < F.col(k)) | ((F.get(keys, i) == F.col(k)) & (F.get(firsts, i) <= F.col(u))))
     placed = rows.withColumn(cell, at)
     counts = dict(placed.groupBy(cell).count().collect())
     first, start = [], 0
