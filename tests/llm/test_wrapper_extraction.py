@@ -65,6 +65,15 @@ def test_a_megabyte_of_odd_markup_takes_linear_time(piece):
     assert took[1] < 12 * took[0] + 1
 
 
+@pytest.mark.parametrize("html", ["<p>x</p><div " + "a-" * 500_000 + "><p>y", "<p>x</p><textarea>" + "</textarea " * 90_000 + "<p>y", "<p>x</p><div " + "a = " * 250_000 + "><p>y", "<p>x</p><div " + "b" + " " * 1_000_000 + "><p>y"])
+def test_a_megabyte_in_one_tag(html):
+    import time
+
+    start = time.process_time()
+    text_of(html)
+    assert time.process_time() - start < 2
+
+
 PLAIN_PAGE = """<html><body><div><ul><li><a href=x>{nav1}</a></li><li><a href=y>{nav2}</a></li></ul></div><div>{ad}</div><div><h1>{title}</h1><p>{a}</p><p>{b}</p><p>{c}</p></div>
 <div><ul><li>{side}</li></ul></div><div>{foot}</div></body></html>"""
 

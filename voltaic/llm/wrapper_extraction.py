@@ -64,7 +64,7 @@ TOGETHER = 2000
 #: Markup from "<" on: comment, declaration, or tag (closing?, name); what follows the name of a tag, with quotes or without.
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
 _QUOTED = re.compile(r"((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_ATTR = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -167,8 +167,10 @@ def _tokens(html: str) -> Iterator[tuple[str, bool, str]]:
         tag = m[2].lower()
         yield tag, bool(m[1]), attrs
         if tag in RAW and not m[1] and (not attrs.endswith("/") or tag in ("script", "style", "textarea", "title")):
-            end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(html, at)
-            at = end.end() if end else n
+            end = re.compile(rf"</{re.escape(tag)}", re.I).search(html, at)
+            at = html.find(">", end.end()) + 1 if end else 0
+            if not at:  # its text never ends
+                return
 
 
 def parse(html: str) -> Node:
