@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from voltaic.llm import bpe, cube_mixing, language_id, near_copies, suffix_dedup
 from voltaic.llm.common import shared_folder
+from voltaic.sources import versions
 
 #: A document goes if less than this share of its letters is in one language.
 LEAST_SHARE = 0.5
@@ -81,10 +82,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared folder and read again."""
+    """The stages over documents, each written to the shared folder and read again; what a stage has read goes when its own rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            versions.delete(spark, f"{folder}/{before}")
+        before = name
     return docs

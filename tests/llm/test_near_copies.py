@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voltaic.llm import near_copies
 
@@ -86,3 +87,12 @@ def test_no_pair_over_the_bound_is_missed(spark):
     want, like = kept(texts)
     assert sum(0.8 <= v < 0.85 for v in like.values()) > 20
     assert found(spark, texts) == want
+
+
+def test_unlike_texts_of_one_hash_stay(spark, monkeypatch):
+    """A hash that two unlike texts share; copies of each still go."""
+    plain = near_copies.text_hash
+    monkeypatch.setattr(near_copies, "text_hash", lambda: F.when(F.startswith("text", F.lit("same")), F.lit(7).cast("long")).otherwise(plain()))
+    rows = [(1, "same one two three four five six"), (2, "same red blue green pink grey"), (3, "same one two three four five six"), (4, "other words that stand alone here"), (5, "other words that stand alone here"), (None, "same red blue green pink grey")]
+    got = near_copies.survivors(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 4]

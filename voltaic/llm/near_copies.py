@@ -8,7 +8,6 @@ Every pair that meets and isn't joined already is judged by its whole sets.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import durable, few, lean, parallelism, segments, small_batches, utf8
-from .components import stars
+from .common import durable, few, freeing, lean, parallelism, segments, small_batches, utf8
+from .components import roots
 
 #: Words of a shingle, least likeness of near copies.
 WORDS, LIKENESS = 5, 0.8
@@ -256,12 +255,6 @@ def _by_fingerprint(survey: DataFrame) -> DataFrame:
     return durable(same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
-def _release(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of steps whose results are durable: it does when the driver collects garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def survivors(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash of the documents that stay: of each group that links join, the one of smallest doc_id.
 
@@ -272,26 +265,36 @@ def survivors(docs: DataFrame) -> DataFrame:
     Null doc_ids come last, null texts are empty, repeated rows count once, empty tables give empty results; long texts
     are taken whole.
     """
-    own = docs.select(text_hash().alias("id"), "text")
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
-    classes = durable(docs.select(text_hash().alias("text_hash"), "doc_id").groupBy("text_hash").agg(F.min(key).alias("key")))
-    with small_batches(docs.sparkSession, 4000):
+    other = F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))
+    with freeing(docs.sparkSession):
+        classes = durable(docs.select(text_hash().alias("text_hash"), other.alias("other"), "doc_id").groupBy("text_hash").agg(F.min(key).alias("key"), (F.min("other") != F.max("other")).alias("mixed")))
+        mixed = classes.where("mixed").select("text_hash")
+        apart = None
+        if not mixed.isEmpty():  # unlike texts of one hash stay as they are, but for equal ones
+            whole = docs.withColumn("text_hash", text_hash())
+            apart = whole.join(mixed, "text_hash", "left_semi").groupBy("text_hash", other.alias("other")).agg(F.min(key).alias("k"))
+            docs, classes = whole.join(mixed, "text_hash", "left_anti").drop("text_hash"), classes.where("not mixed")
+        linked = _linked(docs.select(text_hash().alias("id"), "text"))
+    best = classes.join(few(linked.toDF("text_hash", "root")), "text_hash", "left").groupBy(F.coalesce("root", "text_hash").alias("root")).agg(F.min(F.struct("key", "text_hash")).alias("k"))
+    out = best.select(F.col("k.key.doc_id").alias("doc_id"), F.col("k.text_hash").alias("text_hash"))
+    return out if apart is None else out.unionByName(apart.select(F.col("k.doc_id").alias("doc_id"), "text_hash"))
+
+
+def _linked(own: DataFrame) -> DataFrame:
+    """node, root of own(id, text; equal ids are equal texts) that isn't the smallest of its group."""
+    spark = own.sparkSession
+    with small_batches(spark, 4000):
         survey = durable(surveyed(own))
-    links = _links(own, _by_fingerprint(survey))
-    _release(own)
-    roots, direct = durable(stars(links)), DIRECT
+    found_roots, direct = roots(_links(own, _by_fingerprint(survey))), DIRECT
     members = fronts(own, counts(survey))
     while True:
-        named = members.join(few(roots.toDF("id", "root")), "id", "left").select("shingle", "id", "size", "place", *(["asked"] if "asked" in members.columns else [F.lit(False).alias("asked")]), F.coalesce("root", "id").alias("root"))
-        with small_batches(docs.sparkSession, 4000):
+        named = members.join(few(found_roots.toDF("id", "root")), "id", "left").select("shingle", "id", "size", "place", *(["asked"] if "asked" in members.columns else [F.lit(False).alias("asked")]), F.coalesce("root", "id").alias("root"))
+        with small_batches(spark, 4000):
             found = durable(_candidates(named, direct))
-        _release(own)
         links = _links(own, durable(found.where("b is not null").select("a", "b").distinct()))
-        _release(own)
-        roots = durable(stars(links.unionByName(roots.toDF("a", "b"))))
+        found_roots = roots(links.unionByName(found_roots.toDF("a", "b")))
         members = found.where("b is null").select("shingle", F.col("a").alias("id"), "size", "place", "asked")
         if members.isEmpty():
-            break
+            return found_roots
         direct *= GROWTH
-    best = classes.join(few(roots.toDF("text_hash", "root")), "text_hash", "left").groupBy(F.coalesce("root", "text_hash").alias("root")).agg(F.min(F.struct("key", "text_hash")).alias("k"))
-    return best.select(F.col("k.key.doc_id").alias("doc_id"), F.col("k.text_hash").alias("text_hash"))
