@@ -70,11 +70,15 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return s.select(F.when(spread > 0, (F.col("n") * F.col("sab") - F.col("sa") * F.col("sb")) / F.sqrt(spread)).alias("rho"), "n")
 
 
-def coverage_gaps(df: DataFrame, day: str, share: float = 0.5) -> DataFrame:
-    """day, n, status: days of df's range that are missing, or partial (fewer rows than share of the median day's)."""
+def coverage_gaps(df: DataFrame, day: str, share: float = 0.5, most_days: int = 40_000) -> DataFrame:
+    """day, n, status: days of df's range that are missing, or partial (fewer rows than share of the median day's).
+
+    A range of more than most_days fails: a stray date, not a gap, makes it that long.
+    """
     per = df.groupBy(F.col(day).cast("date").alias("day")).agg(F.count("*").alias("n"))
     facts = per.agg(F.median("n").alias("median"), F.min("day").alias("first"), F.max("day").alias("last"))
-    days = facts.select("median", F.explode(F.sequence("first", "last")).alias("day"))
+    last = F.when(F.date_diff("last", "first") <= most_days, F.col("last")).otherwise(F.when(F.col("last").isNotNull(), F.raise_error(F.lit(f"days further apart than {most_days}")).cast("date")))
+    days = facts.select("median", F.explode(F.sequence(F.col("first"), last)).alias("day"))
     out = days.join(per, "day", "left")
     status = F.when(F.col("n").isNull(), "missing").when(F.col("n") < share * F.col("median"), "partial")
     return out.select("day", F.coalesce("n", F.lit(0)).alias("n"), status.alias("status")).where("status is not null")

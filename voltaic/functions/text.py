@@ -12,6 +12,7 @@ STATION_ENDINGS = ("CTS", "MTS", "JCT", "CSS", "SS", "TS", "GS", "DS", "SW")
 LEAST_BASE = 5
 #: Unit names of generators, voltage classes and plant endings of station names.
 GENERATOR = r"^(?:(?:ST|CT|GT|S|C)?G\d+[A-Z]*|G\d+_[A-Z0-9]+)$"
+RESPONSE, BATTERY, STORAGE, STORAGE_STATION = "_DRA", "BATT", "STRG", "STRGE"
 VOLTAGE, PLANT = "-(LT|115|230|500)$", r"(GS|BESS\d*|STRGE)$"
 
 
@@ -52,8 +53,8 @@ def node_type(node: Column) -> Column:
     return (
         F.when(F.endswith(name, F.lit(":LMP")), "bus")
         .when(~F.contains(name, F.lit(".")), "load")
-        .when(F.contains(unit, F.lit("_DRA")), "dra")
-        .when(F.contains(unit, F.lit("BATT")) | F.contains(unit, F.lit("STRG")) | F.contains(station, F.lit("STRGE")), "battery")
+        .when(F.contains(unit, F.lit(RESPONSE)), "dra")
+        .when(F.contains(unit, F.lit(BATTERY)) | F.contains(unit, F.lit(STORAGE)) | F.contains(station, F.lit(STORAGE_STATION)), "battery")
         .when(F.rlike(unit, F.lit(GENERATOR)), "generator")
         .when(F.startswith(unit, F.lit("AG")) | F.startswith(unit, F.lit("APG")), "aggregate")
         .otherwise("load")

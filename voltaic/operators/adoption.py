@@ -23,11 +23,18 @@ def latest_year(table: DataFrame, year: str = "Year") -> DataFrame:
     return own.join(own.agg(F.max("year_").alias("year_")), "year_", "left_semi").drop("year_")
 
 
-def sums(table: DataFrame, columns: dict[str, str], *keys: str, where=None) -> DataFrame:
-    """company (and keys) with the sums of text columns, blank as 0, for the latest year."""
-    own = latest_year(table)
-    own = own if where is None else own.where(where)
-    return own.groupBy(F.trim(COMPANY).alias("company"), *keys).agg(*[exact_sum(number(F.col(f"`{c}`").cast("string"))).alias(n) for n, c in columns.items()])
+def sums(table: DataFrame, columns: dict[str, str], *keys: str, where: str | None = None, year: str = "Year") -> DataFrame:
+    """company (and keys) with the sums of text columns, blank as 0, for the latest year of the table, over the rows that where admits.
+
+    Years are kept apart in one aggregation and chosen from its rows, so the table is read once.
+    """
+    text = F.trim(F.col(year).cast("string"))
+    chosen = F.lit(True) if where is None else F.coalesce(F.expr(where), F.lit(False))
+    own = table.where(F.rlike(text, F.lit("^[0-9]+$")))
+    totals = [exact_sum(F.when(chosen, number(F.col(f"`{c}`").cast("string")))).alias(n) for n, c in columns.items()]
+    per = own.groupBy(F.trim(COMPANY).alias("company"), *keys, text.cast("int").alias("year_")).agg(F.count_if(chosen).alias("rows_"), *totals)
+    last = per.agg(F.max("year_").alias("last_"))
+    return per.crossJoin(F.broadcast(last)).where("year_ = last_ and rows_ > 0").drop("year_", "rows_", "last_")  # last is one row
 
 
 def names_of(features: DataFrame, recon: DataFrame, tables: DataFrame) -> DataFrame:
