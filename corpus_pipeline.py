@@ -22,7 +22,11 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language, learned from all labelled ones, that holds LEAST_SHARE of their letters; letterless ones go."""
+    """Documents with a language, learned from all labelled ones, that holds LEAST_SHARE of their letters; letterless ones go.
+
+    So null and empty texts go; rows with null lang are not learned from; repeated rows and null doc_ids are judged as
+    others are, long texts whole; columns whose names clash with the operator's are set aside and put back.
+    """
     model = language_id.train(docs.select("text", "lang"))
     names = {c: f"keep_{i}" for i, c in enumerate(docs.columns) if c.lower() in ("lang_pred", "score", "spans")}
     found = language_id.detect(docs.withColumnsRenamed(names), model)
@@ -55,7 +59,11 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    A null source is a source, null and empty texts have no words and are not taken, repeated rows share their number
+    evenly, an empty table gives an empty result; no name of docs can clash with the operator's.
+    """
     keyed = docs.select("doc_id", "source", "text", near_copies.text_hash().alias("hash"))
     taken = cube_mixing.mix(cube_mixing.sized(keyed).select("doc_id", "source", "size", "hash"), carry=("hash",))
     # Rows of one doc_id, source and text share their number evenly.
@@ -68,7 +76,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids, n_tokens, and digests of the ids and of what they decode to."""
+    """doc_id, source, ids, n_tokens, and digests of the ids and of what they decode to.
+
+    Null and empty texts have no ids; null doc_ids and repeated rows stay, texts are encoded whole, further columns go.
+    """
     return bpe.encode(docs.select("doc_id", "source", "text")).drop("text")
 
 

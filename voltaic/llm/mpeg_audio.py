@@ -321,7 +321,11 @@ def describe(df: DataFrame, column: str = "media") -> DataFrame:
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """Per document its text as an MPEG stream, read back: the contract's digests and a feature string."""
+    """Per document its text as an MPEG stream, read back: the contract's digests and a feature string.
+
+    Null and empty texts are stored as 64 zero bytes; texts of any length whole; repeated rows and null doc_ids stay; an
+    empty table gives an empty result; further columns are not read.
+    """
     ddl = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

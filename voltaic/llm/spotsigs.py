@@ -205,7 +205,7 @@ def with_next(docs: DataFrame, of) -> DataFrame:
 
     Rows are dealt by ranges of doc_id; the first row of each range goes also to the range before it, so no range needs
     another. The ranges' bounds and first rows are as many as there are partitions. Equal doc_ids follow each other by
-    text; null doc_ids come last.
+    text; null doc_ids come last, null texts count as empty, texts are taken whole, an empty table gives an empty result.
     """
     n = parallelism(docs.sparkSession)
     ids = durable(docs.select("doc_id"))
