@@ -54,6 +54,24 @@ def test_rates_csv(spark, tmp_path):
         readers.adjustment_rates(spark, str(tmp_path)).collect()
 
 
+def test_files_are_read_in_portions(spark, tmp_path):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    rates = put(tmp_path / "r.csv", "Date,Hour,Status,LFDC Rate ($/MWh)\r\n" + "".join(f"2026-07-20,{i % 24 + 1},s{i},{i}\r\n{chr(10) if i % 9 == 0 else ''}" for i in range(500)))
+    prices = put(tmp_path / "p.csv", "AT 2026/07/14 FOR 2026/07/15\nDelivery Hour,Pricing Location,LMP,Energy Loss Price,Energy Congestion Price\n" + "".join(f"{i % 24 + 1},N{i},{i},,1\n" for i in range(500)))
+    try:
+        for size in ("128m", "900b", "40b"):  # at the last, heads are in several portions
+            spark.conf.set(name, size)
+            got = readers.adjustment_rates(spark, rates).withColumn("task", F.spark_partition_id()).collect()
+            assert sorted((r.row, r.rate, r.status) for r in got) == [(i + (i + 8) // 9, float(i), f"s{i}") for i in range(500)]
+            nodal = readers.nodal_prices(spark, prices).withColumn("task", F.spark_partition_id()).collect()
+            assert sorted((r.lmp, r.node_id, r.loss, r.congestion) for r in nodal) == [(float(i), f"N{i}", None, 1.0) for i in range(500)]
+            if size == "900b":
+                assert len({r.task for r in got}) > 5 and len({r.task for r in nodal}) > 5
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_nodal_csv(spark, tmp_path):
     path = put(tmp_path / "n.csv", "CREATED AT 2026/07/14 13:00:00 FOR 2026/07/15\nDelivery Hour,Pricing Location,LMP,Energy Loss Price,Energy Congestion Price\n1,A:LMP,10,1,\n24,A:LMP,,2,3\n")
     got = readers.nodal_prices(spark, path).select("node_id", F.col("date").cast("string"), F.col("timestamp_utc").cast("string"), "lmp", "loss", "congestion")

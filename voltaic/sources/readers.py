@@ -12,7 +12,7 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import hour_ending_utc
@@ -50,22 +50,40 @@ def fuel_mix(spark: SparkSession, path: str, fuels: list[str] | None = None) ->
     return rows.groupBy("timestamp_utc").pivot("fuel", fuels).agg(F.last("mw"))
 
 
+def _numbered(spark: SparkSession, path: str, n_heads: int) -> tuple[DataFrame, DataFrame]:
+    """The lines of text files: lines(file, block, id, line), and blocks(file, block, skip, heads) to join to them.
+
+    Files are read in portions, so no task holds a whole one. id - skip is a line's number in its file, from 0; heads are
+    the file's first n_heads lines. Blocks are a row for each portion of a file, as many as the driver lists anyway.
+    """
+    read = spark.read.option("lineSep", "\n").text(path)
+    lines = read.select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line"))
+    # A portion's ids follow each other, so its first lines differ in the remainder by their number.
+    heads = [F.min(F.when(F.col("id") % n_heads == i, F.struct("block", "id", "line"))) for i in range(n_heads)]
+    found = lines.groupBy("file", "block").agg(F.count("*").alias("many"), F.min("id").alias("first"), F.array_compact(F.array(*heads)).alias("heads"))
+    before = F.sum("many").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    first = found.groupBy("file").agg(F.slice(F.array_sort(F.flatten(F.collect_list("heads"))), 1, n_heads)["line"].alias("heads"))
+    blocks = found.select("file", "block", (F.col("first") - F.coalesce(before, F.lit(0))).alias("skip")).join(first, "file")
+    return lines, blocks
+
+
 def _rate_rows(spark: SparkSession, path: str) -> DataFrame:
     """Each data row of hourly rate CSVs: file, row, day, he, rate, text of the rate, status. A file without a rate column fails.
 
-    Files are read as text so that each one's own header names its columns; commas and quotes within quotes are kept.
+    Files are read as lines so that each one's own header names its columns; commas and quotes within quotes are kept.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r?\n").alias("lines"))
+    lines, blocks = _numbered(spark, path, 1)
 
     def cells(line: Column) -> Column:
         # A field is quoted, with quotes doubled within, or has no comma; each ends at a comma or the line's end.
         fields = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'\s*("(?:[^"]|"")*"[^,]*|[^,]*),'), F.lit(1))
         return F.transform(fields, lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"(?=[^"]*$)', ""), '""', '"')))
 
-    head = cells(F.get("lines", F.lit(0)))
+    head = cells(F.regexp_replace(F.get("heads", F.lit(0)), "^\ufeff", ""))
     rate_at = F.array_position(F.transform(head, lambda c: F.contains(c, F.lit("Rate ($/MWh)"))), True)
     checked = F.when(rate_at > 0, rate_at).otherwise(F.raise_error(F.concat(F.lit("no rate column: "), F.col("file"))).cast("long"))
-    rows = lines.select("file", head.alias("head"), checked.alias("rate_at"), F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("row", "line")).where("trim(line) <> ''")
+    blocks = blocks.select("file", "block", "skip", head.alias("head"), checked.alias("rate_at"))
+    rows = lines.join(F.broadcast(blocks), ["file", "block"]).withColumn("row", F.col("id") - F.col("skip") - 1).where("row >= 0 and trim(line) <> ''")
     rows = rows.withColumn("cells", cells(F.col("line")))
 
     def cell(name: str):
@@ -90,11 +108,12 @@ def blank_rates(spark: SparkSession, path: str) -> DataFrame:
 
 def nodal_prices(spark: SparkSession, path: str) -> DataFrame:
     """node_id, date, timestamp_utc, lmp, loss, congestion from daily CSVs whose first line has the delivery date."""
-    files = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("lines"), F.input_file_name().alias("file"))
-    stamp = F.regexp_extract(F.get("lines", F.lit(0)), r"FOR (\d{4}/\d{2}/\d{2})", 1)
+    lines, blocks = _numbered(spark, path, 2)
+    stamp = F.regexp_extract(F.get("heads", F.lit(0)), r"FOR (\d{4}/\d{2}/\d{2})", 1)
     day = F.when(stamp != "", F.to_date(stamp, "yyyy/MM/dd")).otherwise(F.raise_error(F.concat(F.lit("no delivery date: "), F.col("file"))).cast("date"))
-    head = F.transform(F.split(F.get("lines", F.lit(1)), ","), lambda c: F.trim(c))
-    rows = files.select(day.alias("date"), head.alias("head"), F.explode(F.slice("lines", F.lit(3), F.size("lines"))).alias("line")).where("trim(line) <> ''")
+    head = F.transform(F.split(F.get("heads", F.lit(1)), ","), lambda c: F.trim(c))
+    blocks = blocks.select("file", "block", "skip", day.alias("date"), head.alias("head"))
+    rows = lines.join(F.broadcast(blocks), ["file", "block"]).where("id - skip >= 2 and trim(line) <> ''")
     rows = rows.withColumn("cells", F.transform(F.split("line", ",", -1), lambda c: F.trim(c)))
 
     def cell(name: str):
