@@ -42,6 +42,12 @@ def _documents(df: DataFrame, folder: str, key: str, text: str) -> str:
     return f"{folder}/*/*.txt"
 
 
+def _lines(df: DataFrame, folder: str, key: str, order: list[str], line: str) -> str:
+    """A file for each key of the rows' lines in order, in a folder by key; sorted outside memory, so a file may be of any size."""
+    df.repartition(key).sortWithinPartitions(key, *order, line).select(key, F.col(line).alias("value")).write.partitionBy(key).text(folder)
+    return f"{folder}/*/*.txt"
+
+
 def _when(instant: str) -> Column:
     return F.date_format(instant, "yyyy-MM-dd HH:mm:ss").alias("utc")
 
@@ -95,9 +101,9 @@ def nodal_csv_prices(spark, d):
     """A month's order lines as a day's file with a preamble."""
     lines = lineitem(spark, d).select(F.date_trunc("month", "l_shipdate").cast("date").alias("day"), "l_suppkey", "l_linenumber", "l_orderkey", "l_quantity", F.nullif("l_tax", F.lit(0.0)).alias("loss"), F.nullif("l_discount", F.lit(0.0)).alias("congestion"))
     text = F.concat_ws(",", (F.col("l_linenumber") % 24 + 1).cast("string"), F.concat(F.lit("N"), F.col("l_suppkey").cast("string")), F.col("l_quantity").cast("string"), F.coalesce(F.col("loss").cast("string"), F.lit("")), F.coalesce(F.col("congestion").cast("string"), F.lit("")))
-    body = lines.groupBy("day").agg(_joined("l_orderkey", text, "\n").alias("rows"))
-    head = F.concat(F.lit("CREATED AT 2026/01/01 12:00:00 FOR "), F.date_format("day", "yyyy/MM/dd"), F.lit("\nDelivery Hour,Pricing Location,LMP,Energy Loss Price,Energy Congestion Price\n"))
-    read = readers.nodal_prices(spark, _documents(body.select("day", F.concat(head, "rows").alias("doc")), _scratch(spark), "day", "doc"))
+    head = F.array(F.concat(F.lit("CREATED AT 2026/01/01 12:00:00 FOR "), F.date_format("day", "yyyy/MM/dd")), F.lit("Delivery Hour,Pricing Location,LMP,Energy Loss Price,Energy Congestion Price"))
+    heads = lines.select("day").distinct().select("day", F.posexplode(head).alias("nth", "line"), F.lit(0).cast("long").alias("key"))
+    read = readers.nodal_prices(spark, _lines(heads.unionByName(lines.select("day", F.lit(2).alias("nth"), text.alias("line"), F.col("l_orderkey").cast("long").alias("key"))), _scratch(spark), "day", ["nth", "key"], "line"))
     return read.groupBy("node_id", F.date_format("date", "yyyy-MM-dd").alias("date"), _when("timestamp_utc")).agg(F.count("*").alias("n"), F.sum("lmp").cast("long").alias("lmp"), F.count("loss").alias("n_loss"), F.count("congestion").alias("n_congestion"))
 
 
