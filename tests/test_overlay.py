@@ -115,3 +115,31 @@ def test_a_key_of_many_parts_is_merged_in_rounds(spark, monkeypatch):
     parts = spark.range(900).select((F.col("id") >= 0).cast("string").alias("k"), F.array(F.array(ring)).alias("geometry"))
     got = dissolving.dissolve(parts, "k", points=60).select(geo.area(F.col("geometry")), F.size("geometry"), F.size(F.flatten("geometry"))).collect()
     assert [tuple(r) for r in got] == [(302.0**2, 1, 1)]
+
+
+def test_rows_and_columns_of_parts_are_not_looked_at_pair_by_pair(monkeypatch):
+    looked = []
+    whole = planar._side
+    monkeypatch.setattr(planar, "_side", lambda s, x, y: looked.append(len(s)) or whole(s, x, y))
+    n, gap = 2000, np.arange(2000) * 20
+    for wide, high in ((20, 5000), (5000, 20), (10, 5000), (5000, 10)):  # side by side, and with gaps
+        parts = [[np.array(box(*((x, 0) if high == 5000 else (0, x)), wide, high), float)] for x in gap]
+        looked.clear()
+        got, _ = overlay.merged(parts, 1.0)
+        assert len(got) == (1 if 20 in (wide, high) else n) and sum(looked) < 200 * n
+
+
+def test_shapes_merge_side_by_side_as_alone():
+    rng = np.random.default_rng(5)
+    shapes = [[[rng.uniform(-r, r, (int(rng.integers(3, 8)), 2)) for _ in range(2)] for _ in range(int(rng.integers(0, 3)))] for r in rng.choice([1.0, 30.0, 2e5], 150)]
+    alone = [overlay.plain(*overlay.merged(s)) for s in shapes]
+    for points in (1, 40, 50_000):
+        assert [overlay.plain(*m) for m in overlay.merged_each(shapes, points=points)] == alone
+
+
+def test_repairs_of_a_batch_node_once(monkeypatch):
+    calls = []
+    whole = planar.boundary
+    monkeypatch.setattr(planar, "boundary", lambda s, tag: calls.append(1) or whole(s, tag))
+    overlay.merged_each([[[np.array(BOW_TIE, float)]]] * 500)
+    assert len(calls) == 1

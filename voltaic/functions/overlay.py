@@ -17,6 +17,8 @@ POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 ARROW_SHAPE = pa.list_(pa.list_(pa.list_(POINT)))
 #: The grid's step in units of the coordinates, a power of two so that scaling is exact: 4 mm if they are metres.
 GRID = 2.0**-8
+#: Points of geometries that are noded together.
+POINTS = 50_000
 
 
 def rings(shapes: pa.Array) -> list[list[list[np.ndarray]] | None]:
@@ -58,18 +60,53 @@ class Grid:
         return [{"x": x, "y": y} for x, y in xy.tolist()]
 
 
+def merged_each(shapes: list[list[list[np.ndarray]]], step: float = GRID, points: int = POINTS) -> list[tuple[list, Grid | None]]:
+    """merged() of each shape's parts: shapes lie side by side on the grid, so that all of about so many points are noded and traced together."""
+    out: list[tuple[list, Grid | None]] = [([], None) for _ in shapes]
+    held: list[tuple[int, Grid, int, int]] = []  # shape, its grid, how far it is moved, where it begins
+    own: list[np.ndarray] = []
+    tags: list[tuple[list[int], list[int]]] = []  # the part of each ring, and its size
+    size = n_tags = 0
+    at = -planar.REACH
+
+    def settle() -> None:
+        pieces = planar.boundary(np.concatenate(own), np.repeat(np.concatenate([t for t, _ in tags]), np.concatenate([n for _, n in tags])))
+        of = np.searchsorted([h[3] for h in held], np.minimum(pieces[:, 0], pieces[:, 2]), "right") - 1
+        order = np.argsort(of, kind="stable")
+        of, pieces = of[order], pieces[order]
+        pieces[:, [0, 2]] -= np.array([h[2] for h in held])[of][:, None]
+        cut = np.searchsorted(of, np.arange(len(held) + 1)).tolist()
+        for (i, grid, _, _), a, b in zip(held, cut, cut[1:]):
+            out[i] = planar.polygons(pieces[a:b]), grid
+
+    for i, parts in enumerate(shapes):
+        good = [(k, r) for k, part in enumerate(parts) for r in part if len(r) > 2 and np.isfinite(r).all()]
+        if not good:
+            continue
+        xy, sizes = np.concatenate([r for _, r in good]), [len(r) for _, r in good]
+        grid = Grid(xy, step)
+        s = planar.segments(grid.to(xy), sizes)
+        low, high = int(s[:, 0].min()), int(s[:, 0].max())
+        if held and (size + len(s) > points or at + high - low + 2 > planar.REACH):
+            settle()
+            held, own, tags, size, n_tags, at = [], [], [], 0, 0, -planar.REACH
+        moved = at - low + (at - low) % 2  # even, so that halves are rounded alike wherever a shape lies
+        held.append((i, grid, moved, low + moved))
+        s[:, [0, 2]] += moved
+        own.append(s)
+        tags.append(([n_tags + k for k, _ in good], sizes))
+        size, n_tags, at = size + len(s), n_tags + len(parts), high + moved + 2
+    if held:
+        settle()
+    return out
+
+
 def merged(parts: list[list[np.ndarray]], step: float = GRID) -> tuple[list, Grid | None]:
     """Sound polygons, on the grid, of the union of parts; a part is what an odd number of its rings encloses.
 
     Rings with points that aren't finite or of fewer than three points enclose nothing.
     """
-    good = [(k, r) for k, part in enumerate(parts) for r in part if len(r) > 2 and np.isfinite(r).all()]
-    if not good:
-        return [], None
-    grid = Grid(np.concatenate([r for _, r in good]), step)
-    own = [planar.segments(grid.to(r)) for _, r in good]
-    tag = np.repeat([k for k, _ in good], [len(s) for s in own])
-    return planar.polygons(planar.boundary(np.concatenate(own), tag)), grid
+    return merged_each([parts], step)[0]
 
 
 def _outline(polygons: list[list[list[tuple[int, int]]]]) -> set:
@@ -115,12 +152,12 @@ def repaired(polygons: Column, grid: float = GRID) -> Column:
     @F.arrow_udf(f"struct<geometry:{SHAPE},repaired:boolean>")
     def run(shapes: pa.Array) -> pa.Array:
         found, changed = [], []
-        for shape, given in zip(rings(shapes), shapes):
+        own = rings(shapes)
+        for shape, given, (new, at) in zip(own, shapes, merged_each([[[r for p in shape or [] for r in p]] for shape in own], grid)):
             if shape is None:
                 found.append(None)
                 changed.append(None)
                 continue
-            new, at = merged([[r for p in shape for r in p]], grid)
             sound = not shape or is_sound(shape, new, at)
             found.append(given.as_py() if sound else plain(new, at))
             changed.append(not sound)
@@ -134,6 +171,7 @@ def united(polygons: Column, grid: float = GRID) -> Column:
 
     @F.arrow_udf(SHAPE)
     def run(shapes: pa.Array) -> pa.Array:
-        return pa.array([None if shape is None else plain(*merged(shape, grid)) for shape in rings(shapes)], ARROW_SHAPE)
+        own = rings(shapes)
+        return pa.array([None if shape is None else plain(*new) for shape, new in zip(own, merged_each([shape or [] for shape in own], grid))], ARROW_SHAPE)
 
     return run(polygons)

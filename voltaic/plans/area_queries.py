@@ -322,7 +322,9 @@ def _broken(k: Column) -> Column:
 
 
 def repaired_polygons(spark, d):
-    rows = part(spark, d).select("p_partkey", overlay.repaired(_broken(F.col("p_partkey"))).alias("s"))
+    # Keys are few bytes and repairs much work: a small file's one or two tasks are dealt to all cores.
+    keys = part(spark, d).select("p_partkey").repartition(4 * spark.sparkContext.defaultParallelism)
+    rows = keys.select("p_partkey", overlay.repaired(_broken(F.col("p_partkey"))).alias("s"))
     return rows.select("p_partkey", "s.repaired", geo.area(F.col("s.geometry")).alias("area"), F.size("s.geometry").alias("n_polygons"), F.size(F.flatten("s.geometry")).alias("n_rings"))
 
 
