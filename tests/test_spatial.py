@@ -155,3 +155,27 @@ def test_a_long_chain_and_decisions_out_of_time(spark):
     assert {(r.final_, r.merged_, r.from_) for r in ends} == {(f"L{n}", True, f"L{n - 1}")} and len(ends) == n
     late = [("A", "merge_into", "B", "final", 2), ("B", "relicensed_as", "C", "final", 1), ("D", "merge_into", "E", "final", 3)]
     assert [r.licence_no for r in decisions.untimely(spark.createDataFrame(late, schema), "at").collect()] == ["A"]
+
+
+def test_nearest_points_of_crowded_places(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b = rng.uniform((-84, 43), (-82, 45), (300, 2)), rng.normal((-83, 44), 0.4, (300, 2)).round(2)
+    monkeypatch.setattr(spatial, "CROWD", 4)  # several radii
+    left = spark.createDataFrame([(i, *map(float, a[i % 300])) for i in range(600)], "c long, lon double, lat double")
+    right = spark.createDataFrame([(i, *map(float, b[i % 300])) for i in range(900)], "s long, lon double, lat double")
+    got = {r.c: (r.s, r.km) for r in spatial.nearest_point(left, right, "c", "s", 30.0).collect()}
+    (lon, lat), (lon2, lat2) = np.radians(a).T, np.radians(b).T
+    h = np.sin((lat[:, None] - lat2) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat2) * np.sin((lon[:, None] - lon2) / 2) ** 2
+    km = 2 * geo.EARTH_KM * np.arcsin(np.sqrt(h))
+    assert set(got) == {i for i in range(600) if km[i % 300].min() <= 30}
+    for i, (s, d) in got.items():
+        near = km[i % 300]
+        assert abs(d - near.min()) < 1e-6 and s < 300 and abs(near[s] - near.min()) < 1e-6
+
+
+def test_nearest_points_of_one_place_are_one(spark):
+    def at_one(key):  # 10**10 pairs
+        return spark.range(100_000).select(F.col("id").alias(key), F.lit(-80.0).alias("lon"), F.lit(44.0).alias("lat"))
+
+    got = spatial.nearest_point(at_one("c"), at_one("s"), "c", "s", 60.0)
+    assert got.agg(F.count("*"), F.max("s"), F.max("km")).first() == (100_000, 0, 0.0)

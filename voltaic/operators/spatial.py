@@ -16,6 +16,10 @@ from ..functions.text import name_stem
 from ..session import checkpointed
 
 
+#: Places of a cell beyond which nearest points are first looked for in smaller ones.
+CROWD = 64
+
+
 def _cells(x0, y0, x1, y1, cell: float):
     """All grid cells of a box."""
     xs = F.sequence(F.floor(x0 / cell), F.floor(x1 / cell))
@@ -64,7 +68,28 @@ def nearest_point(left: DataFrame, right: DataFrame, left_key: str, right_key: s
 
     Cells are radius-high bands of latitude and, within them, columns as wide as the radius at the band's edge furthest
     from the equator; each left point looks into its cell and those around it. Columns meet at 180 degrees.
+
+    Points of one place are one: on the right the first by key, on the left all get what their place does. Where places
+    are many to a cell, smaller radii go first, and only places that find nothing there look further.
     """
+    own = left.where("lon is not null and lat is not null").select(F.col(left_key), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"))
+    there = checkpointed(right.where("lon is not null and lat is not null").groupBy("lon", "lat").agg(F.min(right_key).alias(right_key)))
+    band = F.floor(F.col("lat") / (radius_km / 111.0))
+    cells = there.groupBy(band, F.floor(F.col("lon") * F.cos(F.radians((band + 0.5) * (radius_km / 111.0))) / (radius_km / 111.0))).count()
+    crowd = cells.agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] or 0  # places of a place's cell
+    todo, found = own.select("lon1", "lat1").distinct(), []
+    for i in range(max(0, math.ceil(math.log(max(crowd, 1) / CROWD, 16))), 0, -1):  # a quarter of the radius has a sixteenth of the places
+        found.append(checkpointed(_within_radius(todo, there, right_key, radius_km / 4**i)))
+        todo = checkpointed(todo.join(found[-1], ["lon1", "lat1"], "left_anti"))
+    nearest_ = _within_radius(todo, there, right_key, radius_km)
+    for one in found:
+        nearest_ = nearest_.unionByName(one)
+    best = own.join(nearest_, ["lon1", "lat1"]).groupBy(left_key).agg(F.min("best_").alias("best_"))
+    return best.select(left_key, f"best_.{right_key}", "best_.km")
+
+
+def _within_radius(left: DataFrame, right: DataFrame, right_key: str, radius_km: float) -> DataFrame:
+    """lon1, lat1, best_(km, right_key): the nearest of right(lon, lat) within the radius of each of left(lon1, lat1), through cells (see nearest_point)."""
     high = radius_km / (geo.EARTH_KM * 3.141592653589793 / 180) * 1.000001
     band = F.floor(F.col("lat") / high)
 
@@ -78,13 +103,12 @@ def nearest_point(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     def column(lon, b):
         return F.least(columns(b) - 1, F.floor((lon + 180.0) / 360.0 * columns(b)))
 
-    own = left.where("lon is not null and lat is not null").select(F.col(left_key), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), band.alias("b0"))
+    own = left.select("lon1", "lat1", F.floor(F.col("lat1") / high).alias("b0"))
     own = own.withColumn("b_", F.explode(F.array(F.col("b0") - 1, F.col("b0"), F.col("b0") + 1)))
     own = own.withColumn("c_", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(column(F.col("lon1"), F.col("b_")) + d, columns(F.col("b_")))))))
-    other = right.where("lon is not null and lat is not null").select(F.col(right_key), "lon", "lat", band.alias("b_")).withColumn("c_", column(F.col("lon"), F.col("b_")))
+    other = right.select(F.col(right_key), "lon", "lat", band.alias("b_")).withColumn("c_", column(F.col("lon"), F.col("b_")))
     near = own.join(other, ["b_", "c_"]).withColumn("km", geo.haversine_km(F.col("lon1"), F.col("lat1"), F.col("lon"), F.col("lat"))).where(F.col("km") <= radius_km)
-    best = near.groupBy(left_key).agg(F.min(F.struct("km", right_key)).alias("best_"))
-    return best.select(left_key, f"best_.{right_key}", "best_.km")
+    return near.groupBy("lon1", "lat1").agg(F.min(F.struct("km", right_key)).alias("best_"))
 
 
 def _cube(names: tuple[str, str, str], side: Column) -> Column:
