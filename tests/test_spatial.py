@@ -179,3 +179,16 @@ def test_nearest_points_of_one_place_are_one(spark):
 
     got = spatial.nearest_point(at_one("c"), at_one("s"), "c", "s", 60.0)
     assert got.agg(F.count("*"), F.max("s"), F.max("km")).first() == (100_000, 0, 0.0)
+
+
+def test_nearest_measures_few_points(spark):
+    rng = np.random.default_rng(4)
+    xy = rng.uniform(-60, 60, (400, 2))
+    rings = {"wide": [(0, 0), (30, 0), (30, 30), (0, 30), (0, 0)], "tiny": [(-40, -40), (-39.9, -40), (-39.9, -39.9), (-40, -40)], "far": [(500, 0), (501, 0), (501, 1), (500, 0)], "hook": [(-50, 10), (-20, 10), (-20, 50), (-21, 50), (-21, 11), (-50, 11), (-50, 10)]}
+    areas = spark.createDataFrame([(k, [[[{"x": float(p), "y": float(q)} for p, q in r]]]) for k, r in rings.items()] + [("none", []), ("null", None)], "k string, geometry array<array<array<struct<x:double,y:double>>>>")
+    points = spark.createDataFrame([(f"n{i:04d}", *map(float, xy[i % 400])) for i in range(800)] + [("x", None, 1.0)], "name string, x double, y double")
+    every = points.where("x is not null").crossJoin(areas).withColumn("distance", geo.distance(F.col("geometry"), F.col("x"), F.col("y"))).where("distance <= 25")
+    expected = every.groupBy("k").agg(F.min(F.struct("distance", "name")).alias("b")).select("k", "b.name", "b.distance")
+    out = spatial.nearest(areas, points, "k", "name", 25.0)
+    assert sorted(out.collect()) == sorted(expected.collect())
+    assert {r.k for r in out.collect()} == {"wide", "tiny", "hook"}

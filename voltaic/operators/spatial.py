@@ -53,12 +53,19 @@ def inside(points: DataFrame, polygons: DataFrame, cell: float, geometry: str =
 def nearest(polygons: DataFrame, points: DataFrame, key: str, name: str, radius: float, geometry: str = "geometry", x: str = "x", y: str = "y") -> DataFrame:
     """key, name, distance: of the points within radius of each polygon the nearest; of equals the first by name.
 
-    Polygons go to all cells that their box and the radius reach, so a point needs its own cell only.
+    Polygons go to all cells that their box and the radius reach, so a point needs its own cell only. The nearest is no
+    further than what is nearest to one of a polygon's corners; points whose way to its box is longer aren't measured.
     """
-    box = polygons.select(key, geometry).withColumn("box_", geo.bounds(F.col(geometry)))
-    box = box.withColumn("cell_", F.explode(_cells(F.col("box_.x0") - radius, F.col("box_.y0") - radius, F.col("box_.x1") + radius, F.col("box_.y1") + radius, radius))).drop("box_")
-    own = points.select(name, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("cell_", F.struct(F.floor(F.col(x) / radius).alias("cx"), F.floor(F.col(y) / radius).alias("cy")))
-    far = own.join(box, "cell_").withColumn("distance", geo.distance(F.col(geometry), F.col(x), F.col(y))).where(F.col("distance") <= radius)
+    corner, finite = F.get(F.get(geometry, F.lit(0)), F.lit(0)), ~F.isnan("box_.x1") & ~F.isnan("box_.y1")
+    box = polygons.select(key, geometry).withColumn("box_", geo.bounds(F.col(geometry))).withColumn("corner_", F.when(finite & (F.size(corner) > 1), F.get(corner, F.lit(0))))
+    box = box.withColumn("cell_", F.explode(_cells(F.col("box_.x0") - radius, F.col("box_.y0") - radius, F.col("box_.x1") + radius, F.col("box_.y1") + radius, radius)))
+    places = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.min(name).alias(name))
+    own = places.withColumn("cell_", F.struct(F.floor(F.col(x) / radius).alias("cx"), F.floor(F.col(y) / radius).alias("cy")))
+    px, py = F.col(x), F.col(y)
+    reach = own.join(box.select(key, "cell_", "corner_"), "cell_").groupBy(key).agg(F.min(F.hypot(px - F.col("corner_.x"), py - F.col("corner_.y"))).alias("reach_"))
+    box = box.drop("corner_").join(reach, key).withColumn("reach_", F.least(F.lit(radius), F.col("reach_")) * (1 + 1e-9) + 1e-6)
+    aside = F.hypot(F.greatest(F.col("box_.x0") - px, px - F.col("box_.x1"), F.lit(0.0)), F.greatest(F.col("box_.y0") - py, py - F.col("box_.y1"), F.lit(0.0)))
+    far = own.join(box, "cell_").where(aside <= F.col("reach_")).withColumn("distance", geo.distance(F.col(geometry), F.col(x), F.col(y))).where(F.col("distance") <= radius)
     best = far.groupBy(key).agg(F.min(F.struct("distance", name)).alias("best_"))
     return best.select(key, f"best_.{name}", "best_.distance")
 
