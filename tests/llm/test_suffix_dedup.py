@@ -86,3 +86,44 @@ def test_suffix_order():
 def test_covers():
     for period, cover in ((s.COVER, s.COVER_SET), (s.SMALL, s.SMALL_SET)):
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
+
+
+@pytest.mark.parametrize("bits", [7, 40, 64])
+def test_numbers_are_sorted_with_their_places(bits):
+    """Packed into 64 bits where both fit (7, 40), by an indirect sort where they don't (64)."""
+    key = np.random.default_rng(2).integers(0, 2**bits, 5000, dtype=np.uint64, endpoint=False)[np.random.default_rng(3).integers(0, 3000, 5000)]
+    order, new = s._sorted(key, bits)
+    assert sorted(order.tolist()) == list(range(5000)) and (key[order] == np.sort(key)).all()
+    assert (s._ranked(key, bits) == np.unique(key, return_inverse=True)[1]).all() and new.sum() == len(np.unique(key))
+    assert len(s._sorted(key[:0], bits)[0]) == len(s._sorted(key[:0], bits)[1]) == 0
+
+
+def test_candidates_are_windows_around_samples():
+    """Documents shorter than a window, of a window and of more, empty ones; samples of some of them only."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    texts = ["".join(map(chr, rng.integers(97, 123, n))) for n in (400, 0, 49, 50, 51, 0, 130, 20, 300)]
+    sink = pa.BufferOutputStream()
+    table = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    chunk = s.Chunk(sink.getvalue().to_pybytes(), "doc_id", "text")
+    at, _, doc = chunk.samples()
+    ends = chunk.end.tolist()
+    want = [p for p in range(len(chunk.raw)) if p % s.COVER in s.COVER_SET and p + s.SAMPLE <= next(e for e in ends if e > p)]
+    assert at.tolist() == want and doc.tolist() == [next(i for i, e in enumerate(ends) if e > p) for p in want]
+    for some in (at, at[::7], at[3:4], at[:0]):
+        starts = [p for p in range(len(chunk.raw)) if p + s.WINDOW <= next(e for e in ends if e > p) and any(p <= a < p + s.COVER for a in some)]
+        assert chunk.candidates(some).tolist() == starts
+
+
+def test_texts_with_zero_bytes(spark):
+    """Zero bytes within texts are text; what follows them decides the order."""
+    rng = random.Random(8)
+    pool = ["\0" * 20 + "".join(rng.choice("ab") for _ in range(40)) for _ in range(12)]
+    check(spark, [(i, "".join(rng.choice(pool) for _ in range(3))) for i in range(60)])
+    texts = [rng.choice(pool).encode() for _ in range(60)]
+    raw = np.frombuffer(b"".join(t + bytes(56) for t in texts), np.uint8)
+    got = s.sort_suffixes(raw, np.arange(60) * 116)
+    assert [raw[p : p + 50].tobytes() for p in got] == sorted(t[:50] for t in texts)

@@ -6,7 +6,7 @@ A window is WINDOW bytes of a document. Four steps find for every window the sma
    shift below COVER at which both have a sample, so windows without a sample that recurs elsewhere are unique. Samples
    are hashed; buckets of hashes answer one bit per sample.
 2. The other windows go, as runs of text, to suffix buckets, chosen by the least hash of a window's substrings.
-3. One bucket at a time is sorted: suffixes by their first 8 bytes, ties by precomputed ranks of the bucket's own cover
+3. One bucket at a time is sorted: suffixes by their first 7 bytes, ties by precomputed ranks of the bucket's own cover
    positions (difference cover modulo 7), so long common prefixes are never compared byte by byte and memory stays that
    of a bucket. Neighbours whose common prefix reaches WINDOW are equal windows. Each is answered by a bit.
 4. Removed windows become removed bytes.
@@ -42,6 +42,8 @@ CHUNK = 3_000_000
 SAMPLES, RUNS = 3_000_000, 12_000_000
 NULL_ID = np.iinfo(np.int64).max
 U = np.uint64
+#: Low bits that sample hashes leave free, for the place of a sample in its chunk.
+FREE = 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,14 +52,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def _words(raw: np.ndarray) -> np.ndarray:
+def _words(raw: np.ndarray, kind: str = ">u8") -> np.ndarray:
     """The 8 bytes at each position as a number, first byte first; zeros follow the end."""
     padded = np.concatenate((raw, np.zeros(64, np.uint8)))
-    return np.ndarray((len(raw) + 57,), ">u8", padded, 0, (1,))
+    return np.ndarray((len(raw) + 57,), kind, padded, 0, (1,))
 
 
 def _load(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return words[at].astype(np.uint64)
+    return words[at].astype(np.uint64, copy=False)
 
 
 def _squeezed(x: np.ndarray) -> bytes:
@@ -68,6 +70,46 @@ def _unsqueezed(x: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype)
 
 
+def _index(n: int) -> type:
+    """The least type that holds places in n bytes and the zeros behind them."""
+    return np.int32 if n < 2**31 - 1024 else np.int64
+
+
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of numbers below 2 ** bits, and where in it another number begins.
+
+    Number and place are sorted as one if they fit into 64 bits, which takes a fifth of the time of an indirect sort.
+    """
+    own = len(key).bit_length()
+    if bits + own > 64:
+        order = np.argsort(key)
+        key = key[order]
+    else:
+        key = key << U(own) | np.arange(len(key), dtype=np.uint64)
+        key.sort()
+        order = (key & U((1 << own) - 1)).astype(_index(len(key)))
+        key >>= U(own)
+    return order, np.append(True, key[1:] != key[:-1])[: len(key)]
+
+
+def _ranked(key: np.ndarray, bits: int) -> np.ndarray:
+    """The number of distinct smaller ones, for each of numbers below 2 ** bits."""
+    order, new = _sorted(key, bits)
+    rank = np.empty(len(key), np.uint64)
+    rank[order] = np.cumsum(new) - 1
+    return rank
+
+
+def _start_key(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers in the order of the SMALL bytes at each place, and their bits: the rank of five bytes before two."""
+    word = _load(words, at)
+    five = _ranked(word >> U(24), 40)
+    bits = int(five.max(initial=0)).bit_length()
+    five <<= U(16)
+    five |= word >> U(8) & U(0xFFFF)
+    return five, bits + 16
+
+
 class Chunk:
     """The documents of a chunk: text end to end, where each starts, and its id."""
 
@@ -75,54 +117,57 @@ class Chunk:
         self.table = pa.ipc.open_stream(payload).read_all().combine_chunks()
         own = [b"" if x is None else x for x in self.table.column(text).cast(pa.large_binary()).to_pylist()]
         self.raw = np.frombuffer(b"".join(own), np.uint8)
-        self.words = _words(self.raw)
+        self.words = _words(self.raw, "<u8")  # for hashes only
         self.size = np.fromiter(map(len, own), np.int64, len(own))
         self.end = np.cumsum(self.size)
         self.start = self.end - self.size
         self.id = np.array([NULL_ID if x is None else x for x in self.table.column(doc_id).to_pylist()], np.int64)
 
     def doc(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.end, at, "right")
+        """The documents of ascending positions."""
+        return np.repeat(np.arange(len(self.end)), np.diff(np.searchsorted(at, self.end), prepend=0))
 
     def samples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions of the cover samples, their hashes and documents."""
         n = len(self.raw)
         places, hashes = [], []
-        cover = np.array(COVER_SET)
         for lo in range(0, n, COVER * 100_000):
-            at = (np.arange(lo, min(n, lo + COVER * 100_000), COVER)[:, None] + cover).ravel()
-            at = at[at + SAMPLE <= n]
-            at = at[at + SAMPLE <= self.end[self.doc(at)]]
-            h = _mix(_load(self.words, at)) ^ _mix(_load(self.words, at + 8) + U(0x9E3779B97F4A7C15)) * U(3) ^ _mix(_load(self.words, at + SAMPLE - 8) + U(0xC2B2AE3D27D4EB4F)) * U(5)
-            places.append(at)
-            hashes.append(_mix(h))
+            many = min(100_000, (n - lo) // COVER + 1)
+            at = (lo + np.arange(many)[:, None] * COVER + np.array(COVER_SET)).ravel()
+            h = np.empty((many, len(COVER_SET)), np.uint64)
+            for i, c in enumerate(COVER_SET):  # words a period apart are a slice, no look-up
+                x, y, z = (self.words[lo + c + step :: COVER][:many].astype(np.uint64) for step in (0, 8, SAMPLE - 8))
+                h[:, i] = _mix(_mix(x) ^ _mix(y + U(0x9E3779B97F4A7C15)) * U(3) ^ _mix(z + U(0xC2B2AE3D27D4EB4F)) * U(5)) >> U(FREE)
+            at = at[: np.searchsorted(at, n - SAMPLE, "right")]
+            keep = at + SAMPLE <= self.end[self.doc(at)]
+            places.append(at[keep])
+            hashes.append(h.ravel()[: len(at)][keep])
         if not places:
             return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
         at = np.concatenate(places)
         return at, np.concatenate(hashes), self.doc(at)
 
     def distinct_samples(self):
-        """at, which distinct hash each sample has, the distinct hashes in order, and which of them two documents have here."""
+        """at, the order of their hashes, how many samples each distinct hash has, these hashes in order, and which of them two documents have here."""
         at, h, doc = self.samples()
-        distinct, which = np.unique(h, return_inverse=True)
-        low, high = np.full(len(distinct), len(self.id)), np.full(len(distinct), -1)
-        np.minimum.at(low, which, doc)
-        np.maximum.at(high, which, doc)
-        return at, which, distinct, low != high
+        order, new = _sorted(h, 64 - FREE)
+        h, doc = h[order], doc[order]
+        first = np.flatnonzero(new)
+        shared = np.zeros(len(first), bool)
+        shared[(np.cumsum(new) - 1)[1:][(doc[1:] != doc[:-1]) & ~new[1:]]] = True
+        return at, order, np.diff(first, append=len(h)), h[first] << U(FREE), shared
 
     def candidates(self, at: np.ndarray) -> np.ndarray:
-        """Starts of the windows that hold one of the samples at these positions at a shift below COVER."""
-        n = len(self.raw)
-        mark = np.zeros(n + 1, np.int32)
+        """Starts of the windows that hold one of the samples at these ascending positions at a shift below COVER."""
         doc = self.doc(at)
-        np.add.at(mark, np.maximum(at - COVER + 1, self.start[doc]), 1)
-        np.add.at(mark, at + 1, -1)
-        inside = np.cumsum(mark[:-1]) > 0
         # No window starts in the last WINDOW - 1 bytes of a document.
-        tail = np.zeros(n + 1, np.int32)
-        np.add.at(tail, np.maximum(self.end - WINDOW + 1, self.start), 1)
-        np.add.at(tail, self.end, -1)
-        return np.flatnonzero(inside & (np.cumsum(tail[:-1]) == 0))
+        low, high = np.maximum(at - COVER + 1, self.start[doc]), np.minimum(at, self.end[doc] - WINDOW)
+        some = low <= high
+        low, high = low[some], high[some]
+        new = np.append(True, low[1:] > high[:-1])[: len(low)]
+        low, high = low[new], high[np.append(new[1:], True)[: len(new)]]
+        run, place = segments(high - low + 1)
+        return low[run] + place
 
 
 def _runs(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,7 +270,7 @@ def _samples_sent(buckets: int, doc_id: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload").to_pylist()):
-                _, _, distinct, _ = Chunk(payload, doc_id, text).distinct_samples()
+                distinct = Chunk(payload, doc_id, text).distinct_samples()[3]
                 rows = [(b, distinct[i:j]) for b, (i, j) in _present(distinct, buckets, shift).items()]
                 blobs = []
                 for _, h in rows:
@@ -270,12 +315,14 @@ def _samples_answered(table: pa.Table) -> pa.Table:
 def _windows(chunk: Chunk, answers: list[dict] | None, buckets: int) -> Windows:
     """The chunk's candidate windows, from the answers for its samples."""
     shift = U(64 - buckets.bit_length() + 1) if buckets > 1 else U(63)
-    at, which, distinct, shared = chunk.distinct_samples()
+    at, order, many, distinct, shared = chunk.distinct_samples()
     cut = _present(distinct, buckets, shift)
     for x in answers or ():
         lo, hi = cut[x["bucket"]]
         shared[lo:hi] |= np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=hi - lo).view(bool)
-    return Windows(chunk, at[shared[which]])
+    found = np.empty(len(at), bool)
+    found[order] = np.repeat(shared, many)
+    return Windows(chunk, at[found])
 
 
 def _runs_sent(sample_buckets: int, buckets: int, doc_id: str, text: str):
@@ -299,27 +346,24 @@ def _runs_sent(sample_buckets: int, buckets: int, doc_id: str, text: str):
     return run
 
 
-def _index(n: int) -> type:
-    """The least type that holds places in n bytes and the zeros behind them."""
-    return np.int32 if n < 2**31 - 1024 else np.int64
-
-
-def cover_ranks(raw: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cover_ranks(raw: np.ndarray, words: np.ndarray, zeros: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Ranks of the 56 bytes from each cover position (modulo SMALL), and where a position's rank stands."""
     n = len(raw)
     place = np.zeros(n + 8 * SMALL + 1, _index(n))  # 0: nothing but zeros follow
     at = (np.arange(0, n, SMALL)[:, None] + np.array(SMALL_SET)).ravel()
     at = at[at < n]
-    first = _load(words, at) >> U(8)  # SMALL bytes
-    keep = first > 0
-    # A zero byte starts nothing but padding or a text with such bytes; both keep their place.
-    at, first = (at[keep], first[keep]) if not keep.all() else (at, first)
+    if not zeros:  # of padding, only zeros matter
+        at = at[_load(words, at) >> U(8) > 0]
     place[at] = np.arange(1, len(at) + 1)
-    rank = np.concatenate(([0], np.unique(first, return_inverse=True)[1] + 1)).astype(np.uint64)
-    for step in (SMALL, 2 * SMALL, 4 * SMALL):
-        pair = rank.copy()
-        pair[1:] = rank[1:] << U(32) | rank[place[at + step]]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
+    key, bits = _start_key(words, at)
+    rank, have = np.append(U(0), _ranked(key, bits) + U(key.min(initial=1) > 0)), SMALL
+    while have < 8 * SMALL:
+        bits = int(rank.max()).bit_length()
+        steps = (have, 2 * have) if 3 * bits + len(rank).bit_length() <= 64 and 2 * have < 8 * SMALL else (have,)
+        key = rank.copy()
+        for step in steps:
+            key[1:] = key[1:] << U(bits) | rank[place[at + step]]
+        rank, have = _ranked(key, bits * (len(steps) + 1)), have * (len(steps) + 1)
     return rank.astype(_index(n)), place
 
 
@@ -328,20 +372,21 @@ def _shifts() -> np.ndarray:
     return np.array([[next(k for k in range(SMALL) if (a + k) % SMALL in SMALL_SET and (b + k) % SMALL in SMALL_SET) for b in range(SMALL)] for a in range(SMALL)])
 
 
-def sort_suffixes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+def sort_suffixes(raw: np.ndarray, at: np.ndarray, zeros: bool = True) -> np.ndarray:
     """at in the order of the suffixes there, as far as 50 bytes and more decide; raw ends in, and texts are parted by, 56 zeros.
+    zeros: texts may hold zero bytes too.
 
-    First by 8 bytes. Suffixes that tie are split around one of theirs, all ties at once: the shift that takes both into
-    the cover is below 8, so the ranks there decide. Rounds end when each tie is of equal suffixes only.
+    First by SMALL bytes. Suffixes that tie are split around one of theirs, all ties at once: the shift that takes both into
+    the cover is below SMALL, so the ranks there decide. Rounds end when each tie is of equal suffixes only.
     """
     words = _words(raw)
-    key = _load(words, at)
-    order = np.argsort(key, kind="stable")
-    at, key = at[order], key[order]
+    order, new = _sorted(*_start_key(words, at))
+    at = at[order]
     del order
-    group = np.cumsum(np.append(False, key[1:] != key[:-1]), dtype=_index(len(at)))
-    del key
-    rank, place = cover_ranks(raw, words)
+    group = np.cumsum(new, dtype=_index(len(at))) - 1
+    rank, place = cover_ranks(raw, words, zeros)
+    rank = rank[place]  # by position
+    del place
     shift = _shifts()
     size = np.bincount(group)
     todo = np.flatnonzero(size[group] > 1)
@@ -354,9 +399,9 @@ def sort_suffixes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         many = np.diff(first, append=len(todo))
         pivot = np.repeat(own[first + many // 2], many)
         k = shift[own % SMALL, pivot % SMALL]
-        mine, its = rank[place[own + k]], rank[place[pivot + k]]
+        mine, its = rank[own + k], rank[pivot + k]
         side = (mine > its).astype(np.int64) - (mine < its)
-        new = np.argsort(np.repeat(np.arange(len(first)), many) * 3 + side + 1, kind="stable")
+        new = _sorted((np.repeat(np.arange(len(first)), many) * 3 + side + 1).astype(np.uint64), (3 * len(first)).bit_length())[0]
         at[todo] = own[new]
         side = side[new]
         label = np.repeat(np.arange(len(first)), many) * 3 + side + 1
@@ -375,7 +420,7 @@ def _runs_answered(table: pa.Table) -> pa.Table:
     ids = np.concatenate([_unsqueezed(x, np.int64) for x in table.column("ids").to_pylist()])
     body = np.concatenate(bodies)
     start = np.cumsum(many + WINDOW - 1) - (many + WINDOW - 1)
-    span = _span_hash(_words(body), start, many)
+    span = _span_hash(_words(body, "<u8"), start, many)
     distinct, of = np.unique(span, return_inverse=True)
     one = np.empty(len(distinct), np.int64)
     one[of[::-1]] = np.arange(len(of))[::-1]  # one run of each text
@@ -388,14 +433,15 @@ def _runs_answered(table: pa.Table) -> pa.Table:
     to = np.cumsum(size + gap) - (size + gap)
     raw = np.zeros(int((size + gap).sum()), np.uint8)
     raw[to[piece] + place] = body[start[one][piece] + place]
+    zeros = not body.all()
     del body, bodies
     del piece, place
     run, place = segments(many[one])
     small = _index(len(raw))
     window, run = (to[run] + place).astype(small), run.astype(small)
     del place
-    order = sort_suffixes(raw, window)
-    words = _words(raw)
+    order = sort_suffixes(raw, window, zeros)
+    words = _words(raw, "<u8")
     same = np.zeros(len(order), bool)
     if len(order):
         same[1:] = True
@@ -431,10 +477,11 @@ def _removed(chunk: Chunk, w: Windows, answers: list[dict] | None, buckets: int)
         lo, hi = ends[np.searchsorted(bucket, x["bucket"], "left")], ends[np.searchsorted(bucket, x["bucket"], "right")]
         flags[lo:hi] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=int(hi - lo)).view(bool)
     at = w.at[w.removed(flags, order)]
-    mark = np.zeros(len(chunk.raw) + 1, np.int32)
-    np.add.at(mark, at, 1)
-    np.add.at(mark, at + WINDOW, -1)
-    return np.cumsum(mark[:-1]) > 0
+    new = np.append(True, np.diff(at) > WINDOW)[: len(at)]
+    mark = np.zeros(len(chunk.raw) + 1, np.int8)
+    mark[at[new]] = 1
+    mark[at[np.append(new[1:], True)[: len(at)]] + WINDOW] = -1
+    return np.cumsum(mark[:-1], dtype=np.int8).view(bool)
 
 
 REPORT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -448,10 +495,10 @@ def _finished(sample_buckets: int, buckets: int, doc_id: str, text: str, rewrite
                 gone = _removed(chunk, _windows(chunk, a, sample_buckets), b, buckets)
                 begins = gone & ~np.concatenate(([False], gone[:-1]))
                 begins[chunk.start[chunk.size > 0]] = gone[chunk.start[chunk.size > 0]]
-                total, spans = (np.concatenate(([0], np.cumsum(x))) for x in (gone, begins))
+                total, spans = (np.append(0, np.cumsum(x, dtype=_index(len(x)))) for x in (gone, begins))
                 removed, many = total[chunk.end] - total[chunk.start], spans[chunk.end] - spans[chunk.start]
                 kept = [chunk.raw[s:e].tobytes() if not r else chunk.raw[s:e][~gone[s:e]].tobytes() for s, e, r in zip(chunk.start.tolist(), chunk.end.tolist(), removed.tolist())]
-                report = [pa.array(chunk.size), pa.array(removed), pa.array(many), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
+                report = [pa.array(chunk.size), pa.array(removed, pa.int64()), pa.array(many, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
                 table = chunk.table
                 if rewrite:
                     old = table.column(text)
