@@ -96,3 +96,23 @@ def test_unlike_texts_of_one_hash_stay(spark, monkeypatch):
     rows = [(1, "same one two three four five six"), (2, "same red blue green pink grey"), (3, "same one two three four five six"), (4, "other words that stand alone here"), (5, "other words that stand alone here"), (None, "same red blue green pink grey")]
     got = near_copies.survivors(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in got) == [1, 2, 4]
+
+
+def test_few_links_are_few_files(spark):
+    """Of steps with few rows no file is kept for each of many tasks; on local disks Hadoop starts a process for each file."""
+    rng = random.Random(9)
+    base = text_of(rng, 200)
+    texts = [text_of(rng, 60) for _ in range(20)] + [changed(rng, base, 2) for _ in range(6)]
+    own = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        pairs = spark.createDataFrame([(i, i + 1) for i in range(25)], "a long, b long")
+        links = near_copies._links(own, near_copies.durable(pairs))
+        assert {frozenset((r.a, r.b)) for r in links.collect()} == {frozenset((i, i + 1)) for i in range(20, 25)}
+        assert links.rdd.getNumPartitions() <= 8
+        members = near_copies.fronts(own, np.zeros(near_copies.CELLS, np.uint32)).selectExpr("shingle", "id", "size", "place", "false as asked", "id as root")
+        found = near_copies.durable(near_copies._candidates(members, 16))
+        assert found.rdd.getNumPartitions() <= 8 and found.where("b is not null").count() > 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

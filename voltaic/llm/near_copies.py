@@ -175,7 +175,6 @@ def _meet(shingle, id_, size, place, asked, root, direct: int):
 
 def _candidates(members: DataFrame, direct: int) -> DataFrame:
     """a, b of pairs to judge, and shingle, a, size, place, asked of members of buckets that need another round."""
-    n = parallelism(members.sparkSession)
     names = ["a", "b", "shingle", "size", "place", "asked"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +200,8 @@ def _candidates(members: DataFrame, direct: int) -> DataFrame:
         if parts:
             yield from found(parts)
 
-    sent = members.repartition(n, "shingle").sortWithinPartitions("shingle")
+    # Without a number, so that few members are few partitions: they become a file each.
+    sent = members.repartition(F.col("shingle")).sortWithinPartitions("shingle")
     return sent.mapInArrow(lean(compare), "a long, b long, shingle long, size int, place int, asked boolean")
 
 
@@ -243,7 +243,8 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = hubs.unionByName(turned.join(sets, "id").select("a", "salt", F.col("id").alias("b"), "own"))
     n = parallelism(docs.sparkSession)
     with small_batches(docs.sparkSession):
-        return durable(rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(lean(_judged), "a long, b long"))
+        judged = rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(lean(_judged), "a long, b long")
+        return durable(judged.distinct())  # the links are few: one file or some, not one of each task
 
 
 def _by_fingerprint(survey: DataFrame) -> DataFrame:
