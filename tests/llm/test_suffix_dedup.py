@@ -127,3 +127,22 @@ def test_texts_with_zero_bytes(spark):
     raw = np.frombuffer(b"".join(t + bytes(56) for t in texts), np.uint8)
     got = s.sort_suffixes(raw, np.arange(60) * 116)
     assert [raw[p : p + 50].tobytes() for p in got] == sorted(t[:50] for t in texts)
+
+
+def test_a_bucket_takes_bounded_memory():
+    """Sorting numbers takes little more than twice what they take themselves, a bucket of windows less than 55 times its bytes."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    key = np.random.default_rng(5).integers(0, 2**40, 1 << 20, dtype=np.uint64)
+    rng = np.random.default_rng(6)
+    many = np.full(4000, 100, np.int32)
+    body = rng.integers(97, 123, 4000 * 149, dtype=np.uint8)
+    table = pa.table({"bucket": [0], "chunk": [0], "body": [s._squeezed(body)], "many": [s._squeezed(many)], "ids": [s._squeezed(np.arange(4000))]})
+    for run, most in ((lambda: s._sorted(key, 40), 2.2 * key.nbytes), (lambda: s._runs_answered(table), 55 * len(body))):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most, (peak, most)

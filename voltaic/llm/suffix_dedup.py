@@ -39,7 +39,7 @@ GRAM = 16
 #: Bytes of text in a chunk; a longer document is a chunk of its own, worked on in blocks of so many bytes.
 CHUNK = 3_000_000
 #: Samples, and bytes of window runs, that a bucket is meant to hold.
-SAMPLES, RUNS = 3_000_000, 12_000_000
+SAMPLES, RUNS = 3_000_000, 6_000_000
 NULL_ID = np.iinfo(np.int64).max
 U = np.uint64
 #: Low bits that sample hashes leave free, for the place of a sample in its chunk.
@@ -85,9 +85,13 @@ def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(key)
         key = key[order]
     else:
-        key = key << U(own) | np.arange(len(key), dtype=np.uint64)
+        key = key << U(own)
+        for i in range(0, len(key), 1 << 18):
+            part = key[i : i + (1 << 18)]
+            part |= np.arange(i, i + len(part), dtype=np.uint64)
         key.sort()
-        order = (key & U((1 << own) - 1)).astype(_index(len(key)))
+        order = np.empty(len(key), _index(len(key)))
+        np.bitwise_and(key, U((1 << own) - 1), out=order, casting="unsafe")
         key >>= U(own)
     return order, np.append(True, key[1:] != key[:-1])[: len(key)]
 
