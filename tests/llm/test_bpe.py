@@ -3,10 +3,11 @@ import hashlib
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from voltaic.llm import bpe
+from voltaic.llm import bpe, common, suffix_dedup
 
 tokens = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
@@ -100,3 +101,34 @@ def test_long_and_short_words_agree(encoder):
     ends = many.cumsum().tolist()
     assert [x if w not in ranks.ids else None for w, x in zip(words, got)] == [ids[i:j].tolist() if w not in ranks.ids else None for w, i, j in zip(words, [0, *ends], ends)]
     assert all(ranks._replay_one(w) == ids[i:j].tolist() for w, i, j in zip(words, [0, *ends], ends))
+
+
+def _batch(items):
+    return pa.RecordBatch.from_arrays([pa.array(range(len(items)), pa.int64()), pa.array(items, pa.string())], ["doc_id", "text"])
+
+
+def _same(table):
+    return table
+
+
+def test_a_worker_forgets_when_another_step_begins():
+    run = lambda step, batch: list(common.lean(step)(iter([batch])))
+    run(bpe._encoded(None, None, False), _batch(["a word"]))
+    run(bpe._encoded(None, None, False), _batch(["a word"]))
+    assert bpe.encoder.cache_info().currsize == 1 and bpe.encoder.cache_info().hits  # its own next task finds it
+    assert not list(common.lean(suffix_dedup._samples_sent(1, "doc_id", "text"))(iter([])))
+    assert bpe.encoder.cache_info().currsize == 0
+    (again,) = run(bpe._encoded(None, None, False), _batch(["a word"]))
+    assert again.column("n_tokens").to_pylist() == [2]
+    common.lean_group(_same)(pa.table({"x": [1]}))
+    assert bpe.encoder.cache_info().currsize == 0
+
+
+def test_ids_of_a_batch_are_sent_in_pieces(monkeypatch):
+    items = [None, "", "one two", "three four five", None, "x" * 50, "", "six", "sept huit é", None]
+    whole = list(bpe._encoded(None, None, True)(iter([_batch(items)])))
+    monkeypatch.setattr(bpe, "PIECE", 20)
+    parts = list(bpe._encoded(None, None, True)(iter([_batch(items), _batch([])])))
+    assert len(whole) == 1 and len(parts) > 3
+    assert all(sum(len((x or "").encode()) for x in p.column("text").to_pylist()) <= 20 or len([x for x in p.column("text").to_pylist() if x]) == 1 for p in parts)
+    assert pa.Table.from_batches(parts).combine_chunks().to_pylist() == whole[0].to_pylist()

@@ -17,18 +17,20 @@ from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import extended, lean, texts, without
+from .common import extended, keep, lean, texts, without
 
 NONE = np.iinfo(np.int32).max
 #: Pieces of text whose ids a worker remembers between batches, in each of two generations; those that the newer one
 #: hasn't met when it is full are forgotten, which costs time only.
 REMEMBERED = 100_000
-#: Characters of new text that are replayed together.
+#: Characters of new text that are replayed together, and bytes of text whose ids are held at a time.
 PIECE = 4_000_000
 #: Bytes from which on a word is replayed by itself; the ids are the same either way.
 LONG = 256
@@ -268,9 +270,22 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
+    keep(__name__, encoder.cache_clear)
     return Encoder(path, pattern)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of PIECE bytes of text at most; a longer text is one of its own."""
+    i = size = 0
+    for j, n in enumerate(pc.binary_length(batch.column("text").cast(pa.large_binary())).to_pylist()):
+        if size and size + (n or 0) > PIECE:
+            yield batch.slice(i, j - i)
+            i, size = j, 0
+        size += n or 0
+    if i < batch.num_rows:
+        yield batch.slice(i)
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """docs with ids (array of int), n_tokens, ids_sha256 and decoded_sha256 of the whole text; see query for the contract.
 
@@ -293,7 +308,7 @@ def _encoded(path: str | None, pattern: str | None, with_ids: bool):
         import public_tokenizers
 
         enc = encoder(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
-        for batch in batches:
+        for batch in chain.from_iterable(map(_slices, batches)):
             ids, many, digest, decoded = [], [], [], []
             for parts in enc.encode(texts(batch.column("text"))):
                 joined = b",".join([x[0] for x in parts])

@@ -111,13 +111,32 @@ def _give_back() -> None:
         trim(0)
 
 
+#: By module: how to drop what its functions keep in this process from task to task.
+_kept: dict[str, Callable[[], object]] = {}
+
+
+def keep(module: str, forget: Callable[[], object]) -> None:
+    """module keeps something in this process for its next task; forget drops it when a task of another module begins here."""
+    _kept[module] = forget
+
+
+def _begin(module: str) -> None:
+    """What other modules keep here goes: it would stand beside all that this one's tasks hold."""
+    if others := _kept.keys() - {module}:
+        for other in others:
+            _kept.pop(other)()
+        _give_back()
+
+
 def lean(run: Callable) -> Callable:
-    """run, a function of batches for mapInArrow, whose worker holds no freed memory when its task has ended.
+    """run, a function of batches for mapInArrow, whose worker holds no freed memory when its task has ended, and nothing of other modules' tasks.
 
     Workers outlive their tasks, and those of earlier steps stand beside those of later ones.
     """
+    module = run.__module__
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(module)
         try:
             yield from run(batches)
         finally:
@@ -127,9 +146,11 @@ def lean(run: Callable) -> Callable:
 
 
 def lean_group(run: Callable) -> Callable:
-    """run, a function of a group's table for applyInArrow, whose worker holds no freed memory after it."""
+    """run, a function of a group's table for applyInArrow, whose worker holds no freed memory after it, and nothing of other modules' tasks."""
+    module = run.__module__
 
     def of(table: pa.Table) -> pa.Table:
+        _begin(module)
         try:
             return run(table)
         finally:
