@@ -69,6 +69,50 @@ def test_long_texts_are_judged_by_all_shingles(spark):
     assert found(spark, texts) == want
 
 
+def test_texts_of_a_common_core_are_not_judged_two_by_two(spark, monkeypatch):
+    """Each text has some words of a core changed, so that they meet at its shingles, but few are near copies: judged pairs grow as the texts, not as their square."""
+    monkeypatch.setattr(near_copies, "DIRECT", 2)
+    monkeypatch.setattr(near_copies, "SHARE", 4)
+    plain, judged = near_copies._links, []
+    monkeypatch.setattr(near_copies, "_links", lambda own, pairs: judged.append(pairs.count()) or plain(own, pairs))
+    rng = random.Random(10)
+    core = text_of(rng, 150)
+    texts = [changed(rng, core, rng.randrange(3, 6)) for _ in range(560)]
+    texts += [changed(rng, t, 2) for t in texts[:40]]
+    want, like = kept(texts)
+    assert len(like) > 170_000 and 40 <= sum(v >= 0.8 for v in like.values()) < 200
+    assert found(spark, texts) == want
+    assert sum(judged) < 4 * len(texts)
+
+
+@pytest.mark.parametrize("wide", [8192, 256])
+def test_sketches_leave_out_no_pair_over_the_bound(monkeypatch, wide):
+    """Sets of all sizes that overlap by the bound or a little more or less, also those of unequal and of the greatest width."""
+    monkeypatch.setattr(near_copies, "WIDE", wide)
+    rng = np.random.default_rng(11)
+    left_out = 0
+    for n in (1, 2, 5, 16, 17, 31, 32, 33, 60, 64, 70, 128, 150, 500, 1024, 1100, 5000):
+        for other in {n, max(1, int(n * 0.82)), max(1, int(n * 0.9))}:
+            sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64))]
+            # From the fewest that may be shared at the bound, and as many as that less a fifth.
+            least = min(other, int(np.ceil(0.8 / 1.8 * (n + other) - 1e-6)))
+            for shared in (other, least, int(least * 0.6)):
+                sets.append(np.unique(np.concatenate((sets[0][:shared], rng.integers(2**63, 2**64 - 1, other - shared, dtype=np.uint64)))))
+            m = len(sets)
+            size, ids = np.array([len(x) for x in sets], np.int32), np.arange(m)
+            sketches = np.empty(m, object)
+            sketches[:] = [near_copies.sketch(x) for x in sets]
+            width, tables = near_copies._by_width(sketches)
+            a, b = np.zeros(m - 1, np.int64), np.arange(1, m)
+            apart = near_copies._least_apart(a, b, width, tables)
+            assert all(apart[i - 1] <= len(np.setxor1d(sets[0], sets[i])) for i in range(1, m))
+            pairs, _ = near_copies._meet(np.zeros(m, np.int64), ids, size, np.zeros(m, np.int32), np.zeros(m, bool), ids, 10**6, sketches)
+            got = {tuple(x) for x in pairs.T}
+            assert {(i, j) for i in range(m) for j in range(i + 1, m) if near_copies.overlap(sets[i].tobytes(), sets[j].tobytes()) >= 0.8} <= got
+            left_out += (0, 3) not in got
+    assert left_out > 10
+
+
 def test_overlap_counts_all():
     a = np.arange(1000, dtype=np.uint64)
     assert near_copies.overlap(a.tobytes(), a[:790].tobytes()) == 0.79 and near_copies.overlap(a[200:].tobytes(), a.tobytes()) == 0.8

@@ -3,7 +3,8 @@
 Texts whose SimHash fingerprints link at the anchors of a covering code are judged first, by their whole sets of
 shingles. Fingerprints miss many pairs near the threshold, so the rest are found exactly: the shingles of all texts have one order, those of rarely met cells first. Of two texts that overlap enough, the first shingle in that order that both have
 stands near the front of both, so texts meet at the shingles of their fronts (prefix filter) and no pair is missed.
-Every pair that meets and isn't joined already is judged by its whole sets.
+Every pair that meets and isn't joined already is judged by its whole sets, but for those whose sketches show that they
+can't overlap enough: many texts may share the shingles of a core, and few of them be near copies.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ DIRECT, GROWTH, SHARE = 16, 8, 64
 PER_HUB = 1000
 #: Cells of shingle counts; they order shingles and leave none out.
 CELLS = 1 << 20
-#: Members of buckets that are looked at together, and pairs that are compared at once.
-MEMBERS, PAIRS = 200_000, 400_000
+#: Members of buckets that are looked at together, and bytes of them; pairs that are compared at once, and bytes of their sketches.
+MEMBERS, MEMBER_BYTES, PAIRS, PAIR_BYTES = 200_000, 32 << 20, 400_000, 32 << 20
+#: Bits of a sketch: least and most. Larger sets than half of that have fewer bits a shingle, so more of their pairs are judged.
+NARROW, WIDE = 64, 8192
 
 
 def overlap(a: bytes, b: bytes) -> float:
@@ -57,6 +60,42 @@ def _cells(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(CELLS - 1)).astype(np.int64)
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Bits of distinct shingles, each flipped by every shingle that falls to it; two to four bits a shingle.
+
+    Two sets differ in at least as many shingles as their sketches in bits. The halves of a sketch, one flipped by the
+    other, are the sketch of half as many bits.
+    """
+    bits = min(max(NARROW, 1 << (2 * len(h) - 1).bit_length()), WIDE)
+    at = (h >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _by_width(sketches: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The bytes of each sketch; for each number of bytes a table of the sketches that have it or twice as much (folded), and the row of each there."""
+    width = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    tables = {}
+    for w in np.unique(width).tolist():
+        own, wider = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        halves = np.frombuffer(b"".join(sketches[wider]), np.uint64).reshape(len(wider), 2, w // 8)
+        row = np.full(len(width), -1)
+        row[own], row[wider] = np.arange(len(own)), len(own) + np.arange(len(wider))
+        tables[w] = np.concatenate((np.frombuffer(b"".join(sketches[own]), np.uint64).reshape(len(own), w // 8), halves[:, 0] ^ halves[:, 1])), row
+    return width, tables
+
+
+def _least_apart(a: np.ndarray, b: np.ndarray, width: np.ndarray, tables: dict) -> np.ndarray:
+    """For pairs of sketches (see _by_width), none over twice as wide as the other: shingles that are in one of the two sets only, at least."""
+    out = np.zeros(len(a), np.int64)
+    least = np.minimum(width[a], width[b])
+    for w in np.unique(least).tolist():
+        bits, row = tables[w]
+        of = np.flatnonzero(least == w)
+        for at in np.array_split(of, -(-len(of) * w // PAIR_BYTES)):
+            out[at] = np.bitwise_count(bits[row[a[at]]] ^ bits[row[b[at]]]).sum(axis=1)
+    return out
+
+
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first row of each id that a task meets, so that copies don't fill the buckets of their shingles."""
     seen: set[int] = set()
@@ -125,9 +164,11 @@ def fronts(docs: DataFrame, weight: np.ndarray) -> DataFrame:
     return docs.select("id", "text").mapInArrow(lean(of), "shingle long, id long, size int, place int")
 
 
-def _meet(shingle, id_, size, place, asked, root, direct: int):
+def _meet(shingle, id_, size, place, asked, root, direct: int, sketches=None):
     """Pairs to judge of whole buckets (the members at a shingle), and the members of buckets that aren't done.
 
+    With sketches, pairs that can't overlap by LIKENESS are left out.
+
     A member that asks is held against all members of other roots. Those of the bucket's largest root needn't ask: when
     all others did, only pairs that are joined already are left. In a round so many ask that a bucket gives about
     SHARE * direct pairs, those with the shingle nearest to the front first, who have few shingles of their own.
@@ -136,6 +177,7 @@ def _meet(shingle, id_, size, place, asked, root, direct: int):
     new = np.append(True, (shingle[order][1:] != shingle[order][:-1]) | (id_[order][1:] != id_[order][:-1]))[: len(order)]
     order = order[new]  # equal texts of several rows
     shingle, id_, size, place, asked, root = (x[order] for x in (shingle, id_, size, place, asked, root))
+    width, tables = (None, None) if sketches is None else _by_width(sketches[order])
     n = len(shingle)
     edge = np.append(True, shingle[1:] != shingle[:-1])[:n]
     bucket = np.cumsum(edge) - 1
@@ -167,7 +209,12 @@ def _meet(shingle, id_, size, place, asked, root, direct: int):
         # The most that both can share if this is the first shingle they share.
         most = np.minimum(size[a] - place[a], size[b] - place[b])
         ok = (root[a] != root[b]) & (most * (1 + LIKENESS) >= LIKENESS * (size[a].astype(np.int64) + size[b]) - 1e-6)
-        found.append(np.unique(np.stack((np.minimum(id_[a], id_[b])[ok], np.maximum(id_[a], id_[b])[ok])), axis=1))
+        a, b = a[ok], b[ok]
+        if tables is not None:
+            whole = size[a].astype(np.int64) + size[b]
+            may_be = (whole - _least_apart(a, b, width, tables)) / 2 * (1 + LIKENESS) >= LIKENESS * whole - 1e-6
+            a, b = a[may_be], b[may_be]
+        found.append(np.unique(np.stack((np.minimum(id_[a], id_[b]), np.maximum(id_[a], id_[b]))), axis=1))
         i = j
     pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
     return pairs, tuple(x[left] for x in (shingle, id_, size, place, asked))
@@ -179,24 +226,25 @@ def _candidates(members: DataFrame, direct: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(parts):
-            pairs, (shingle, id_, size, place, asked) = _meet(*(np.concatenate(x) for x in zip(*parts)), direct)
+            cols = [np.concatenate(x) for x in zip(*parts)]
+            pairs, (shingle, id_, size, place, asked) = _meet(*cols[:6], direct, *cols[6:])
             p, m = pairs.shape[1], len(id_)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *(pa.nulls(p, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], names)
             yield pa.RecordBatch.from_arrays([pa.array(id_), pa.nulls(m, pa.int64()), pa.array(shingle), pa.array(size), pa.array(place), pa.array(asked)], names)
 
         parts: list[tuple[np.ndarray, ...]] = []
-        rows = 0
+        rows = held = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns))
             cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-            if rows > MEMBERS and (cut or parts[-1][0][-1] != cols[0][0]):  # up to the last whole bucket
+            if (rows > MEMBERS or held > MEMBER_BYTES) and (cut or parts[-1][0][-1] != cols[0][0]):  # up to the last whole bucket
                 parts.append(tuple(x[:cut] for x in cols))
                 yield from found(parts)
-                parts, rows, cols = [], 0, tuple(x[cut:] for x in cols)
+                parts, rows, held, cols = [], 0, 0, tuple(x[cut:] for x in cols)
             parts.append(cols)
-            rows += len(cols[0])
+            rows, held = rows + len(cols[0]), held + batch.nbytes
         if parts:
             yield from found(parts)
 
@@ -210,6 +258,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingles(t).tobytes() for t in utf8(batch.column("text"))], pa.binary())], ["id", "own"])
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of these ids, once each."""
+    return docs.join(few(ids), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+
+
+def _sketches(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, sketch of the texts of these ids, durable."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([sketch(shingles(t)) for t in utf8(batch.column("text"))], pa.binary())], ["id", "sketch"])
+
+    with small_batches(docs.sparkSession):
+        return durable(_texts(docs, ids).mapInArrow(lean(of), "id long, sketch binary"))
+
+
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows in order of a, each a's own set before those of the b it is held against: the pairs that are near copies."""
     hub, own = None, b""
@@ -228,10 +292,8 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (durable, distinct) whose whole sets of shingles overlap by LIKENESS or more."""
     # The text of more pairs is the one that is sent once to each task that judges some of them: a hub.
     often = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")))
-    some = few(often.select("id"))
-    texts = docs.join(some, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     with small_batches(docs.sparkSession):
-        sets = durable(texts.mapInArrow(lean(_sets), "id long, own binary"))
+        sets = durable(_texts(docs, often.select("id")).mapInArrow(lean(_sets), "id long, own binary"))
     with_n = pairs.join(often.toDF("a", "na"), "a").join(often.toDF("b", "nb"), "b")
     first = F.col("na") >= F.col("nb")
     turned = with_n.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("id"), F.greatest("na", "nb").alias("many"))
@@ -262,7 +324,7 @@ def survivors(docs: DataFrame) -> DataFrame:
     Equal texts are one class. Two classes are linked if their sets of shingles overlap by LIKENESS or more; every such
     two are in one group. Those that the anchors of their SimHash fingerprints bring together are judged first. Where many
     meet at a shingle, some are held against all others first, and only those that no link has joined by then go on
-    (see _meet), in rounds until every pair is judged or joined.
+    (see _meet), in rounds until every pair is judged or joined, or can't be linked by its sketches (see sketch).
     Null doc_ids come last, null texts are empty, repeated rows count once, empty tables give empty results; long texts
     are taken whole.
     """
@@ -288,9 +350,11 @@ def _linked(own: DataFrame) -> DataFrame:
     with small_batches(spark, 4000):
         survey = durable(surveyed(own))
     found_roots, direct = roots(_links(own, _by_fingerprint(survey))), DIRECT
-    members = fronts(own, counts(survey))
+    members, sketches = fronts(own, counts(survey)), None
     while True:
         named = members.join(few(found_roots.toDF("id", "root")), "id", "left").select("shingle", "id", "size", "place", *(["asked"] if "asked" in members.columns else [F.lit(False).alias("asked")]), F.coalesce("root", "id").alias("root"))
+        if sketches is not None:
+            named = named.join(sketches, "id").select("shingle", "id", "size", "place", "asked", "root", "sketch")
         with small_batches(spark, 4000):
             found = durable(_candidates(named, direct))
         links = _links(own, durable(found.where("b is not null").select("a", "b").distinct()))
@@ -298,4 +362,6 @@ def _linked(own: DataFrame) -> DataFrame:
         members = found.where("b is null").select("shingle", F.col("a").alias("id"), "size", "place", "asked")
         if members.isEmpty():
             return found_roots
+        # Those that go on past the first round are few of all texts, and later rounds have no others.
+        sketches = _sketches(own, members.select("id").distinct()) if sketches is None else sketches
         direct *= GROWTH
